@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, langid, packing, token_counts, token_file
+from . import bpe, common, langid, line_dedup, packing, suffix_dedup, token_counts, token_file
 
 
 def vocabulary(name: str) -> str:
@@ -35,6 +35,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), run=3).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     token_file.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
@@ -47,6 +51,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), passage=50)
+    repeated = F.expr("aggregate(runs, 0L, (s, x) -> s + x.b - x.a + 1)")
+    return found.select("doc_id", "n_words", repeated.alias("n_repeated"), F.expr("array_join(transform(runs, x -> concat(x.a, '-', x.b)), ',')").alias("spans"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -54,8 +64,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_line_dedup": op3_line_dedup,
     "op4_token_file": op4_token_file,
     "op8_language_id": op8_language_id,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.oracle_sql(3), "op9_suffix_dedup": suffix_dedup.oracle_sql(50)}
