@@ -28,7 +28,7 @@ from .common import chars_grouped, documents
 
 BLOCK = 128
 MAGIC = b"PFR1"
-SEGMENT_SCHEMA = "part int, segment int, doc_ids array<long>, doc_tokens array<long>, n_tokens long, image binary"
+SEGMENT_SCHEMA = "part int, base long, doc_ids array<long>, doc_tokens array<long>, n_tokens long, image binary"
 
 
 def encode_segment(ids: np.ndarray, percentile: float = 90.0) -> bytes:
@@ -113,17 +113,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def run(batches):
         encoder = cached_library_encoder(tokenizer_path, False, cache_words)
         context = TaskContext.get()
-        part, segment = context.partitionId() if context else 0, 0
+        part, base = context.partitionId() if context else 0, 0
         doc_ids, sizes, held = [], [], []
 
         def flush():
-            nonlocal segment, doc_ids, sizes, held
+            nonlocal base, doc_ids, sizes, held
             image = encode_segment(np.frombuffer(b"".join(held), "<u4"), percentile)
             row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([sum(sizes)], pa.int64()), pa.array([image], pa.binary())],
-                names=["part", "segment", "doc_ids", "doc_tokens", "n_tokens", "image"],
+                [pa.array([part], pa.int32()), pa.array([base], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([sum(sizes)], pa.int64()), pa.array([image], pa.binary())],
+                names=["part", "base", "doc_ids", "doc_tokens", "n_tokens", "image"],
             )
-            segment, doc_ids, sizes, held = segment + 1, [], [], []
+            base, doc_ids, sizes, held = base + sum(sizes), [], [], []
             return row
 
         total = 0
@@ -147,15 +147,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Read the files back: doc_id, start (ids of all documents before), n_tokens, ids (packed u32).
 
-    Starts come from the segments' totals: one small row for each segment is summed in order.
+    A segment knows the ids before it in its part.  The parts' own starts are one row for each
+    partition of the write, a number its settings bound, so that table is broadcast; images
+    are read where they lie, without a shuffle.
     """
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
-    # one row for each part that was written: bounded by the number of partitions
-    base = totals.select("part", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("part_base"))
-    # the segments of one part: bounded by a partition's size
-    within = segments.select("part", "segment", "n_tokens").withColumn("inner_base", F.sum("n_tokens").over(Window.partitionBy("part").orderBy("segment")) - F.col("n_tokens"))
-    starts = within.join(base, "part").select("part", "segment", (F.col("part_base") + F.col("inner_base")).alias("base"))
+    parts = totals.select("part", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("part_base"))
 
     def run(batches):
         for batch in batches:
@@ -170,5 +168,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    joined = segments.join(starts, ["part", "segment"]).select("doc_ids", "doc_tokens", "base", "image")
+    joined = segments.join(F.broadcast(parts), "part").select("doc_ids", "doc_tokens", (F.col("base") + F.col("part_base")).alias("base"), "image")
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
