@@ -147,7 +147,7 @@ def remove_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", t
 def oracle_sql(passage: int = 50) -> str:
     """DuckDB SQL for doc_id, n_words, n_repeated, spans over documents with unique ids."""
     return f"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), x -> x <> '') AS ws FROM documents),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '') AS ws FROM documents),
 windows AS (SELECT doc_id, k, list_slice(ws, k + 1, k + {passage}) AS key FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - {passage - 1})) AS k FROM w WHERE len(ws) >= {passage})),
 later AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY md5(array_to_string(key, ' ')) ORDER BY doc_id, k) AS n FROM windows) WHERE n > 1),
 islands AS (SELECT doc_id, min(k) AS a, max(k) + {passage - 1} AS b FROM (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM (SELECT doc_id, k, CASE WHEN k > lag(k, 1, -{passage + 1}) OVER (PARTITION BY doc_id ORDER BY k) + {passage} THEN 1 ELSE 0 END AS fresh FROM later)) GROUP BY doc_id, g)
