@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, langid, line_dedup, packing, suffix_dedup, token_counts, token_file
+from . import ann, bpe, common, embedding_dedup, langid, line_dedup, packing, suffix_dedup, token_counts, token_file
 
 
 def vocabulary(name: str) -> str:
@@ -45,6 +45,15 @@ def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train_on_documents(docs))
@@ -66,8 +75,10 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_file": op4_token_file,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op7_nearest": op7_nearest,
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.oracle_sql(3), "op9_suffix_dedup": suffix_dedup.oracle_sql(50)}
+ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.oracle_sql(3), "op5_embedding_dedup": embedding_dedup.oracle_sql(0.98), "op9_suffix_dedup": suffix_dedup.oracle_sql(50)}
