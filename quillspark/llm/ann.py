@@ -25,10 +25,20 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.expr(finite))
 
 
-def pivots_of(rows: DataFrame, count: int) -> np.ndarray:
-    """``count`` distinct vectors at most, those of the least hashes: a bounded sample."""
+def pivots_of(rows: DataFrame, count: int, apart: float = 0.8) -> np.ndarray:
+    """``count`` vectors at most, from a bounded sample: the 4 * count distinct vectors of least hash.
+
+    Of vectors with a cosine above ``apart`` only the first is taken, so that a crowd of near
+    copies does not fill the orders with one pivot many times over.
+    """
     hashed = rows.select("vector", F.xxhash64("vector").alias("h")).groupBy("h").agg(F.first("vector").alias("vector"))
-    return np.array([r.vector for r in hashed.orderBy("h").limit(count).collect()], np.float64)
+    sample = np.array([r.vector for r in hashed.orderBy("h").limit(4 * count).collect()], np.float64)
+    unit = sample / np.sqrt((sample * sample).sum(axis=1, keepdims=True))
+    taken: list[int] = []
+    for i in range(len(sample)):
+        if len(taken) < count and (not taken or (unit[taken] @ unit[i]).max() <= apart):
+            taken.append(i)
+    return sample[taken]
 
 
 def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -39,14 +49,14 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.ascontiguousarray(np.minimum(places, prefix).T)
 
 
-def search(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 128, prefix: int = 64, rerank: float = 0.25, least: int = 1024, block: int = 8192, query_block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256, prefix: int = 128, rerank: float = 0.2, least: int = 1024, block: int = 8192, query_block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query by inner product, its own row left out.
 
     Ties go to the smaller vec_id.  Vectors that are null, empty, zero or hold null or
     non-finite components take no part, nor do vectors of another length than the most usual
     one, nor null ids.  Rows repeated with one id count once, by their largest score.  Fewer
     candidates than ``k`` give fewer rows; an empty table none.  The index is fitted on
-    ``pivots`` vectors; every vector is indexed.
+    a sample of 4 * ``pivots`` vectors; every vector is indexed.
     """
     spark = table.sparkSession
     rows = usable(table, id_col, vector_col).filter("vec_id IS NOT NULL")
@@ -77,7 +87,9 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 128,
             keep = min(len(ids), max(least, 4 * k, int(rerank * len(ids))) + 1)
             place = np.arange(depth, dtype=np.int16)[:, None]
             for own, ask, order in zip(wanted["vec_id"].to_numpy(), asks, near, strict=True):
-                footrule = np.abs(files[order] - place).sum(axis=0, dtype=np.int32)
+                posted = files[order]
+                # the distance over both lists, less a constant: what a vector posts elsewhere is what it does not post here
+                footrule = (np.abs(posted - place) + posted).sum(axis=0, dtype=np.int32)
                 some = np.argpartition(footrule, keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
                 some = some[ids[some] != own]
                 score = vectors[some] @ ask
