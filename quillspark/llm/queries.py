@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, embedding_dedup, langid, line_dedup, packing, suffix_dedup, token_counts, token_file
+from . import ann, bpe, common, embedding_dedup, jaccard, langid, line_dedup, packing, suffix_dedup, token_counts, token_file
 
 
 def vocabulary(name: str) -> str:
@@ -49,6 +49,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
@@ -76,9 +80,10 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_token_file": op4_token_file,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_nearest": op7_nearest,
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.oracle_sql(3), "op5_embedding_dedup": embedding_dedup.oracle_sql(0.98), "op9_suffix_dedup": suffix_dedup.oracle_sql(50)}
+ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.oracle_sql(3), "op5_embedding_dedup": embedding_dedup.oracle_sql(0.98), "op6_jaccard_join": jaccard.oracle_sql(0.8, 5), "op9_suffix_dedup": suffix_dedup.oracle_sql(50)}
