@@ -105,7 +105,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Encode every text, append the end id, and write segments in ascending doc_id order.
 
     The documents are range-partitioned by doc_id, so parts follow one another; in a part,
-    segments do.  Nulls sort first; rows of equal doc_id follow each other by text.  A null text
+    segments do.  Nulls sort first; rows of equal doc_id follow by a hash of their text.  A null text
     is its end id alone.  A document lies in one segment.  An empty table writes no segment.
     """
     end = end_id.to_bytes(4, "little")
@@ -140,7 +140,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         if doc_ids:
             yield flush()
 
-    ordered = documents(docs, id_col, text_col).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    keyed = documents(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))  # the range sample reaches the driver: no texts in it
+    ordered = keyed.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
     ordered.mapInArrow(run, SEGMENT_SCHEMA).write.parquet(path)
 
 
