@@ -236,6 +236,20 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, model: LanguageModel, least: float = 0.4, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language of probability ``least`` or more.
+
+    A null, empty or letterless text is rejected.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts):
+        return texts.map(lambda t: shared.value.predict(t or "")[1])
+
+    return docs.filter(score(F.col(f"`{text_col}`").cast("string")) >= F.lit(least))
+
+
 def held_out(id_col: str = "doc_id"):
     """True where crc32 of the id as text leaves 2 when divided by 4; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

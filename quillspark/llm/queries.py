@@ -74,6 +74,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -85,5 +91,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.oracle_sql(3), "op5_embedding_dedup": embedding_dedup.oracle_sql(0.98), "op6_jaccard_join": jaccard.oracle_sql(0.8, 5), "op9_suffix_dedup": suffix_dedup.oracle_sql(50)}
