@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rows, statistics
+from . import knowledge, retrieval, rows, statistics
 
-_MODULES = (statistics, rows)
+_MODULES = (statistics, rows, retrieval, knowledge)
 
 
 def queries() -> dict:
