@@ -83,7 +83,8 @@ def mapped_list(csv: Column, codes: dict[str, str]) -> Column:
 
 def work_number(work_id: Column) -> Column:
     """Prefix and number without leading zeros: T08n0251 and T0251 to T251."""
-    prefix, number = F.regexp_extract(work_id, r"^([A-Z]+)", 1), F.regexp_extract(work_id, r"(?:n|^[A-Z]+)0*(\d+)", 1)
+    prefix = F.regexp_extract(work_id, r"^([A-Z]+)", 1)
+    number = F.regexp_extract(F.regexp_replace(work_id, r"^[A-Z]+\d*n", "n"), r"^[A-Zn]+0*(\d+)", 1)
     return F.when(number != "", F.concat(prefix, number))
 
 
