@@ -52,10 +52,16 @@ def repeated_windows(docs: DataFrame, run: int) -> DataFrame:
 
 
 def repeated_runs(windows: DataFrame, run: int) -> DataFrame:
-    """doc_id, th, runs array<struct<a, b>>: the windows' union as sorted line intervals (both ends in)."""
-    order = Window.partitionBy("doc_id", "th").orderBy("start")  # one document's windows
-    islands = windows.distinct().withColumn("fresh", (F.col("start") > F.lag("start", 1, -run - 1).over(order) + run).cast("int")).withColumn("island", F.sum("fresh").over(order))
-    runs = islands.groupBy("doc_id", "th", "island").agg(F.min("start").alias("a"), (F.max("start") + run - 1).alias("b"))
+    """doc_id, th, runs array<struct<a, b>>: the union of windows start..last as sorted intervals (both ends in).
+
+    Without a column ``last`` each row is one window; with it, all windows from start to last.
+    """
+    if "last" not in windows.columns:
+        windows = windows.withColumn("last", F.col("start"))
+    order = Window.partitionBy("doc_id", "th").orderBy("start", "last")  # one document's windows
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = windows.withColumn("fresh", (F.col("start") > F.coalesce(before, F.lit(-run - 1)) + run).cast("int")).withColumn("island", F.sum("fresh").over(order))
+    runs = islands.groupBy("doc_id", "th", "island").agg(F.min("start").alias("a"), (F.max("last") + run - 1).alias("b"))
     return runs.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
 
 

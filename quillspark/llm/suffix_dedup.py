@@ -59,10 +59,10 @@ def suffixes(docs: DataFrame, passage: int, prefix: int) -> DataFrame:
 
 
 def windows(texts: DataFrame, passage: int, prefix: int) -> DataFrame:
-    """The windows around the shared suffixes: key, doc_id, th, start, sure.
+    """The windows around the shared suffixes: key, doc_id, th, start, last, sure.
 
-    ``sure`` windows have an equal one before them in the same batch; of the others a
-    batch holds one of each key.
+    ``sure`` windows have an equal one before them in the same batch and come as runs from start
+    to last; of the others a batch holds one of each key.
     """
 
     def run(batches):
@@ -84,12 +84,23 @@ def windows(texts: DataFrame, passage: int, prefix: int) -> DataFrame:
             fresh = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
             first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), 0))
             sure = (doc_id != doc_id[first]) | (th != th[first]) | (start != start[first])
-            key = np.where(sure, words.mixed(start.astype(np.uint64) + doc_id.view(np.uint64)), key)  # spread, as nothing is asked of them
+            last = start
+            if sure.any():  # a run of sure windows is one row; its key is of no use but to spread it
+                d, t, s = doc_id[sure], th[sure], start[sure]
+                order = np.lexsort((s, t, d))
+                d, t, s = d[order], t[order], s[order]
+                head = np.append(True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] > s[:-1] + 1))
+                tail = np.append(head[1:], True)
+                rest = ~sure
+                key = np.concatenate((key[rest], words.mixed(s[head].astype(np.uint64) + d[head].view(np.uint64))))
+                doc_id, th = np.concatenate((doc_id[rest], d[head])), np.concatenate((th[rest], t[head]))
+                start, last = np.concatenate((start[rest], s[head])), np.concatenate((start[rest], s[tail]))
+                sure = np.arange(len(key)) >= int(rest.sum())
             for i in range(0, len(key), 100_000):
                 j = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[j].view(np.int64)), pa.array(doc_id[j]), pa.array(th[j]), pa.array(start[j].astype(np.int32)), pa.array(sure[j])], names=["key", "doc_id", "th", "start", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[j].view(np.int64)), pa.array(doc_id[j]), pa.array(th[j]), pa.array(start[j].astype(np.int32)), pa.array(last[j].astype(np.int32)), pa.array(sure[j])], names=["key", "doc_id", "th", "start", "last", "sure"])
 
-    return texts.select("doc_id", "th", "text", "places").mapInArrow(run, "key long, doc_id long, th long, start int, sure boolean")
+    return texts.select("doc_id", "th", "text", "places").mapInArrow(run, "key long, doc_id long, th long, start int, last int, sure boolean")
 
 
 def repeated_passages(docs: DataFrame, passage: int = 50, prefix: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,14 +115,14 @@ def repeated_passages(docs: DataFrame, passage: int = 50, prefix: int = 16, id_c
     rows = stored(suffixes(plain.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), passage, prefix), "suffixes")
     classes = rows.filter(F.col("n_words") >= passage).groupBy("th", "size").agg(F.min("doc_id").alias("first"))
     firsts = rows.join(classes, ["th", "size"]).filter("doc_id = first")
-    kept = firsts.select("doc_id", "th", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("doc_id", "th", F.col("s.hashes").alias("suffix"), F.col("s.places").alias("place")).distinct()
+    kept = firsts.select("doc_id", "th", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("doc_id", "th", F.col("s.hashes").alias("suffix"), F.col("s.places").alias("place"))
     agreeing = kept.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("suffix")
     near = kept.join(agreeing, "suffix", "left_semi").groupBy("doc_id", "th").agg(F.collect_list("place").alias("places"))  # one document's
     texts = plain.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(near, ["doc_id", "th"])
     found = windows(texts, passage, prefix)
     place = F.struct("doc_id", "th", "start")
     alike = Window.partitionBy("key", "sure")  # one row from each batch at most
-    later = found.withColumn("first", F.min(place).over(alike)).filter(F.col("sure") | (place > F.col("first"))).select("doc_id", "th", "start")
+    later = found.withColumn("first", F.min(place).over(alike)).filter(F.col("sure") | (place > F.col("first"))).select("doc_id", "th", "start", "last")
     runs = repeated_runs(later, passage)
     whole = rows.join(classes, ["th", "size"], "left").join(runs, ["doc_id", "th"], "left")
     copy = F.col("first").isNotNull() & (F.col("doc_id") > F.col("first"))
