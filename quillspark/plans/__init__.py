@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import knowledge, retrieval, rows, statistics
+from . import knowledge, retrieval, rows, services, statistics
 
-_MODULES = (statistics, rows, retrieval, knowledge)
+_MODULES = (statistics, rows, retrieval, knowledge, services)
 
 
 def queries() -> dict:
