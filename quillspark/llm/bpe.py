@@ -198,7 +198,7 @@ _ENCODERS: dict[tuple, ChunkEncoder] = {}
 _TOKENS: dict[str, list[bytes]] = {}
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 250_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 350_000) -> DataFrame:
     """doc_id and ids array<int> of each whole text, as the rank file's tokenizer gives them without special tokens.
 
     A null or empty text has no ids; a null doc_id stays null; repeated rows are each encoded;
@@ -210,7 +210,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         if key not in _ENCODERS:
             _ENCODERS[key] = text_encoder(load_ranks(ranks_path), pattern, cache_words)
         encoder = _ENCODERS[key]
-        for batch, texts in chars_grouped(batches, "text", 3_000_000):
+        for batch, texts in chars_grouped(batches, "text", 4_500_000):
             packed = encoder.encode(texts)
             for i in range(0, len(packed), 500):
                 part = packed[i : i + 500]
