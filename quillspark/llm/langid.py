@@ -106,7 +106,7 @@ def _sample(learn: DataFrame, rows: int) -> DataFrame:
     counts = learn.groupBy("lang").count()  # one row for each language
     unit = F.shiftrightunsigned(F.xxhash64("text", F.lit("sample")), 12).cast("double") / float(1 << 52)
     share = F.lit(2.0 * rows) / F.col("count")
-    few = learn.withColumn("_unit", unit).join(F.broadcast(counts), "lang").filter(F.col("_unit") < share)
+    few = learn.withColumn("_unit", unit).join(counts, "lang").filter(F.col("_unit") < share)
     # about 2 * rows rows of a language are left; equal texts have equal hashes and count once
     few = few.dropDuplicates(["lang", "text"])
     from pyspark.sql import Window
