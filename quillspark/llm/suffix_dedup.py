@@ -30,32 +30,37 @@ NO_ID = -(1 << 63)
 
 
 def suffixes(docs: DataFrame, passage: int, prefix: int) -> DataFrame:
-    """One row for each document: doc_id, th, size, n_words, and its kept suffixes' hashes and places."""
+    """One row for each document: doc_id, th, size, n_words, and the distinct hashes of its kept suffixes with the places of each."""
 
     def run(batches):
         for batch, texts in chars_grouped(batches, "text", 2_000_000):
-            counts, hashes, places, offsets = [], [], [], [0]
+            counts, hashes, places, sizes, offsets = [], [], [], [], [0]
             for text in texts:
                 own = words.word_hashes(text)
                 counts.append(len(own))
+                offsets.append(offsets[-1])
                 if len(own) >= passage:
                     starts = words.run_hashes(own, prefix)
                     at = words.least_of_window(starts, passage - prefix + 1)
                     at = at[np.append(True, at[1:] != at[:-1])]
-                    hashes.append(starts[at])
+                    at = at[np.argsort(starts[at], kind="stable")]
+                    h = starts[at]
+                    head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                    hashes.append(h[head])
                     places.append(at)
-                    offsets.append(offsets[-1] + len(at))
-                else:
-                    offsets.append(offsets[-1])
+                    sizes.append(np.diff(np.append(head, len(h))))
+                    offsets[-1] += len(head)
             bound = pa.array(offsets, pa.int32())
             flat = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
             where = np.concatenate(places).astype(np.int32) if places else np.zeros(0, np.int32)
+            inner = np.append(0, np.cumsum(np.concatenate(sizes))) if sizes else np.zeros(1, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(inner.astype(np.int32)), pa.array(where))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), batch.column("size"), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(bound, pa.array(flat)), pa.ListArray.from_arrays(bound, pa.array(where))],
+                [batch.column("doc_id"), batch.column("th"), batch.column("size"), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(bound, pa.array(flat)), pa.ListArray.from_arrays(bound, lists)],
                 names=["doc_id", "th", "size", "n_words", "hashes", "places"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, th long, size int, n_words long, hashes array<long>, places array<int>")
+    return docs.mapInArrow(run, "doc_id long, th long, size int, n_words long, hashes array<long>, places array<array<int>>")
 
 
 def windows(texts: DataFrame, passage: int, prefix: int) -> DataFrame:
@@ -115,9 +120,9 @@ def repeated_passages(docs: DataFrame, passage: int = 50, prefix: int = 16, id_c
     rows = stored(suffixes(plain.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), passage, prefix), "suffixes")
     classes = rows.filter(F.col("n_words") >= passage).groupBy("th", "size").agg(F.min("doc_id").alias("first"))
     firsts = rows.join(classes, ["th", "size"]).filter("doc_id = first")
-    kept = firsts.select("doc_id", "th", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("doc_id", "th", F.col("s.hashes").alias("suffix"), F.col("s.places").alias("place"))
-    agreeing = kept.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("suffix")
-    near = kept.join(agreeing, "suffix", "left_semi").groupBy("doc_id", "th").agg(F.collect_list("place").alias("places"))  # one document's
+    kept = firsts.select("doc_id", "th", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("doc_id", "th", F.col("s.hashes").alias("suffix"), F.col("s.places").alias("places"))
+    agreeing = kept.groupBy("suffix").agg(F.sum(F.size("places")).alias("n")).filter("n > 1").select("suffix")
+    near = kept.join(agreeing, "suffix", "left_semi").groupBy("doc_id", "th").agg(F.flatten(F.collect_list("places")).alias("places"))  # one document's
     texts = plain.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(near, ["doc_id", "th"])
     found = windows(texts, passage, prefix)
     place = F.struct("doc_id", "th", "start")
