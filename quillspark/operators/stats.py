@@ -53,8 +53,8 @@ def facet(df: DataFrame, column: str, size: int) -> DataFrame:
 
 
 def local_day(time: Column, zone: str = "Asia/Shanghai") -> Column:
-    """The calendar day of a UTC time in a zone."""
-    return F.to_date(F.from_utc_timestamp(time.cast("timestamp"), zone))
+    """The calendar day in a zone of a UTC time without zone, whatever the session's own zone."""
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), time.cast("timestamp_ntz")))
 
 
 def daily_grid(days: DataFrame, day: str, today: str, n: int, count: Column) -> DataFrame:
