@@ -23,8 +23,25 @@ def _equal_to(word: str):
     return lambda t: t == F.lit(word)
 
 
-def _held_in(column: str):
-    return lambda t: F.contains(F.lower(F.coalesce(F.col(column), F.lit(""))), t)
+def edits_allowed(term: str) -> int:
+    """How many edits a term forgives: none up to 2 characters, one up to 5, else two."""
+    return 0 if len(term) <= 2 else 1 if len(term) <= 5 else 2
+
+
+def holds(column: str, term: str) -> Column:
+    """Whether a field holds the term, or a word within the edits it forgives."""
+    value = F.lower(F.coalesce(F.col(column), F.lit("")))
+    hit = F.contains(value, F.lit(term))
+    if edits := edits_allowed(term):
+        hit = hit | F.exists(F.split(value, r"[^\p{L}\p{N}]+"), lambda w: F.levenshtein(w, F.lit(term), edits) >= 0)
+    return hit
+
+
+def _all(conditions: Sequence[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
 
 
 def bm25(docs: DataFrame, key: str, terms: Column, query: Sequence[str]) -> DataFrame:
@@ -49,7 +66,8 @@ def bm25(docs: DataFrame, key: str, terms: Column, query: Sequence[str]) -> Data
 
 
 def catalog_search(texts: DataFrame, key: str, query: str, fields: dict[str, float], phrase: dict[str, float], filters: dict[str, str | None], expansion: str | None = None) -> DataFrame:
-    """key and score: the best boosted field (every query word must be in it), plus phrase boosts.
+    """Rows with a score: the best boosted field (every query word must be in it, give or take the edits
+    it forgives), plus phrase boosts.  An empty query keeps all rows that pass the filters.
 
     ``expansion`` is the full title a short query stands for; a title that holds it gets 30 more.
     Filters of None are no filters.
@@ -59,7 +77,9 @@ def catalog_search(texts: DataFrame, key: str, query: str, fields: dict[str, flo
         if value is not None:
             rows = rows.filter(F.col(column) == value)
     terms = [t for t in query.lower().split() if t]
-    best = [F.when(F.forall(F.array(*[F.lit(t) for t in terms]), _held_in(c)), F.lit(w)).otherwise(0.0) for c, w in fields.items()]
+    if not terms:
+        return rows.withColumn("score", F.lit(1.0))
+    best = [F.when(_all([holds(c, t) for t in terms]), F.lit(w)).otherwise(0.0) for c, w in fields.items()]
     more = [F.when(F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(query.lower())), F.lit(w)).otherwise(0.0) for c, w in phrase.items()]
     if expansion is not None:
         more += [F.when(F.contains(F.col(c), F.lit(expansion)), 30.0).otherwise(0.0) for c in list(phrase)[:1]]

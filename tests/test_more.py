@@ -101,3 +101,10 @@ def test_parallel_reading_and_collapse(spark):
     hits = spark.createDataFrame([("w", i, float(i % 3)) for i in range(7)], "w string, k int, s double")
     got = ranking.collapse(hits, "w", "s", "k", 2).first()
     assert (got.best_key, got.best_score, got.n_hits, got["keys"]) == (2, 2.0, 7, [2, 5])
+
+
+def test_fuzzy_catalog_search(spark):
+    df = spark.createDataFrame([(1, "Heart Sutra", "心經"), (2, "Hearts of gold", "x"), (3, "Diamond", None), (4, "harp", "般若波羅蜜多心經")], "id int, en string, zh string")
+    hits = lambda q, **k: {r.id: r.score for r in search.catalog_search(df, "id", q, {"en": 2.0, "zh": 3.0}, {"zh": 15.0, "en": 8.0}, {}, **k).collect()}
+    assert hits("heart sutra") == {1: 10.0} and hits("haert sutrb") == {} and hits("hart") == {1: 2.0, 4: 2.0}
+    assert hits("心經", expansion="般若波羅蜜多心經") == {1: 18.0, 4: 48.0} and len(hits(" ")) == 4
