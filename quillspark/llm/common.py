@@ -24,26 +24,43 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_LIVE: list[str] = []
+
+
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, and what follows sees one fixed
-    set of rows however often it is evaluated.
+    set of rows however often it is evaluated.  The table stays until :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _LIVE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a :func:`stored` frame once nothing reads it any more."""
-    spark = df.sparkSession
     files = df.inputFiles()
     if files:
-        jvm = spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(os.path.dirname(files[0]))
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        folder = os.path.dirname(files[0])
+        _delete(df.sparkSession, folder)
+        _LIVE[:] = [p for p in _LIVE if os.path.basename(p) != os.path.basename(folder)]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every table that :func:`stored` wrote in this process.
+
+    Only for when all results that read them have been written elsewhere.
+    """
+    while _LIVE:
+        _delete(spark, _LIVE.pop())
 
 
 def chars_grouped(batches: Iterable[pa.RecordBatch], text: str, chars: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

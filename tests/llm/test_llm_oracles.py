@@ -20,7 +20,7 @@ def test_query(spark, name):
 
 
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was taken away")
-def test_pipeline_against_model(spark):
+def test_pipeline_against_model(spark, tmp_path):
     import public_tokenizers as P
     from test_llm_operators import jaccard_model, lines_model, packed, passages_model, tokenizer
 
@@ -47,4 +47,6 @@ def test_pipeline_against_model(spark):
     for name, f in corpus_pipeline.STAGES[:-1]:
         stage = f(spark, stage, SF)
         assert stage.columns == docs.columns, name
+        stage.write.parquet(f"{tmp_path}/{name}")
+        stage = spark.read.parquet(f"{tmp_path}/{name}")
     assert P.path("byte_bpe_50k.json")
