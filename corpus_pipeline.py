@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
-Each stage reads what its predecessor wrote and its decisions take effect: documents without a
+Each stage reads what its predecessor wrote (so working tables of earlier stages are deleted when
+one begins) and its decisions take effect: documents without a
 recognisable language go, repeated runs of lines are cut out, one document of each group of near
 duplicates stays, repeated passages are cut out, and what is left is packed.  A document of
 which nothing is left goes.
@@ -8,11 +9,13 @@ which nothing is left goes.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import jaccard, langid, line_dedup, packing, suffix_dedup
-from quillspark.llm.common import stored
+from quillspark.llm.common import release, shared_dir
 from quillspark.llm.queries import vocabulary
 
 
@@ -24,24 +27,29 @@ def _documents(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return langid.accept(docs, langid.train_on_documents(docs)).select(docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return _documents(line_dedup.dedup_lines(docs, run=3), docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     gone = jaccard.similar_documents(docs, threshold=0.8, shingle=5).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     found = suffix_dedup.repeated_passages(docs, passage=50)
     return _documents(suffix_dedup.remove_passages(docs, found), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=1, max_len=2048)
 
 
@@ -59,6 +67,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    release(spark)
     return docs
