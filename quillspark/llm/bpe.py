@@ -198,9 +198,26 @@ _ENCODERS: dict[tuple, ChunkEncoder] = {}
 _TOKENS: dict[str, list[bytes]] = {}
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 350_000) -> DataFrame:
+def _tokens(ranks_path: str) -> list[bytes]:
+    """The bytes of each id."""
+    if ranks_path not in _TOKENS:
+        ranks = load_ranks(ranks_path)
+        _TOKENS[ranks_path] = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            _TOKENS[ranks_path][rank] = token
+    return _TOKENS[ranks_path]
+
+
+def _decoded(column: pa.ListArray, tokens: list[bytes]) -> pa.Array:
+    token = tokens.__getitem__
+    values, offsets = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_pylist()]).tolist()
+    return pa.array([b"".join(map(token, values[a:b].tolist())) for a, b in zip(offsets, offsets[1:])], pa.binary())
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 350_000, decoded: bool = False) -> DataFrame:
     """doc_id and ids array<int> of each whole text, as the rank file's tokenizer gives them without special tokens.
 
+    With ``decoded``, also that column: the bytes that the ids decode to, made in the same pass.
     A null or empty text has no ids; a null doc_id stays null; repeated rows are each encoded;
     an empty table gives no rows; other columns are left out.
     """
@@ -217,25 +234,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 offsets = np.zeros(len(part) + 1, np.int32)
                 np.cumsum([len(p) // 4 for p in part], out=offsets[1:])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(part), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(part)), ids], names=["doc_id", "ids"])
+                columns = {"doc_id": batch.column("doc_id").slice(i, len(part)), "ids": ids}
+                if decoded:
+                    columns["decoded"] = _decoded(ids, _tokens(ranks_path))
+                yield pa.RecordBatch.from_pydict(columns)
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """Add ``decoded`` binary, the bytes of the ids; null ids decode to no bytes."""
 
     def run(batches):
-        if ranks_path not in _TOKENS:
-            ranks = load_ranks(ranks_path)
-            _TOKENS[ranks_path] = [b""] * (max(ranks.values()) + 1)
-            for token, rank in ranks.items():
-                _TOKENS[ranks_path][rank] = token
-        token = _TOKENS[ranks_path].__getitem__
         for batch in batches:
             column = batch.column(ids_col).fill_null([]) if batch.column(ids_col).null_count else batch.column(ids_col)
-            values, offsets = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_pylist()]).tolist()
-            decoded = [b"".join(map(token, values[a:b].tolist())) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(column, _tokens(ranks_path))], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, decoded binary")

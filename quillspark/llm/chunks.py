@@ -15,6 +15,8 @@ from collections.abc import Callable
 
 _AFTER_VISIBLE = re.compile(r"(?<=\S) ")
 _END_MARKS = ".,;:!?"
+#: A mark before a space that may belong to a longer run of marks: what stands before it is no plain letter, digit or blank.
+_MARK_IN_RUN = re.compile("[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f \t][.,;:!?] ")
 
 
 class ChunkEncoder:
@@ -50,17 +52,21 @@ class ChunkEncoder:
             return [lead + body, chunk[len(body) :]]
         return [lead + chunk] if lead + chunk else []
 
-    def _fill(self, cache: dict[str, bytes], wanted: set[str], led: bool) -> None:
-        missing = [k for k in wanted if k not in cache]
+    def _fill(self, cache: dict[str, bytes], wanted: set[str], led: bool) -> list[str]:
+        """Put the wanted strings in the cache; the new ones that are not to stay there."""
+        missing = list(wanted.difference(cache))
         if not missing:
-            return
+            return []
         if len(cache) + len(missing) > self.limit:
             cache.clear()
             missing = list(wanted)
+        if not self.spaced:
+            cache.update(zip(missing, self.encode_many(missing), strict=True))
+            return [k for k in missing if len(k) > self.longest]
         parts = [self._parts(k, led) for k in missing]
         words = self.words
         needed = {w for p in parts for w in p}
-        new = [w for w in needed if w not in words]
+        new = list(needed.difference(words))
         if len(words) + len(new) > self.limit:
             words.clear()
             new = list(needed)
@@ -71,10 +77,15 @@ class ChunkEncoder:
         for w in new:
             if len(w) > self.longest:
                 del words[w]
+        return [k for k in missing if len(k) > self.longest or k[-1:].isspace()]
 
     def _split(self, text: str) -> list[str]:
         if not self.spaced:
-            return text.replace("\n", " ").split(" ")
+            text = text.replace("\n", " ") + " "
+            if _MARK_IN_RUN.search(text) is None:  # the marks stand alone, so they are pieces of their own
+                for mark in _END_MARKS:
+                    text = text.replace(mark + " ", f" {mark} ")
+            return text.split(" ")
         if "  " in text or "\n " in text:
             return _AFTER_VISIBLE.split(text)
         return text.split(" ")
@@ -95,28 +106,26 @@ class ChunkEncoder:
         if not self.spaced:
             for s in split:
                 wanted.update(s)
-            self._fill(self.chunks, wanted, False)
+            gone = self._fill(self.chunks, wanted, False)
             get = self.chunks.__getitem__
             out = [b"".join(map(get, s)) for s in split]
         else:
             for i, s in enumerate(split):
                 wanted.update(s[1:])
             # a chunk that ends in white space makes the space after it part of a longer run
-            odd = {c for c in wanted if c not in self.chunks and c[-1:].isspace()}
+            odd = {c for c in wanted.difference(self.chunks) if c[-1:].isspace()}
             odd |= {s[0] for s in split if s[0][-1:].isspace()}
             if odd:
                 split = [_AFTER_VISIBLE.split(t) if not odd.isdisjoint(s) else s for s, t in zip(split, texts, strict=True)]
                 for s in split:
                     wanted.update(s[1:])
-            heads = {s[0] for s in split}
-            self._fill(self.heads, heads, False)
-            self._fill(self.chunks, wanted, True)
+            gone_heads = self._fill(self.heads, {s[0] for s in split}, False)
+            gone = self._fill(self.chunks, wanted, True)
             get = self.chunks.__getitem__
             out = [b"".join([self.heads[s[0]], *map(get, s[1:])]) for s in split]
-            for k in [k for k in heads if len(k) > self.longest]:
+            for k in gone_heads:
                 self.heads.pop(k, None)
-            wanted |= odd
-        for k in [k for k in wanted if len(k) > self.longest or k[-1:].isspace()]:
+        for k in gone:
             self.chunks.pop(k, None)
         return out
 
@@ -141,9 +150,12 @@ def library_encoder(path: str, spaced: bool, limit: int = 500_000) -> ChunkEncod
         out: list[bytes] = [b""] * len(words)
         others = []
         for n, w in enumerate(words):
-            letters = w[1:] if spaced and w[0] == " " else w
-            if letters.isalpha() and max(letters) < "\u0100" and len(letters) < 1000:
-                w = (w.lower() if lowers else w).translate(mapped)
+            led = spaced and w[0] == " "
+            letters = w[1:] if led else w
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100") and len(letters) < 1000:
+                w = letters.lower() if lowers else letters
+                w = w if w.isascii() else w.translate(mapped)
+                w = mapped[32] + w if led else w
                 out[n] = array("I", [t.id for t in model.tokenize(w)]).tobytes()
             else:
                 others.append(n)
