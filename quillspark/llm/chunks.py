@@ -15,6 +15,8 @@ from collections.abc import Callable
 
 _AFTER_VISIBLE = re.compile(r"(?<=\S) ")
 _END_MARKS = ".,;:!?"
+#: ASCII punctuation; the apostrophe is left out, as contractions begin with it.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A mark before a space that may belong to a longer run of marks: what stands before it is no plain letter, digit or blank.
 _MARK_IN_RUN = re.compile("[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f \t][.,;:!?] ")
 
@@ -134,7 +136,8 @@ def library_encoder(path: str, spaced: bool, limit: int = 500_000) -> ChunkEncod
     """An encoder over a tokenizers file; special tokens' strings count as ordinary text.
 
     A plain Latin-1 word is one pre-token, so it goes straight to the library's BPE model,
-    in the form its normaliser and byte mapping would give it; all else takes the full path.
+    in the form its normaliser and byte mapping would give it; marks that end a word are
+    another pre-token, and short ones are kept.  All else takes the full path.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
@@ -146,22 +149,35 @@ def library_encoder(path: str, spaced: bool, limit: int = 500_000) -> ChunkEncod
     mapped = {i: byte_level.pre_tokenize_str(chr(i))[0][0] for i in range(256)}  # a character's bytes, as the model's symbols
     lowers = not spaced
 
+    tails: dict[str, bytes] = {}
+
+    def marks(tail: str) -> bytes:
+        if tail not in tails:
+            if len(tails) >= 10_000:
+                tails.clear()
+            tails[tail] = array("I", tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
+        return tails[tail]
+
     def encode_many(words: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(words)
         others = []
         for n, w in enumerate(words):
             led = spaced and w[0] == " "
-            letters = w[1:] if led else w
-            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100") and len(letters) < 1000:
-                w = letters.lower() if lowers else letters
-                w = w if w.isascii() else w.translate(mapped)
-                w = mapped[32] + w if led else w
-                out[n] = array("I", [t.id for t in model.tokenize(w)]).tobytes()
+            letters, tail = w[1:] if led else w, ""
+            if not letters.isalpha():
+                body = letters.rstrip(_MARKS)
+                tail, letters = letters[len(body) :], body
+            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100") and len(letters) < 1000 and len(tail) <= 16:
+                piece = letters.lower() if lowers else letters
+                piece = piece if piece.isascii() else piece.translate(mapped)
+                piece = mapped[32] + piece if led else piece
+                ids = array("I", [t.id for t in model.tokenize(piece)]).tobytes()
+                out[n] = ids + marks(tail) if tail else ids
             else:
                 others.append(n)
         for i in range(0, len(others), 2_000):
             part = others[i : i + 2_000]
-            for n, e in zip(part, tokenizer.encode_batch([words[n] for n in part], add_special_tokens=False), strict=True):
+            for n, e in zip(part, tokenizer.encode_batch_fast([words[n] for n in part], add_special_tokens=False), strict=True):
                 out[n] = array("I", e.ids).tobytes()
         return out
 

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,15 +66,18 @@ def release(spark: SparkSession) -> None:
 
 
 def chars_grouped(batches: Iterable[pa.RecordBatch], text: str, chars: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut Arrow batches into runs of rows holding about ``chars`` characters; a null text is empty."""
+    """Cut Arrow batches into runs of rows holding about ``chars`` bytes; a null text is empty.
+
+    Only one run's texts are Python strings at a time.
+    """
     for batch in batches:
-        texts = [x or "" for x in batch.column(text).to_pylist()]
+        column = batch.column(text)
+        ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= chars or i == len(texts) - 1:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
+        while start < len(ends):
+            stop = min(int(np.searchsorted(ends, size + chars)) + 1, len(ends))
+            yield batch.slice(start, stop - start), [x or "" for x in column.slice(start, stop - start).to_pylist()]
+            start, size = stop, int(ends[stop - 1])
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

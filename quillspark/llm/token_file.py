@@ -101,7 +101,7 @@ def decode_segment(image: bytes) -> np.ndarray:
     return (values + low[:, None]).reshape(-1)[:n]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, segment_ids: int = 1 << 20, percentile: float = 90.0, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 500_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, segment_ids: int = 1 << 20, percentile: float = 90.0, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 300_000) -> None:
     """Encode every text, append the end id, and write segments in ascending doc_id order.
 
     The documents are range-partitioned by doc_id, so parts follow one another; in a part,
