@@ -401,3 +401,35 @@ def test_contracts(spark):
         assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(packed(ids)))
         start += len(ids)
     assert {r.held_out for r in queries.QUERIES["op8_language_id"](spark, sf).select(F.col("held_out")).collect()} <= {True, False}
+
+
+@pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_chunk_encoder_at_odd_marks(name, spaced):
+    """Cached chunks give the library's ids where marks, blanks, cases and scripts meet."""
+    import random
+
+    import public_tokenizers as P
+
+    from quillspark.llm.chunks import library_encoder
+
+    parts = ["foo", "Foo", "Äpfel", "ΣΑΣ", "İx", "don't", "'s", "3", "²", ".", ",", "!", "...", "$$$", "###", '"', "_", " ", "  ", "\n", "\n\n", "\t", "\x1c", "\u00a0", "中文", "。", "\u0301", "\u037e", "🙂", "<|endoftext|>", "a" * 70]
+    rng = random.Random(5)
+    texts = ["", *("".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(25))) for _ in range(3000))]
+    library = tokenizer(name)
+    library.encode_special_tokens = True
+    expected = [packed(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    encoder = library_encoder(P.path(name), spaced, limit=500)
+    assert [x for i in range(0, len(texts), 100) for x in encoder.encode(texts[i : i + 100])] == expected
+
+
+def test_chars_grouped():
+    import pyarrow as pa
+
+    from quillspark.llm.common import chars_grouped
+
+    batch = pa.RecordBatch.from_pydict({"k": [0, 1, 2, 3, 4], "text": ["aaaaa", None, "", "c" * 30, "d"]})
+    for size in (1, 3, 10, 1000):
+        groups = list(chars_grouped([batch, batch.slice(1, 2), batch.slice(0, 0)], "text", size))
+        assert [k for b, _ in groups for k in b.column("k").to_pylist()] == [0, 1, 2, 3, 4, 1, 2]
+        assert [t for _, ts in groups for t in ts] == ["aaaaa", "", "", "c" * 30, "d", "", ""]
+        assert all(b.num_rows == len(ts) for b, ts in groups)
