@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkEncoder
-from .common import chars_grouped, documents
+from .common import chars_grouped, documents, kept
 
 NONE = 1 << 30
 
@@ -194,7 +194,6 @@ def text_encoder(ranks: dict[bytes, int], pattern: str, limit: int = 500_000) ->
     return ChunkEncoder(encode_many, True, limit)
 
 
-_ENCODERS: dict[tuple, ChunkEncoder] = {}
 _TOKENS: dict[str, list[bytes]] = {}
 
 
@@ -223,10 +222,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """
 
     def run(batches):
-        key = (ranks_path, pattern, cache_words)
-        if key not in _ENCODERS:
-            _ENCODERS[key] = text_encoder(load_ranks(ranks_path), pattern, cache_words)
-        encoder = _ENCODERS[key]
+        encoder = kept(("ranks", ranks_path, pattern, cache_words), lambda: text_encoder(load_ranks(ranks_path), pattern, cache_words))
         for batch, texts in chars_grouped(batches, "text", 4_500_000):
             packed = encoder.encode(texts)
             for i in range(0, len(packed), 500):

@@ -13,6 +13,8 @@ import re
 from array import array
 from collections.abc import Callable
 
+from .common import kept
+
 _AFTER_VISIBLE = re.compile(r"(?<=\S) ")
 _END_MARKS = ".,;:!?"
 #: ASCII punctuation; the apostrophe is left out, as contractions begin with it.
@@ -184,12 +186,6 @@ def library_encoder(path: str, spaced: bool, limit: int = 500_000) -> ChunkEncod
     return ChunkEncoder(encode_many, spaced, limit)
 
 
-_ENCODERS: dict[tuple, ChunkEncoder] = {}
-
-
 def cached_library_encoder(path: str, spaced: bool, limit: int = 500_000) -> ChunkEncoder:
     """One encoder for each Python worker, kept from task to task."""
-    key = (path, spaced, limit)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = library_encoder(path, spaced, limit)
-    return _ENCODERS[key]
+    return kept(("library", path, spaced, limit), lambda: library_encoder(path, spaced, limit))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +65,25 @@ def release(spark: SparkSession) -> None:
         _delete(spark, _LIVE.pop())
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """A large object that a Python worker keeps from task to task, until a task asks for another one.
+
+    Workers are reused by later stages, so what an earlier operator cached must not stay beside it.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Let go of what this worker keeps."""
+    _KEPT.clear()
+
+
 def chars_grouped(batches: Iterable[pa.RecordBatch], text: str, chars: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut Arrow batches into runs of rows holding about ``chars`` bytes; a null text is empty.
 

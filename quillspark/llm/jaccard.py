@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import chars_grouped, documents, stored
+from .common import chars_grouped, documents, forget, stored
 from .components import components, roots
 
 NO_ID = -(1 << 63)
@@ -74,6 +74,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, set_key (128 bits of the shingle set), n_shingles and signature of each row."""
 
     def run(batches):
+        forget()
         for batch, texts in chars_grouped(batches, "text", 2_000_000):
             keys, counts, signatures = [], [], []
             for text in texts:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chars_grouped, documents
+from .common import chars_grouped, documents, forget
 
 UNDETERMINED = "und"
 SIZES = (1, 2, 3)
@@ -119,6 +119,7 @@ def _features(sample: DataFrame, bits: int) -> DataFrame:
     """Sparse slot counts of each sampled text: lang, fold, slots, counts, grams."""
 
     def run(batches):
+        forget()
         for batch, texts in chars_grouped(batches, "text", 2_000_000):
             langs, units = batch.column("lang").to_pylist(), batch.column("_unit").to_pylist()
             slots, counts, grams = [], [], []
@@ -139,6 +140,7 @@ def document_frequency(docs: DataFrame, bits: int) -> DataFrame:
     """slot int, df long over all rows; slot -1 counts the rows.  Tasks add up before the shuffle."""
 
     def run(batches):
+        forget()
         df, rows = np.zeros(1 << bits, np.int64), 0
         for _, texts in chars_grouped(batches, "text", 2_000_000):
             for text in texts:
@@ -229,6 +231,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        forget()
         for batch, texts in chars_grouped(batches, "text", 2_000_000):
             found = [shared.value.predict(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
@@ -245,6 +248,7 @@ def accept(docs: DataFrame, model: LanguageModel, least: float = 0.4, text_col:
 
     @F.pandas_udf("double")
     def score(texts):
+        forget()
         return texts.map(lambda t: shared.value.predict(t or "")[1])
 
     return docs.filter(score(F.col(f"`{text_col}`").cast("string")) >= F.lit(least))

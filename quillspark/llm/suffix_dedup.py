@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import chars_grouped, documents, stored
+from .common import chars_grouped, documents, forget, stored
 from .line_dedup import repeated_runs
 
 NO_ID = -(1 << 63)
@@ -33,6 +33,7 @@ def suffixes(docs: DataFrame, passage: int, prefix: int) -> DataFrame:
     """One row for each document: doc_id, th, size, n_words, and the distinct hashes of its kept suffixes with the places of each."""
 
     def run(batches):
+        forget()
         for batch, texts in chars_grouped(batches, "text", 2_000_000):
             counts, hashes, places, sizes, offsets = [], [], [], [], [0]
             for text in texts:
@@ -71,6 +72,7 @@ def windows(texts: DataFrame, passage: int, prefix: int) -> DataFrame:
     """
 
     def run(batches):
+        forget()
         for batch, text in chars_grouped(batches, "text", 4_000_000):
             keys, ids, hashes, starts = [], [], [], []
             for t, doc_id, th, shared in zip(text, batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("places").to_pylist(), strict=True):

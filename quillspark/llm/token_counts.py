@@ -16,7 +16,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chars_grouped, documents
+from .common import chars_grouped, documents, kept
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -120,9 +120,6 @@ def load_sentencepiece(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
-_COUNTERS: dict[tuple, PieceCounter] = {}
-
-
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 500_000) -> DataFrame:
     """doc_id and n_tokens long of each whole text.
 
@@ -131,10 +128,8 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """
 
     def run(batches):
-        key = (model_path, cache_words)
-        if key not in _COUNTERS:
-            _COUNTERS[key] = PieceCounter(load_sentencepiece(model_path), limit=cache_words)
+        counter = kept(("pieces", model_path, cache_words), lambda: PieceCounter(load_sentencepiece(model_path), limit=cache_words))
         for batch, texts in chars_grouped(batches, "text", 2_000_000):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_COUNTERS[key].counts(texts), pa.int64())], names=["doc_id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counter.counts(texts), pa.int64())], names=["doc_id", "n_tokens"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
