@@ -303,6 +303,21 @@ def test_embedding_dedup_against_model(spark, window):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_a_loose_cluster(spark):
+    """1200 vectors whose cosines lie around the threshold, among unrelated ones of their label: all links count."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    near = centre + 0.0178 * rng.standard_normal((1200, 64))
+    x = np.concatenate((near, rng.standard_normal((2800, 64))))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert 300 < want[:1200].mean() < 900
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert sum(got[i] != n for i, n in enumerate(want.tolist())) == 0
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     rows = vectors(rng, 1500)
