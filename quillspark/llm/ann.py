@@ -29,7 +29,9 @@ def pivots_of(rows: DataFrame, count: int, apart: float = 0.8) -> np.ndarray:
     """``count`` vectors at most, from a bounded sample: the 4 * count distinct vectors of least hash.
 
     Of vectors with a cosine above ``apart`` only the first is taken, so that a crowd of near
-    copies does not fill the orders with one pivot many times over.
+    copies does not fill the orders with one pivot many times over.  Where too few are that far apart
+    (vectors in narrow cones) the count is filled up from the rest, always with the one least
+    like any taken.
     """
     hashed = rows.select("vector", F.xxhash64("vector").alias("h")).groupBy("h").agg(F.first("vector").alias("vector"))
     sample = np.array([r.vector for r in hashed.orderBy("h").limit(4 * count).collect()], np.float64)
@@ -38,6 +40,14 @@ def pivots_of(rows: DataFrame, count: int, apart: float = 0.8) -> np.ndarray:
     for i in range(len(sample)):
         if len(taken) < count and (not taken or (unit[taken] @ unit[i]).max() <= apart):
             taken.append(i)
+    if taken and len(taken) < count:
+        nearest = (unit @ unit[taken].T).max(axis=1)
+        nearest[taken] = np.inf
+        while len(taken) < min(count, len(sample)):
+            i = int(nearest.argmin())
+            taken.append(i)
+            nearest = np.maximum(nearest, unit @ unit[i])
+            nearest[i] = np.inf
     return sample[taken]
 
 

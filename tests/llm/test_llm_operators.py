@@ -318,6 +318,22 @@ def test_embedding_dedup_of_a_loose_cluster(spark):
     assert sum(got[i] != n for i, n in enumerate(want.tolist())) == 0
 
 
+@pytest.mark.parametrize("spread", [0.056, 0.04])
+def test_nearest_in_a_narrow_cone(spark, spread):
+    """Vectors with a mean cosine of about 0.83 and 0.91 still have pivots enough."""
+    rng = np.random.default_rng(6)
+    x = np.eye(1, 64) + spread * rng.standard_normal((4096, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    assert len(ann.pivots_of(ann.usable(df, "vec_id", "embedding"), 256)) == 256
+    hits = 0
+    asked = df.filter("vec_id % 64 = 0")
+    for q, group in _by_query(ann.search(df, asked, k=20, least=0).collect()):
+        order = [i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20]
+        hits += len(set(order) & {g.vec_id for g in group})
+    assert hits / (64 * 20) >= 0.9
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     rows = vectors(rng, 1500)
