@@ -38,8 +38,9 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release(spark)
-    gone = jaccard.similar_documents(docs, threshold=0.8, shingle=5).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    gone = jaccard.similar_documents(docs, threshold=0.8, shingle=5, hashed=True).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_th"))
+    text = docs["text"].cast("string")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(text) == F.col("_th")), "left_anti")
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

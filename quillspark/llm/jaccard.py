@@ -1,6 +1,7 @@
 """Jaccard join of word shingles with Bayesian candidate pruning.
 
-Documents are sets of ``shingle`` consecutive words.  Documents with equal sets are one class.
+Documents are sets of ``shingle`` consecutive words.  Documents with equal sets are one class,
+known by a 64-bit hash of its set and not by an id, which several texts may have.
 Candidates share a band of MinHash values (32 bands of 5: a pair at 0.8 shares none with
 probability 3e-6).  A candidate's MinHash values are compared in rounds; it is dropped as
 soon as the posterior probability that its similarity reaches the threshold, given the
@@ -71,7 +72,7 @@ def fewest_matches(threshold: float, tolerance: float, step: int = 16) -> list[t
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, set_key (128 bits of the shingle set), n_shingles and signature of each row."""
+    """doc_id, th, set_key (128 bits of the shingle set), n_shingles and signature of each row."""
 
     def run(batches):
         forget()
@@ -82,9 +83,9 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 counts.append(len(own))
                 keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 signatures.append(minhash(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "set_key", "n_shingles", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "th", "set_key", "n_shingles", "signature"])
 
-    return docs.mapInArrow(run, "doc_id long, set_key binary, n_shingles long, signature binary")
+    return docs.mapInArrow(run, "doc_id long, th long, set_key binary, n_shingles long, signature binary")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -228,7 +229,7 @@ def compare(members: DataFrame, threshold: float, tolerance: float) -> DataFrame
     return members.mapInArrow(run, "rep long, links long, root long")
 
 
-def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tolerance: float = 1e-5, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, tolerance: float = 1e-5, block: int = 1024, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
     """doc_id, class_id, n_links, component_id, kept: one row for each input row.
 
     class_id is the smallest doc_id with the same shingle set; n_links counts the other rows whose
@@ -236,24 +237,25 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
     the smallest doc_id reachable by links; kept marks that document.  A null or empty text
     has no shingles and links with nothing; a text of fewer than ``shingle`` words is one
     shingle.  A null doc_id comes before all others; rows repeated with one doc_id and
-    text are copies of each other and are kept or not alike.  An empty table gives no rows.
+    text are copies of each other and are kept or not alike; other texts of one doc_id are
+    documents of their own, of which one in a group is kept.  With ``hashed``, th (xxhash64 of
+    the text) tells them apart.  An empty table gives no rows.
     """
-    plain = documents(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    plain = documents(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
     rows = stored(sketches(plain, shingle), "sketches")
-    counted = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("signature").alias("signature"))
-    classes = stored(counted, "classes")
+    counted = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count(F.lit(1)).alias("n"), F.first("signature").alias("signature"))
+    classes = stored(counted.withColumn("rep", F.xxhash64("set_key")), "classes")
     bucketed = stored(buckets(band_keys(classes)), "buckets")
     lists = bucketed.groupBy("rep").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # at most 32
-    named = classes.select("rep", F.col("n").alias("weight"), "signature", "set_key").join(lists, "rep")
+    named = classes.select("rep", F.col("n").alias("weight"), "signature").join(lists, "rep")
 
     def whole_sets(batches):
         for batch, texts in chars_grouped(batches, "text", 2_000_000):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t, shingle).tobytes() for t in texts], pa.binary())], names=["rep", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([shingles(t, shingle).tobytes() for t in texts], pa.binary())], names=["rep", "set"])
 
-    firsts = rows.select("doc_id", "set_key").join(named.select("set_key", "rep"), "set_key").filter("doc_id = rep").select("doc_id").distinct()
-    sets = plain.join(firsts, "doc_id").mapInArrow(whole_sets, "rep long, set binary")
-    if_own = F.xxhash64("set")  # rows of one doc_id and several texts: the class's own set is told by its key below
-    sets = stored(sets.withColumn("h", if_own).dropDuplicates(["rep", "h"]).drop("h"), "sets")
+    firsts = classes.join(lists, "rep", "left_semi").select("first.doc_id", "first.th", "rep")  # one text of each class to compare
+    sets = plain.join(firsts, ["doc_id", "th"]).select("rep", "text").mapInArrow(whole_sets, "rep long, set binary")
+    sets = stored(sets.dropDuplicates(["rep"]), "sets")
     sets = sets.join(named, "rep").filter(F.length("set") > 0)
     blocks = F.expr(f"cast((n + {block - 1}) div {block} AS int)")
     members = bucketed.join(sets, "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -265,11 +267,17 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
     found = stored(compare(placed, threshold, tolerance), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    by_class = classes.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.col("rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # components go by class; of each the class of the smallest doc_id is its head
+    own = F.struct(F.col("first.doc_id").alias("doc_id"), "rep")
+    members_of = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumns({"component": F.coalesce("component", "rep"), "own": own})
+    heads = members_of.groupBy("component").agg(F.min("own").alias("head"))
+    by_class = members_of.join(heads, "component").join(links, "rep", "left")
+    by_class = by_class.select("set_key", F.col("own.doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("head.doc_id").alias("component_id"), (F.col("head.rep") == F.col("rep")).alias("at_head"))
     out = rows.join(by_class, "set_key", "left")
     real = lambda c: F.nullif(c, F.lit(NO_ID))
     component = F.coalesce("component_id", "doc_id")
-    return out.select(real("doc_id").alias("doc_id"), real(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), real(component).alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    kept = (component == F.col("doc_id")) & F.coalesce("at_head", F.lit(True))
+    return out.select(real("doc_id").alias("doc_id"), real(F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), real(component).alias("component_id"), kept.alias("kept"), *(["th"] if hashed else []))
 
 
 def oracle_sql(threshold: float = 0.8, shingle: int = 5) -> str:

@@ -267,6 +267,24 @@ def test_jaccard_edges(spark):
     assert all(m < 0.8 * n for n, m in jaccard.fewest_matches(0.8, 1e-5))
 
 
+def test_jaccard_of_texts_with_one_id(spark):
+    """Texts are told apart by their words, not by an id that they share or lack."""
+    import corpus_pipeline
+
+    near = " ".join(f"w{i}" for i in range(100))
+    lone = " ".join(f"x{i}" for i in range(100))
+    twin = " ".join(f"y{i}" for i in range(100))
+    rows = [(3, near), (7, near + " end"), (7, lone), (None, twin), (None, twin + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.similar_documents(df, hashed=True).join(df.select("text", F.xxhash64("text").alias("th")), "th").collect()
+    assert len(got) == 5
+    by = {r.text: (r.n_links, r.component_id, r.kept) for r in got}
+    assert by[near] == (1, 3, True) and by[near + " end"] == (1, 3, False) and by[lone] == (0, 7, True)
+    assert by[twin][:2] == by[twin + " end"][:2] == (1, None) and by[twin][2] != by[twin + " end"][2]
+    left = {r.text for r in corpus_pipeline.jaccard_join(spark, df, "").collect()}
+    assert {near, lone} < left and len(left) == 3
+
+
 def vectors(rng, n, dim=16, labels=3):
     base = rng.standard_normal((n, dim))
     base[n // 2 :] = base[rng.integers(0, 5, n - n // 2)] + 0.06 * rng.standard_normal((n - n // 2, dim))
