@@ -101,18 +101,21 @@ def _sample(learn: DataFrame, rows: int) -> DataFrame:
     """At most ``rows`` rows of each language, those of the lowest text hashes.
 
     The sample is drawn by a threshold on a hash, so that no group is gathered: the threshold
-    is set by each language's row count, with twice the rows aimed at, then cut by rank.
+    is set by each language's count of distinct hashes, with twice the rows aimed at, then cut by
+    rank.  So copies do not thin a language out, and only hashes are counted and ranked.
     """
-    counts = learn.groupBy("lang").count()  # one row for each language
-    unit = F.shiftrightunsigned(F.xxhash64("text", F.lit("sample")), 12).cast("double") / float(1 << 52)
-    share = F.lit(2.0 * rows) / F.col("count")
-    few = learn.withColumn("_unit", unit).join(counts, "lang").filter(F.col("_unit") < share)
-    # about 2 * rows rows of a language are left; equal texts have equal hashes and count once
-    few = few.dropDuplicates(["lang", "text"])
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_unit", "text"))
-    return few.withColumn("_rank", rank).filter(F.col("_rank") <= rows).select("lang", "text", "_unit")
+    hashed = learn.withColumn("_h", F.xxhash64("text", F.lit("sample")))
+    unit = F.shiftrightunsigned("_h", 12).cast("double") / float(1 << 52)
+    distinct = hashed.select("lang", "_h").distinct().withColumn("_unit", unit)
+    counts = distinct.groupBy("lang").count()  # one row for each language
+    share = F.lit(2.0 * rows) / F.col("count")
+    few = distinct.join(F.broadcast(counts), "lang").filter(F.col("_unit") < share)
+    # about 2 * rows hashes of a language are left, and ``rows`` of them are broadcast
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_unit", "_h"))
+    chosen = few.withColumn("_rank", rank).filter(F.col("_rank") <= rows).select("lang", "_h", "_unit")
+    return hashed.join(F.broadcast(chosen), ["lang", "_h"]).select("lang", "text", "_unit").dropDuplicates(["lang", "text"])
 
 
 def _features(sample: DataFrame, bits: int) -> DataFrame:

@@ -414,6 +414,15 @@ def test_language_id(spark):
     assert langid.identify(docs_.limit(3), blank).first().lang_pred == "und"
 
 
+def test_language_sample_of_copies(spark):
+    """A language of very many copies keeps all its texts in the sample; a language of many texts is cut to ``rows``."""
+    copies = spark.range(40000).select(F.concat(F.lit("text "), F.col("id") % 4).alias("text"), F.lit("aa").alias("lang"))
+    many = spark.range(3000).select(F.concat(F.lit("other "), "id").alias("text"), F.lit("bb").alias("lang"))
+    got = langid._sample(copies.unionByName(many), 20).collect()
+    assert sorted(r.text for r in got if r.lang == "aa") == [f"text {i}" for i in range(4)]
+    assert len({r.text for r in got if r.lang == "bb"}) == sum(r.lang == "bb" for r in got) == 20
+
+
 def test_language_windows():
     text = "Ab c" * 30
     whole = np.concatenate(list(langid.hashes(langid.folded(text), 16)))
