@@ -1,145 +1,185 @@
-"""Exact tokenising through a cache of space-separated chunks.
+"""Exact tokenising of Arrow text columns, each distinct chunk of a batch once.
 
 A pre-tokeniser never lets a piece run across a space that follows a visible character, so a
-text may be cut there and each distinct chunk encoded once; the ids of a text are then the
-joined ids of its chunks.  Values are kept as packed little-endian unsigned 32-bit ids.
+text may be cut there; the ids of a text are then the joined ids of its chunks.  Splitting,
+finding the distinct chunks and joining their ids are array operations; only distinct words
+reach the tokenizer.  Nothing is kept from batch to batch, so memory is bounded by the batch.
 """
 
 from __future__ import annotations
 
 import gc
 import os
-import re
-from array import array
 from collections.abc import Callable
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import kept
 
-_AFTER_VISIBLE = re.compile(r"(?<=\S) ")
-_END_MARKS = ".,;:!?"
+#: Flat ids and the number of ids of each string.
+Ids = tuple[np.ndarray, np.ndarray]
+
+#: Every character that some tokenizer may hold to be white space, as members of a character class.
+_BLANK = r"\t\n\v\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = rf"[{_BLANK}][{_BLANK}]|\A[{_BLANK}]|[{_BLANK}]\z|[{_BLANK.replace(r'\n', '', 1).replace(' ', '', 1)}]"
+_CUT = "\x01"
 #: ASCII punctuation; the apostrophe is left out, as contractions begin with it.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: A mark before a space that may belong to a longer run of marks: what stands before it is no plain letter, digit or blank.
-_MARK_IN_RUN = re.compile("[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f \t][.,;:!?] ")
+#: Letters up to U+00FF: what they are is the same in every version of Unicode, and normal forms leave them alone.
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+_WORD = r"\A[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+\z"
+
+
+def gathered(values: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> Ids:
+    """The joined runs of ``codes``, where run i is the i-th of ``values`` cut by ``lengths``."""
+    starts = (np.cumsum(lengths) - lengths).astype(np.int32)
+    n = lengths.astype(np.int32)[codes]
+    ends = np.cumsum(n, dtype=np.int64)
+    at = np.arange(ends[-1] if len(ends) else 0, dtype=np.int64)
+    at += np.repeat(starts[codes] - (ends - n), n)
+    return values[at], n
+
+
+def flattened(lists: list) -> Ids:
+    return np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int32, len(lists))
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def binary_rows(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Packed little-endian unsigned 32-bit ids of each row; the ids themselves are not copied."""
+    offsets = np.append(0, np.cumsum(4 * lengths.astype(np.int64))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4", copy=False))])
+
+
+def ended(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> Ids:
+    """The rows with ``end_id`` after each."""
+    more = lengths.astype(np.int64) + 1
+    out = np.full(int(more.sum()), end_id, np.uint32)
+    own = np.ones(len(out), bool)
+    own[np.cumsum(more) - 1] = False
+    out[own] = ids
+    return out, more
 
 
 class ChunkEncoder:
-    """Encode texts by cached chunks.
+    """Encode text arrays by their distinct chunks.
 
-    ``encode_many`` encodes a list of strings and returns packed ids for each.  ``spaced`` says
-    whether a leading space belongs to the word that follows (byte-level BPE) or is dropped.
-    ``limit`` bounds the entries of each cache; a full cache starts afresh.  Strings of more
-    than ``longest`` characters are encoded but not kept.
+    ``words(list, led)`` encodes plain words, with a space before each where ``led``;
+    ``whole(list)`` any strings.  ``spaced`` says whether a leading space belongs to the word
+    that follows (byte-level BPE) or is dropped, in which case ``lower`` tells that cases are folded.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], spaced: bool, limit: int = 500_000, longest: int = 64):
-        self.encode_many, self.spaced, self.limit, self.longest = encode_many, spaced, limit, longest
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-
-    def _parts(self, chunk: str, led: bool) -> list[str]:
-        """Strings to encode separately whose ids, joined, are those of the chunk."""
-        lead = " " if led and self.spaced else ""
-        if "\n" in chunk:
-            lines = chunk.split("\n")
-            if not all(lines) or any(x[0].isspace() or x[-1].isspace() for x in lines):
-                return [lead + chunk]
-            out = self._parts(lines[0], led)
-            for line in lines[1:]:
-                if self.spaced:
-                    out.append("\n")
-                out += self._parts(line, False)
-            return out
-        body = chunk.rstrip(_END_MARKS)
-        if body and len(body) < len(chunk) and body.isalpha():
-            return [lead + body, chunk[len(body) :]]
-        return [lead + chunk] if lead + chunk else []
-
-    def _fill(self, cache: dict[str, bytes], wanted: set[str], led: bool) -> list[str]:
-        """Put the wanted strings in the cache; the new ones that are not to stay there."""
-        missing = list(wanted.difference(cache))
-        if not missing:
-            return []
-        if len(cache) + len(missing) > self.limit:
-            cache.clear()
-            missing = list(wanted)
-        if not self.spaced:
-            cache.update(zip(missing, self.encode_many(missing), strict=True))
-            return [k for k in missing if len(k) > self.longest]
-        parts = [self._parts(k, led) for k in missing]
-        words = self.words
-        needed = {w for p in parts for w in p}
-        new = list(needed.difference(words))
-        if len(words) + len(new) > self.limit:
-            words.clear()
-            new = list(needed)
-        if new:
-            words.update(zip(new, self.encode_many(new), strict=True))
-        for k, p in zip(missing, parts, strict=True):
-            cache[k] = words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p])
-        for w in new:
-            if len(w) > self.longest:
-                del words[w]
-        return [k for k in missing if len(k) > self.longest or k[-1:].isspace()]
-
-    def _split(self, text: str) -> list[str]:
-        if not self.spaced:
-            text = text.replace("\n", " ") + " "
-            if _MARK_IN_RUN.search(text) is None:  # the marks stand alone, so they are pieces of their own
-                for mark in _END_MARKS:
-                    text = text.replace(mark + " ", f" {mark} ")
-            return text.split(" ")
-        if "  " in text or "\n " in text:
-            return _AFTER_VISIBLE.split(text)
-        return text.split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
+    def __init__(self, words: Callable[[list[str], bool], Ids], whole: Callable[[list[str]], Ids], spaced: bool, lower: bool = False):
+        self.words, self.whole, self.spaced, self.lower = words, whole, spaced, lower
+
+    def _distinct(self, strings: pa.Array, led: bool) -> Ids:
+        """Ids of distinct strings: of a word and the marks at its end each, or of the whole."""
+        bodies = pc.utf8_rtrim(strings, characters=_MARKS)
+        plain = pc.match_substring_regex(bodies, _WORD)
+        others = strings.filter(pc.invert(plain))
+        bodies, strings = bodies.filter(plain), strings.filter(plain)
+        tails = pc.utf8_ltrim(strings, characters=_LETTERS).dictionary_encode()
+        bodies = (pc.utf8_lower(bodies) if self.lower else bodies).dictionary_encode()
+        others = _strings(others)
+        parts = [self.words(_strings(bodies.dictionary), led), self.whole([*_strings(tails.dictionary), ""]), self.whole([" " + x for x in others] if led else others)]
+        n_words, n_tails, n_others = (len(p[1]) for p in parts)
+        pairs = np.empty((len(plain), 2), np.int64)
+        where = plain.to_numpy(zero_copy_only=False)
+        pairs[where, 0] = bodies.indices.to_numpy(zero_copy_only=False)
+        pairs[where, 1] = n_words + tails.indices.to_numpy(zero_copy_only=False)
+        pairs[~where, 0] = np.arange(n_others) + n_words + n_tails
+        pairs[~where, 1] = n_words + n_tails - 1
+        values, n = gathered(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), pairs.reshape(-1))
+        return values, n.reshape(-1, 2).sum(axis=1)
+
+    def _joined(self, codes: np.ndarray, strings: pa.Array, led: np.ndarray, offsets: np.ndarray) -> Ids:
+        """Ids of texts whose chunks are ``strings[codes]``, a space before those that are ``led``."""
+        parts, coded = [], np.zeros(len(codes), np.int32)
+        base = 0
+        for side in (True, False):
+            mine = led if side else ~led
+            used = np.zeros(len(strings), bool)
+            used[codes[mine]] = True
+            parts.append(self._distinct(strings.filter(pa.array(used)), side))
+            place = np.cumsum(used, dtype=np.int32) + np.int32(base - 1)
+            coded[mine] = place[codes[mine]]
+            base += int(used.sum())
+        values, n = gathered(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), coded)
+        return values, np.diff(np.append(0, np.cumsum(n, dtype=np.int64))[offsets])
+
+    def _plain(self, texts: pa.Array) -> Ids:
+        """Texts whose blanks are single spaces and line feeds between visible characters."""
+        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " \n " if self.spaced else " "), " ")
+        offsets = chunks.offsets.to_numpy()
+        flat = chunks.values.dictionary_encode()
+        codes, strings = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+        led = np.full(len(codes), self.spaced)
+        if self.spaced:
+            led[offsets[:-1]] = False
+            feed = pc.index(strings, "\n").as_py()
+            if feed >= 0:  # a line feed is a piece of its own, and no space follows it
+                feeds = np.flatnonzero(codes == feed)
+                led[feeds] = False
+                led[feeds + 1] = False
+        return self._joined(codes, strings, led, offsets)
+
+    def _cut(self, texts: pa.Array) -> Ids:
+        """Any texts: cut before each space that follows a visible character, except in a text that holds the cut mark."""
+        marked = pc.match_substring(texts, _CUT)
+        cut = pc.if_else(marked, texts, pc.replace_substring_regex(texts, rf"([^{_BLANK}]) ", r"\1" + _CUT + " "))
+        chunks = pc.split_pattern(cut, _CUT)
+        flat = chunks.values.dictionary_encode()
+        codes, strings = flat.indices.to_numpy(zero_copy_only=False), flat.dictionary
+        counts = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
+        if pc.any(marked).as_py():  # put back what was cut at the texts' own marks
+            rows = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+            out = [self._cut(texts.filter(pc.invert(marked))), self.whole(_strings(texts.take(pa.array(rows))))]
+            order = np.empty(len(texts), np.int64)
+            order[np.flatnonzero(~marked.to_numpy(zero_copy_only=False))] = np.arange(len(texts) - len(rows))
+            order[rows] = np.arange(len(texts) - len(rows), len(texts))
+            return gathered(np.concatenate([p[0] for p in out]), np.concatenate([p[1] for p in out]), order)
+        follows = pc.match_substring_regex(strings, rf"\A [^{_BLANK}]")
+        strings = pc.if_else(follows, pc.utf8_slice_codeunits(strings, start=1), strings)
+        return self._joined(codes, strings, follows.to_numpy(zero_copy_only=False)[codes], np.append(0, np.cumsum(counts)))
+
+    def encode(self, texts: pa.Array) -> Ids:
+        """Flat ids of a text array and the number of ids of each; a null text is empty."""
         collecting = gc.isenabled()
-        gc.disable()  # millions of short-lived strings, none in a cycle
+        gc.disable()  # many short-lived lists, none in a cycle
         try:
-            return self._encode(texts)
+            return self._encode(texts.fill_null(""))
         finally:
             if collecting:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        wanted: set[str] = set()
+    def _encode(self, texts: pa.Array) -> Ids:
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if not self.spaced:
-            for s in split:
-                wanted.update(s)
-            gone = self._fill(self.chunks, wanted, False)
-            get = self.chunks.__getitem__
-            out = [b"".join(map(get, s)) for s in split]
-        else:
-            for i, s in enumerate(split):
-                wanted.update(s[1:])
-            # a chunk that ends in white space makes the space after it part of a longer run
-            odd = {c for c in wanted.difference(self.chunks) if c[-1:].isspace()}
-            odd |= {s[0] for s in split if s[0][-1:].isspace()}
-            if odd:
-                split = [_AFTER_VISIBLE.split(t) if not odd.isdisjoint(s) else s for s, t in zip(split, texts, strict=True)]
-                for s in split:
-                    wanted.update(s[1:])
-            gone_heads = self._fill(self.heads, {s[0] for s in split}, False)
-            gone = self._fill(self.chunks, wanted, True)
-            get = self.chunks.__getitem__
-            out = [b"".join([self.heads[s[0]], *map(get, s[1:])]) for s in split]
-            for k in gone_heads:
-                self.heads.pop(k, None)
-        for k in gone:
-            self.chunks.pop(k, None)
-        return out
-
-
-def library_encoder(path: str, spaced: bool, limit: int = 500_000) -> ChunkEncoder:
+            return self._plain(texts)
+        odd = pc.match_substring_regex(texts, _ODD)
+        some = odd.to_numpy(zero_copy_only=False)
+        if not some.any():
+            return self._plain(texts)
+        plain = self._plain(texts.filter(pc.invert(odd))) if not some.all() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        cut = self._cut(texts.filter(odd))
+        order = np.empty(len(texts), np.int64)
+        order[~some] = np.arange(len(plain[1]))
+        order[some] = np.arange(len(plain[1]), len(texts))
+        return gathered(np.concatenate((plain[0], cut[0])), np.concatenate((plain[1], cut[1])), order)
+
+
+def library_encoder(path: str, spaced: bool) -> ChunkEncoder:
     """An encoder over a tokenizers file; special tokens' strings count as ordinary text.
 
-    A plain Latin-1 word is one pre-token, so it goes straight to the library's BPE model,
-    in the form its normaliser and byte mapping would give it; marks that end a word are
-    another pre-token, and short ones are kept.  All else takes the full path.
+    A plain word is one pre-token, so it goes straight to the library's BPE model, in the form
+    its normaliser and byte mapping would give it.  All else takes the full path.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
@@ -149,43 +189,19 @@ def library_encoder(path: str, spaced: bool, limit: int = 500_000) -> ChunkEncod
     model = tokenizer.model
     byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     mapped = {i: byte_level.pre_tokenize_str(chr(i))[0][0] for i in range(256)}  # a character's bytes, as the model's symbols
-    lowers = not spaced
-
-    tails: dict[str, bytes] = {}
-
-    def marks(tail: str) -> bytes:
-        if tail not in tails:
-            if len(tails) >= 10_000:
-                tails.clear()
-            tails[tail] = array("I", tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
-        return tails[tail]
-
-    def encode_many(words: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(words)
-        others = []
-        for n, w in enumerate(words):
-            led = spaced and w[0] == " "
-            letters, tail = w[1:] if led else w, ""
-            if not letters.isalpha():
-                body = letters.rstrip(_MARKS)
-                tail, letters = letters[len(body) :], body
-            if letters.isalpha() and (letters.isascii() or max(letters) < "\u0100") and len(letters) < 1000 and len(tail) <= 16:
-                piece = letters.lower() if lowers else letters
-                piece = piece if piece.isascii() else piece.translate(mapped)
-                piece = mapped[32] + piece if led else piece
-                ids = array("I", [t.id for t in model.tokenize(piece)]).tobytes()
-                out[n] = ids + marks(tail) if tail else ids
-            else:
-                others.append(n)
-        for i in range(0, len(others), 2_000):
-            part = others[i : i + 2_000]
-            for n, e in zip(part, tokenizer.encode_batch_fast([words[n] for n in part], add_special_tokens=False), strict=True):
-                out[n] = array("I", e.ids).tobytes()
-        return out
-
-    return ChunkEncoder(encode_many, spaced, limit)
-
-
-def cached_library_encoder(path: str, spaced: bool, limit: int = 500_000) -> ChunkEncoder:
+
+    def words(strings: list[str], led: bool) -> Ids:
+        lead = mapped[32] if led else ""
+        pieces = [lead + (w if w.isascii() else w.translate(mapped)) for w in strings]
+        return flattened([[t.id for t in model.tokenize(p)] for p in pieces])
+
+    def whole(strings: list[str]) -> Ids:
+        found = (tokenizer.encode_batch_fast(strings[i : i + 2000], add_special_tokens=False) for i in range(0, len(strings), 2000))
+        return flattened([e.ids for part in found for e in part])
+
+    return ChunkEncoder(words, whole, spaced, lower=not spaced)
+
+
+def cached_library_encoder(path: str, spaced: bool) -> ChunkEncoder:
     """One encoder for each Python worker, kept from task to task."""
-    return kept(("library", path, spaced, limit), lambda: library_encoder(path, spaced, limit))
+    return kept(("library", path, spaced), lambda: library_encoder(path, spaced))

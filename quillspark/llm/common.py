@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -17,32 +18,64 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests) a local folder is made and set.
+    A session without it is refused, except in local mode, where one machine's folder is shared by all.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
-_LIVE: list[str] = []
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded():
+    """The paths of the working tables that are written inside this block."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _OPEN.remove(paths)
+
+
+@contextlib.contextmanager
+def working_tables(spark: SparkSession):
+    """Working tables that are written inside this block are deleted at its end, and no others.
+
+    For results that are written out before the block ends.
+    """
+    with recorded() as paths:
+        yield
+    for path in paths:
+        delete(spark, path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own under the shared folder, told to the innermost :func:`recorded` block."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, and what follows sees one fixed
-    set of rows however often it is evaluated.  The table stays until :func:`release`.
+    set of rows however often it is evaluated.  The table stays for the lazy results that read it,
+    unless the caller opened :func:`working_tables`.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    _LIVE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -51,18 +84,7 @@ def dropped(df: DataFrame) -> None:
     """Delete the files of a :func:`stored` frame once nothing reads it any more."""
     files = df.inputFiles()
     if files:
-        folder = os.path.dirname(files[0])
-        _delete(df.sparkSession, folder)
-        _LIVE[:] = [p for p in _LIVE if os.path.basename(p) != os.path.basename(folder)]
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table that :func:`stored` wrote in this process.
-
-    Only for when all results that read them have been written elsewhere.
-    """
-    while _LIVE:
-        _delete(spark, _LIVE.pop())
+        delete(df.sparkSession, os.path.dirname(files[0]))
 
 
 _KEPT: dict[tuple, object] = {}
@@ -84,19 +106,24 @@ def forget() -> None:
     _KEPT.clear()
 
 
-def chars_grouped(batches: Iterable[pa.RecordBatch], text: str, chars: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut Arrow batches into runs of rows holding about ``chars`` bytes; a null text is empty.
+def sized(batches: Iterable[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into runs of rows whose texts hold about ``size`` bytes, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = done = 0
+        while start < len(ends):
+            stop = min(int(np.searchsorted(ends, done + size)) + 1, len(ends))
+            yield batch.slice(start, stop - start)
+            start, done = stop, int(ends[stop - 1])
+
+
+def chars_grouped(batches: Iterable[pa.RecordBatch], text: str, size: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The same runs with their texts, a null text as an empty one.
 
     Only one run's texts are Python strings at a time.
     """
-    for batch in batches:
-        column = batch.column(text)
-        ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        start = size = 0
-        while start < len(ends):
-            stop = min(int(np.searchsorted(ends, size + chars)) + 1, len(ends))
-            yield batch.slice(start, stop - start), [x or "" for x in column.slice(start, stop - start).to_pylist()]
-            start, size = stop, int(ends[stop - 1])
+    for batch in sized(batches, text, size):
+        yield batch, [x or "" for x in batch.column(text).to_pylist()]
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

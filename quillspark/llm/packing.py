@@ -8,23 +8,25 @@ a batch is made of rows of one bucket.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .chunks import cached_library_encoder
-from .common import chars_grouped, documents
+from .chunks import binary_rows, cached_library_encoder, ended
+from .common import documents, sized
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, bucket int, ids binary"
 
 
-def lengths(n: int, max_len: int) -> list[int]:
-    """Piece lengths of n tokens, longest first: n // max_len full pieces, then the set bits of the rest."""
-    rest = n % max_len
-    return [max_len] * (n // max_len) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def pieces(tokens: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, length) of the pieces of documents of ``tokens`` ids: n // max_len full ones, then the set bits of the rest."""
+    sizes = max_len >> np.arange(max_len.bit_length())
+    counts = np.concatenate((tokens[:, None] // max_len, (tokens[:, None] & sizes[None, 1:]) != 0), axis=1)
+    return np.repeat(np.arange(len(tokens)), counts.sum(axis=1)), np.repeat(np.tile(sizes, len(tokens)), counts.reshape(-1))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int = 2048, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 500_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int = 2048, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 12_000_000) -> DataFrame:
     """One row for each piece, with its packed little-endian unsigned 32-bit ``ids``.
 
     ``start`` counts the document's ids before the piece; ``sequence_id`` is unique over the
@@ -35,34 +37,30 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int = 2
     """
     if max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
-    end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encoder = cached_library_encoder(tokenizer_path, True, cache_words)
+        encoder = cached_library_encoder(tokenizer_path, True)
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 34
-        made = [0] * max_len.bit_length()
-        for batch, texts in chars_grouped(batches, "text", 2_000_000):
-            rows = ([], [], [], [], [], [], [])
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                ids += end
-                n, start = len(ids) // 4, 0
-                for size in lengths(n, max_len):
-                    bucket = size.bit_length() - 1
-                    for column, value in zip(rows, (doc_id, start, size, n, bucket << 58 | base | made[bucket], bucket, ids[4 * start : 4 * (start + size)]), strict=True):
-                        column.append(value)
-                    made[bucket] += 1
-                    start += size
-            doc_ids, starts, sizes, totals, sequences, buckets, pieces = rows
-            long = pa.int64()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, long), pa.array(starts, long), pa.array(sizes, long), pa.array(totals, long), pa.array(sequences, long), pa.array([0] * len(sizes), long), pa.array(buckets, pa.int32()), pa.array(pieces, pa.binary())],
-                names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "bucket", "ids"],
-            )
+        made = np.zeros(max_len.bit_length(), np.int64)
+        for batch in sized(batches, "text", batch_bytes):
+            ids, tokens = ended(*encoder.encode(batch.column("text")), end_id)
+            row, length = pieces(tokens, max_len)
+            bucket = np.log2(length).astype(np.int64)
+            before = np.cumsum(length) - length
+            order = np.argsort(bucket, kind="stable")
+            count = np.bincount(bucket, minlength=len(made))
+            turn = np.empty(len(row), np.int64)  # how many of its bucket come before it
+            turn[order] = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            sequence = bucket << 58 | base | made[bucket] + turn
+            made += count
+            starts = before - (np.cumsum(tokens) - tokens)[row]
+            columns = [batch.column("doc_id").take(pa.array(row)), pa.array(starts), pa.array(length), pa.array(tokens[row]), pa.array(sequence), pa.array(np.zeros(len(row), np.int64)), pa.array(bucket.astype(np.int32)), binary_rows(ids, length)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "bucket", "ids"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
-def write_buckets(pieces: DataFrame, path: str) -> None:
+def write_buckets(packed: DataFrame, path: str) -> None:
     """Write the pieces with one folder for each length, so that a reader draws equal lengths."""
-    pieces.write.partitionBy("bucket").parquet(path)
+    packed.write.partitionBy("bucket").parquet(path)
