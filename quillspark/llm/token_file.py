@@ -15,16 +15,14 @@ store), beside the ids and lengths of their documents.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import cached_library_encoder
-from .common import chars_grouped, documents
+from .chunks import binary_rows, cached_library_encoder, ended
+from .common import documents, sized
 
 BLOCK = 128
 MAGIC = b"PFR1"
@@ -65,25 +63,32 @@ def encode_segment(ids: np.ndarray, percentile: float = 90.0) -> bytes:
     return b"".join([MAGIC, np.array([n, blocks, len(patch)], "<u4").tobytes(), words_at.tobytes(), patch_at.tobytes(), low.astype("<u4").tobytes(), width.tobytes(), words.tobytes(), place.astype(np.uint8).tobytes(), patch.astype("<u4").tobytes()])
 
 
-def decode_segment(image: bytes) -> np.ndarray:
-    """The ids of an image."""
+def decode_range(image: bytes, start: int = 0, count: int | None = None) -> np.ndarray:
+    """``count`` ids of an image from ``start`` on (all that follow without it).
+
+    The block index tells where the blocks that hold them lie; no others are unpacked.
+    """
     if image[:4] != MAGIC:
         raise ValueError("not a token segment")
     n, blocks, patches = np.frombuffer(image, "<u4", 3, 4).tolist()
-    if not blocks:
+    count = n - start if count is None else min(count, n - start)
+    if count <= 0:
         return np.zeros(0, np.uint32)
-    at = 16
-
-    def take(kind, count):
-        nonlocal at
-        out = np.frombuffer(image, kind, count, at)
-        at += out.nbytes
-        return out
-
-    words_at, patch_at = take("<u4", blocks + 1), take("<u4", blocks + 1)
-    low, width = take("<u4", blocks), take(np.uint8, blocks)
-    words, place, patch = take("<u8", int(words_at[-1])), take(np.uint8, patches), take("<u4", patches)
-    values = np.zeros((blocks, BLOCK), np.uint32)
+    first, last = start // BLOCK, (start + count - 1) // BLOCK + 1
+    index = 16
+    heads = index + 8 * (blocks + 1)
+    packed_at = heads + 5 * blocks
+    words_at, patch_at = (np.frombuffer(image, "<u4", last - first + 1, index + 4 * (k * (blocks + 1) + first)).astype(np.int64) for k in (0, 1))
+    low = np.frombuffer(image, "<u4", last - first, heads + 4 * first)
+    width = np.frombuffer(image, np.uint8, last - first, heads + 4 * blocks + first)
+    all_words = int(np.frombuffer(image, "<u4", 1, index + 4 * blocks)[0])
+    words = np.frombuffer(image, "<u8", int(words_at[-1] - words_at[0]), packed_at + 8 * int(words_at[0]))
+    exceptions = packed_at + 8 * all_words
+    some = int(patch_at[-1] - patch_at[0])
+    place = np.frombuffer(image, np.uint8, some, exceptions + int(patch_at[0]))
+    patch = np.frombuffer(image, "<u4", some, exceptions + patches + 4 * int(patch_at[0]))
+    words_at -= words_at[0]
+    values = np.zeros((last - first, BLOCK), np.uint32)
     for w in np.unique(width):
         if w:
             own = np.flatnonzero(width == w)
@@ -97,47 +102,53 @@ def decode_segment(image: bytes) -> np.ndarray:
                     v = v | packed[bit + 1] << np.uint64(64 - shift)
                 lanes[i] = v & mask
             values[own] = lanes.T
-    values[np.repeat(np.arange(blocks), np.diff(patch_at.astype(np.int64))), place] = patch
-    return (values + low[:, None]).reshape(-1)[:n]
+    values[np.repeat(np.arange(last - first), np.diff(patch_at)), place] = patch
+    return (values + low[:, None]).reshape(-1)[start - first * BLOCK :][:count]
+
+
+def decode_segment(image: bytes) -> np.ndarray:
+    """All ids of an image."""
+    return decode_range(image)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, segment_ids: int = 1 << 20, percentile: float = 90.0, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 300_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, segment_ids: int = 1 << 20, percentile: float = 90.0, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8_000_000) -> None:
     """Encode every text, append the end id, and write segments in ascending doc_id order.
 
     The documents are range-partitioned by doc_id, so parts follow one another; in a part,
     segments do.  Nulls sort first; rows of equal doc_id follow by a hash of their text.  A null text
     is its end id alone.  A document lies in one segment.  An empty table writes no segment.
     """
-    end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encoder = cached_library_encoder(tokenizer_path, False, cache_words)
+        encoder = cached_library_encoder(tokenizer_path, False)
         context = TaskContext.get()
         part, base = context.partitionId() if context else 0, 0
-        doc_ids, sizes, held = [], [], []
+        held: list[tuple] = []
 
         def flush():
-            nonlocal base, doc_ids, sizes, held
-            image = encode_segment(np.frombuffer(b"".join(held), "<u4"), percentile)
+            nonlocal base, held
+            ids, sizes = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            one = pa.array([0, len(sizes)], pa.int32())
             row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([base], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([sum(sizes)], pa.int64()), pa.array([image], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([base], pa.int64()), pa.ListArray.from_arrays(one, pa.concat_arrays([h[0] for h in held])), pa.ListArray.from_arrays(one, pa.array(sizes)), pa.array([len(ids)], pa.int64()), pa.array([encode_segment(ids, percentile)], pa.binary())],
                 names=["part", "base", "doc_ids", "doc_tokens", "n_tokens", "image"],
             )
-            base, doc_ids, sizes, held = base + sum(sizes), [], [], []
+            base, held = base + len(ids), []
             return row
 
         total = 0
-        for batch, texts in chars_grouped(batches, "text", 2_000_000):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                ids += end
-                doc_ids.append(doc_id)
-                sizes.append(len(ids) // 4)
-                held.append(ids)
-                total += sizes[-1]
+        for batch in sized(batches, "text", batch_bytes):
+            ids, sizes = ended(*encoder.encode(batch.column("text")), end_id)
+            ends, first, done = np.cumsum(sizes), 0, 0
+            while first < len(sizes):  # up to the document that fills the segment
+                last = min(int(np.searchsorted(ends, done + segment_ids - total)), len(sizes) - 1) + 1
+                held.append((batch.column("doc_id").slice(first, last - first), ids[done : ends[last - 1]], sizes[first:last]))
+                total += int(ends[last - 1]) - done
+                first, done = last, int(ends[last - 1])
                 if total >= segment_ids:
                     yield flush()
                     total = 0
-        if doc_ids:
+        if held:
             yield flush()
 
     keyed = documents(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))  # the range sample reaches the driver: no texts in it
@@ -158,16 +169,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = decode_segment(row["image"]).astype("<u4", copy=False)
-                sizes = np.array(row["doc_tokens"], np.int64)
-                ends = np.cumsum(sizes)
-                for i in range(0, len(sizes), 2000):
-                    cut = range(i, min(i + 2000, len(sizes)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["doc_ids"][j] for j in cut], pa.int64()), pa.array(row["base"] + ends[i : i + 2000] - sizes[i : i + 2000]), pa.array(sizes[i : i + 2000]), pa.array([ids[ends[j] - sizes[j] : ends[j]].tobytes() for j in cut], pa.binary())],
-                        names=["doc_id", "start", "n_tokens", "ids"],
-                    )
+            for i in range(batch.num_rows):
+                image = batch.column("image")[i].as_py()
+                doc_ids, sizes = batch.column("doc_ids")[i].values, batch.column("doc_tokens")[i].values.to_numpy()
+                base = batch.column("base")[i].as_py()
+                starts = np.cumsum(sizes) - sizes
+                for at in range(0, len(sizes), 2000):
+                    own = sizes[at : at + 2000]
+                    ids = decode_range(image, int(starts[at]), int(own.sum()))
+                    yield pa.RecordBatch.from_arrays([doc_ids.slice(at, len(own)), pa.array(base + starts[at : at + len(own)]), pa.array(own), binary_rows(ids, own)], names=["doc_id", "start", "n_tokens", "ids"])
 
     joined = segments.join(F.broadcast(parts), "part").select("doc_ids", "doc_tokens", (F.col("base") + F.col("part_base")).alias("base"), "image")
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
