@@ -1,25 +1,29 @@
 """Byte-level BPE from a rank file: encoding by a hierarchical-bitmap rank queue, and decoding.
 
-All pre-tokens of a batch lie in one byte array, linked to their neighbours within a pre-token.
-Each merge rank has a bucket of positions whose pair would merge at that rank; a bitmap of
-bitmaps marks the buckets in use.  Find-first-set gives the lowest rank, its bucket is emptied,
-entries whose pair has changed since are skipped, and what the merges made is put in its own
-buckets.  Time follows the number of merges, so very long pre-tokens cost no more a byte.
+The bytes of a pre-token are linked to their neighbours.  Each merge rank has a bucket of
+positions whose pair would merge at that rank; a bitmap of bitmaps marks the buckets in use.
+Find-first-set gives the lowest rank, entries whose pair has changed since are skipped, and
+what a merge makes is put in its own bucket.
+
+The short pre-tokens of a batch share one queue: a bucket is emptied in one go, as array
+operations.  A pre-token of more than ``LONG`` bytes has a queue of its own, whose buckets are heaps that
+give the leftmost place first, so its time follows the number of its merges.
 """
 
 from __future__ import annotations
 
 import base64
-from array import array
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import ChunkEncoder
-from .common import chars_grouped, documents, kept
+from .chunks import ChunkEncoder, Ids, binary_rows, flattened, gathered
+from .common import documents, kept, sized
 
 NONE = 1 << 30
+LONG = 256
 
 
 class RankBitmap:
@@ -66,7 +70,7 @@ class Merger:
         self.ranks = ranks
         self.size = max(ranks.values()) + 1
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        pairs = {}
+        self.pairs = pairs = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
@@ -88,21 +92,79 @@ class Merger:
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each byte string."""
+        return binary_rows(*self.ids(words)).to_pylist()
+
+    def ids(self, words: list[bytes]) -> Ids:
+        """Flat ids of byte strings and the number of ids of each."""
         whole = [self.ranks.get(w) for w in words]
-        out = [b"" if r is None else r.to_bytes(4, "little") for r in whole]
-        rest = [i for i, r in enumerate(whole) if r is None and words[i]]
-        if not rest:
-            return out
-        sizes = np.array([len(words[i]) for i in rest])
-        data = np.frombuffer(b"".join([words[i] for i in rest]), np.uint8)
-        ids, alive, word = self._merge(self.byte_ids[data], sizes)
-        counts = np.bincount(word[alive], minlength=len(rest))
-        packed, ends = ids[alive].astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-        start = 0
-        for i, end in zip(rest, ends, strict=True):
-            out[i] = packed[start:end]
-            start = end
-        return out
+        parts, order = [flattened([[r] for r in whole if r is not None])], [i for i, r in enumerate(whole) if r is not None]
+        rest = [i for i, r in enumerate(whole) if r is None]
+        short = [i for i in rest if 0 < len(words[i]) <= LONG]
+        if short:
+            sizes = np.array([len(words[i]) for i in short])
+            data = np.frombuffer(b"".join([words[i] for i in short]), np.uint8)
+            ids, alive, word = self._merge(self.byte_ids[data], sizes)
+            parts.append((ids[alive].astype(np.uint32), np.bincount(word[alive], minlength=len(short))))
+            order += short
+        for i in rest:
+            if not 0 < len(words[i]) <= LONG:
+                one = self._merge_long(words[i])
+                parts.append((one, np.array([len(one)])))
+                order.append(i)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        return gathered(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), place)
+
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one byte string, by a queue whose buckets are heaps of places."""
+        start = self.byte_ids[np.frombuffer(word, np.uint8)]
+        n = len(start)
+        rank = np.append(self._pair(start[:-1], start[1:]), NONE) if n else start
+        places = np.flatnonzero(rank < NONE)
+        places = places[np.argsort(rank[places], kind="stable")]
+        heads = np.flatnonzero(np.append(True, np.diff(rank[places]) > 0)) if len(places) else places
+        buckets, used = {}, RankBitmap(self.size)
+        for r, part in zip(rank[places[heads]].tolist(), np.split(places, heads[1:]), strict=True) if len(places) else ():
+            buckets[r] = part.tolist()  # ascending, so a heap
+            used.add(r)
+        ids, rank, after, before = start.tolist(), rank.tolist(), list(range(1, n + 1)), list(range(-1, n))
+        pair = self.pairs.get
+        while (r := used.first()) >= 0:
+            bucket, low = buckets[r], NONE
+            while bucket and low > r:  # until a merge brings a lower rank
+                at = heappop(bucket)
+                if rank[at] != r:
+                    continue
+                gone = after[at]
+                then = after[gone]
+                ids[at], after[at], rank[gone] = r, then, NONE
+                before[then] = at
+                rank[at] = new = pair(r << 32 | ids[then], NONE) if then < n else NONE
+                if new < NONE:
+                    low = min(low, new)
+                    if new in buckets:
+                        heappush(buckets[new], at)
+                    else:
+                        buckets[new] = [at]
+                        used.add(new)
+                left = before[at]
+                if left >= 0:
+                    rank[left] = new = pair(ids[left] << 32 | r, NONE)
+                    if new < NONE:
+                        low = min(low, new)
+                        if new in buckets:
+                            heappush(buckets[new], left)
+                        else:
+                            buckets[new] = [left]
+                            used.add(new)
+            if not bucket:
+                del buckets[r]
+                used.discard(r)
+        out, at = [], 0
+        while at < n:
+            out.append(ids[at])
+            at = after[at]
+        return np.array(out, np.uint32)
 
     def _merge(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(ids)
@@ -179,41 +241,45 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def text_encoder(ranks: dict[bytes, int], pattern: str, limit: int = 500_000) -> ChunkEncoder:
-    """Encode texts: every match of ``pattern`` separately, distinct ones once while they are cached."""
+def text_encoder(ranks: dict[bytes, int], pattern: str) -> ChunkEncoder:
+    """Encode texts: every match of ``pattern`` separately, the distinct ones of a batch together."""
     import regex
 
     merger, split = Merger(ranks), regex.compile(pattern)
 
-    def encode_many(words: list[str]) -> list[bytes]:
-        matches = [[w] if w.isalpha() or w[:1] == " " and w[1:].isalpha() else split.findall(w) for w in words]
-        distinct = list({m for x in matches for m in x})
-        ids = dict(zip(distinct, merger.encode([m.encode() for m in distinct]), strict=True))
-        return [ids[x[0]] if len(x) == 1 else b"".join([ids[m] for m in x]) for x in matches]
+    def words(strings: list[str], led: bool) -> Ids:
+        return merger.ids([(" " + w if led else w).encode() for w in strings])
 
-    return ChunkEncoder(encode_many, True, limit)
+    def whole(strings: list[str]) -> Ids:
+        matches = [split.findall(w) for w in strings]
+        codes: dict[str, int] = {}
+        flat = [codes.setdefault(m, len(codes)) for own in matches for m in own]
+        values, n = gathered(*merger.ids([m.encode() for m in codes]), np.array(flat, np.int64))
+        ends = np.append(0, np.cumsum(n, dtype=np.int64))[np.cumsum([0, *map(len, matches)])]
+        return values, np.diff(ends)
 
+    return ChunkEncoder(words, whole, True)
 
-_TOKENS: dict[str, list[bytes]] = {}
 
-
-def _tokens(ranks_path: str) -> list[bytes]:
+def _token_bytes(ranks_path: str) -> pa.Array:
     """The bytes of each id."""
-    if ranks_path not in _TOKENS:
-        ranks = load_ranks(ranks_path)
-        _TOKENS[ranks_path] = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            _TOKENS[ranks_path][rank] = token
-    return _TOKENS[ranks_path]
+    ranks = load_ranks(ranks_path)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return pa.array(tokens, pa.binary())
 
 
-def _decoded(column: pa.ListArray, tokens: list[bytes]) -> pa.Array:
-    token = tokens.__getitem__
-    values, offsets = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().to_pylist()]).tolist()
-    return pa.array([b"".join(map(token, values[a:b].tolist())) for a, b in zip(offsets, offsets[1:])], pa.binary())
+def _decoded(ids: np.ndarray, counts: np.ndarray, tokens: pa.Array) -> pa.Array:
+    """The joined bytes of each row's ids."""
+    pieces = tokens.take(pa.array(ids.astype(np.int32, copy=False)))
+    ends = pieces.buffers()[1]
+    bounds = np.frombuffer(ends, np.int32, len(ids) + 1) if ends is not None else np.zeros(1, np.int32)
+    offsets = bounds[np.append(0, np.cumsum(counts, dtype=np.int64))]
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pieces.buffers()[2] or pa.py_buffer(b"")])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = 350_000, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 12_000_000, decoded: bool = False) -> DataFrame:
     """doc_id and ids array<int> of each whole text, as the rank file's tokenizer gives them without special tokens.
 
     With ``decoded``, also that column: the bytes that the ids decode to, made in the same pass.
@@ -222,17 +288,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """
 
     def run(batches):
-        encoder = kept(("ranks", ranks_path, pattern, cache_words), lambda: text_encoder(load_ranks(ranks_path), pattern, cache_words))
-        for batch, texts in chars_grouped(batches, "text", 4_500_000):
-            packed = encoder.encode(texts)
-            for i in range(0, len(packed), 500):
-                part = packed[i : i + 500]
-                offsets = np.zeros(len(part) + 1, np.int32)
-                np.cumsum([len(p) // 4 for p in part], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(part), "<i4")))
-                columns = {"doc_id": batch.column("doc_id").slice(i, len(part)), "ids": ids}
+        encoder, tokens = kept(("ranks", ranks_path, pattern), lambda: (text_encoder(load_ranks(ranks_path), pattern), _token_bytes(ranks_path)))
+        for batch in sized(batches, "text", batch_bytes):
+            ids, counts = encoder.encode(batch.column("text"))
+            ends = np.cumsum(counts, dtype=np.int64)
+            for i in range(0, len(counts), 2000):
+                own = counts[i : i + 2000]
+                values = ids[ends[i] - counts[i] : ends[i + len(own) - 1]]
+                offsets = np.append(0, np.cumsum(own)).astype(np.int32)
+                columns = {"doc_id": batch.column("doc_id").slice(i, len(own)), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))}
                 if decoded:
-                    columns["decoded"] = _decoded(ids, _tokens(ranks_path))
+                    columns["decoded"] = _decoded(values, own, tokens)
                 yield pa.RecordBatch.from_pydict(columns)
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
@@ -242,8 +308,10 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
     """Add ``decoded`` binary, the bytes of the ids; null ids decode to no bytes."""
 
     def run(batches):
+        tokens = kept(("token bytes", ranks_path), lambda: _token_bytes(ranks_path))
         for batch in batches:
-            column = batch.column(ids_col).fill_null([]) if batch.column(ids_col).null_count else batch.column(ids_col)
-            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(column, _tokens(ranks_path))], names=[*batch.schema.names, "decoded"])
+            column = batch.column(ids_col)
+            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(column.flatten().to_numpy(zero_copy_only=False), counts, tokens)], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in encoded.schema)}, decoded binary")

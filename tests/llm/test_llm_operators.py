@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -48,14 +49,15 @@ def test_packing(spark):
         ids = packed(t.encode(text or "", add_special_tokens=False).ids + [1])
         own = sorted(by_doc[i if i < len(ODD) - 1 else None], key=lambda r: r.start)
         assert b"".join(r.ids for r in own) == ids and [r.start for r in own] == list(np.cumsum([0] + [r.length for r in own[:-1]])) and {r.doc_tokens for r in own} == {len(ids) // 4}
-    assert packing.lengths(5000, 2048) == [2048, 2048, 512, 256, 128, 8]
+    row, length = packing.pieces(np.array([5000, 1, 2048, 4096]), 2048)
+    assert length.tolist() == [2048, 2048, 512, 256, 128, 8, 1, 2048, 2048, 2048] and row.tolist() == [0] * 6 + [1, 2, 3, 3]
     assert packing.pack(docs(spark, ODD).limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
 def test_byte_bpe(spark):
     ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    out = bpe.decode(bpe.encode(docs(spark, ODD), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, cache_words=20), P.path("byte_bpe_50k.tiktoken")).collect()
+    out = bpe.decode(bpe.encode(docs(spark, ODD), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, batch_bytes=20), P.path("byte_bpe_50k.tiktoken")).collect()
     got = {r.doc_id: r for r in out}
     for i, text in enumerate(ODD):
         r = got[i if i < len(ODD) - 1 else None]
@@ -76,6 +78,27 @@ def test_merges_that_open_lower_ranks():
         assert ids == packed(library._encode_single_piece(w)), w
 
 
+@pytest.mark.parametrize("unit", ["nd", "th", "and", "ab c"])
+def test_very_long_pre_tokens(unit):
+    """The queue of long pre-tokens gives the library's ids, and its time follows the length."""
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    merger = bpe.Merger(ranks)
+    for n in (300, 9001):
+        word = (unit * n).encode()
+        assert merger.ids([word])[0].tolist() == library._encode_single_piece(word)
+    begun = time.process_time()
+    merger.ids([(unit * (1_000_000 // len(unit))).encode()])
+    assert time.process_time() - begun < 20  # quadratic time would take hours
+
+
+def test_token_ranges():
+    ids = np.random.default_rng(1).integers(0, 50_000, 5000).astype(np.uint32)
+    image = token_file.encode_segment(ids)
+    for start, count in ((0, 5000), (0, 1), (127, 2), (128, 128), (4999, 1), (1000, 777), (4990, 100), (5000, 3)):
+        assert (token_file.decode_range(image, start, count) == ids[start : start + count]).all()
+
+
 def test_rank_bitmap():
     bitmap, model, rng = bpe.RankBitmap(50_000), set(), random.Random(2)
     for _ in range(5000):
@@ -464,20 +487,18 @@ def test_contracts(spark):
 @pytest.mark.parametrize("name, spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_chunk_encoder_at_odd_marks(name, spaced):
     """Cached chunks give the library's ids where marks, blanks, cases and scripts meet."""
-    import random
-
-    import public_tokenizers as P
+    import pyarrow as pa
 
-    from quillspark.llm.chunks import library_encoder
+    from quillspark.llm.chunks import binary_rows, library_encoder
 
-    parts = ["foo", "Foo", "Äpfel", "ΣΑΣ", "İx", "don't", "'s", "3", "²", ".", ",", "!", "...", "$$$", "###", '"', "_", " ", "  ", "\n", "\n\n", "\t", "\x1c", "\u00a0", "中文", "。", "\u0301", "\u037e", "🙂", "<|endoftext|>", "a" * 70]
+    parts = ["foo", "Foo", "Äpfel", "ΣΑΣ", "İx", "don't", "'s", "3", "²", ".", ",", "!", "...", "$$$", "###", '"', "_", " ", "  ", "\n", "\n\n", "\t", "\x1c", "\u00a0", "中文", "。", "\u0301", "\u037e", "🙂", "<|endoftext|>", "a" * 70, "\x01", "ª", "\u180e"]
     rng = random.Random(5)
     texts = ["", *("".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(25))) for _ in range(3000))]
     library = tokenizer(name)
     library.encode_special_tokens = True
     expected = [packed(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
-    encoder = library_encoder(P.path(name), spaced, limit=500)
-    assert [x for i in range(0, len(texts), 100) for x in encoder.encode(texts[i : i + 100])] == expected
+    encoder = library_encoder(P.path(name), spaced)
+    assert [x for i in range(0, len(texts), 100) for x in binary_rows(*encoder.encode(pa.array(texts[i : i + 100]))).to_pylist()] == expected
 
 
 def test_chars_grouped():

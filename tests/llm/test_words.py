@@ -1,11 +1,12 @@
 """Word hashing helpers against plain Python."""
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillspark.llm import components, jaccard, words
-from quillspark.llm.chunks import ChunkEncoder
+from quillspark.llm.chunks import ChunkEncoder, flattened
 
 TEXT = st.text(alphabet="ab é\n\t日", max_size=40)
 
@@ -69,12 +70,13 @@ def test_verification_is_exact(a, b):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(alphabet="ab .\n,é　", max_size=20), max_size=6))
+@given(st.lists(st.text(alphabet="ab .\n,é　\x01", max_size=20), max_size=6))
 def test_chunks_join_to_the_whole(texts):
     import regex
     import public_tokenizers as P
 
     pattern = regex.compile(P.PATTERN)
-    whole = lambda t: b"".join(f"<{m}>".encode() for m in pattern.findall(t))
-    encoder = ChunkEncoder(lambda ws: [whole(w) for w in ws], True, limit=7, longest=3)
-    assert encoder.encode(texts) == [whole(t) for t in texts]
+    spelled = lambda t: [ord(c) for m in pattern.findall(t) for c in f"<{m}>"]
+    encoder = ChunkEncoder(lambda ws, led: flattened([spelled(" " * led + w) for w in ws]), lambda ws: flattened([spelled(w) for w in ws]), True)
+    ids, counts = encoder.encode(pa.array(texts, pa.string()))
+    assert ids.tolist() == sum(map(spelled, texts), []) and counts.tolist() == [len(spelled(t)) for t in texts]
