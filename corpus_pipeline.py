@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
-Each stage reads what its predecessor wrote (so working tables of earlier stages are deleted when
-one begins) and its decisions take effect: documents without a
+Each stage reads what its predecessor wrote (so the working tables of the stage before are deleted
+when one begins) and its decisions take effect: documents without a
 recognisable language go, repeated runs of lines are cut out, one document of each group of near
 duplicates stays, repeated passages are cut out, and what is left is packed.  A document of
 which nothing is left goes.
@@ -9,16 +9,34 @@ which nothing is left goes.
 
 from __future__ import annotations
 
-import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import jaccard, langid, line_dedup, packing, suffix_dedup
-from quillspark.llm.common import release, shared_dir
+from quillspark.llm.common import delete, new_folder, recorded
 from quillspark.llm.queries import vocabulary
 
 
+_BEFORE: list[str] = []
+
+
+def _stage(function):
+    """A stage that first deletes the working tables of the stage before, whose result has been written."""
+
+    @wraps(function)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _BEFORE:
+            delete(spark, _BEFORE.pop())
+        with recorded() as paths:
+            out = function(spark, docs, sf_dir)
+        _BEFORE.extend(paths)
+        return out
+
+    return staged
+
+
 def _documents(docs: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of ``like``, with n_chars counted anew and emptied documents left out."""
     if "n_chars" in like.columns:
@@ -26,31 +44,31 @@ def _documents(docs: DataFrame, like: DataFrame) -> DataFrame:
     return docs.filter(F.col("text").rlike(r"\S")).select(like.columns)
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
     return langid.accept(docs, langid.train_on_documents(docs)).select(docs.columns)
 
 
+@_stage
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
     return _documents(line_dedup.dedup_lines(docs, run=3), docs)
 
 
+@_stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
     gone = jaccard.similar_documents(docs, threshold=0.8, shingle=5, hashed=True).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_th"))
     text = docs["text"].cast("string")
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(text) == F.col("_th")), "left_anti")
 
 
+@_stage
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
     found = suffix_dedup.repeated_passages(docs, passage=50)
     return _documents(suffix_dedup.remove_passages(docs, found), docs)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=1, max_len=2048)
 
 
@@ -67,10 +85,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """The rows of the last stage; what earlier stages wrote is deleted as soon as the next one has read it."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    release(spark)
+        path = new_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
+    while _BEFORE:
+        delete(spark, _BEFORE.pop())
     return docs
