@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order of its nearest pivots.  In each block of vectors every
-pivot has an inverted file of the vectors that have it among their ``prefix`` nearest, with its
-place in their order.  A query reads the files of its own nearest pivots, sums the footrule
-distance of places (a vector that is not in a file counts as at place ``prefix``), and the ``rerank`` share (``least`` at least)
-of each block that is nearest by footrule is ranked by the exact inner product.
-
-Queries and vectors are dealt in blocks of bounded size, so memory in a task is bounded.
+A vector is represented by the order of its ``prefix`` nearest pivots and posted, with its place
+in that order, in the inverted file of each of them.  A query reads the files of its own
+nearest pivots only and adds up the footrule distance from what is posted there: of a pivot
+that both orders hold the difference of places, of any other the places cut off at
+``prefix``; what is left of that sum for a vector, less the same constant for all, is its
+``prefix - max(place, place)`` over the files in which it is met.  The ``rerank`` share of a
+block that is nearest by footrule is ranked by the exact inner product.
+
+Vectors are dealt in blocks of bounded size with files of their own, and queries too, so
+memory in a task is bounded.
 """
 
 from __future__ import annotations
@@ -51,22 +54,62 @@ def pivots_of(rows: DataFrame, count: int, apart: float = 0.8) -> np.ndarray:
     return sample[taken]
 
 
-def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """Places of all pivots in each vector's order (pivots x vectors), cut at ``prefix``."""
-    near = np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")
-    places = np.empty(near.shape, np.int16)
-    np.put_along_axis(places, near, np.arange(near.shape[1], dtype=np.int16)[None, :], 1)
-    return np.ascontiguousarray(np.minimum(places, prefix).T)
+def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+    """The order of each vector's ``prefix`` nearest pivots (vectors x prefix), ties to the first pivot."""
+    return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :prefix]
+
+
+class InvertedFiles:
+    """For each pivot the vectors that have it among their nearest, with its place in their order."""
+
+    def __init__(self, near: np.ndarray, pivots: int):
+        n, self.prefix = near.shape
+        by_pivot = np.argsort(near.reshape(-1).astype(np.uint16), kind="stable")
+        self.vector, self.place = by_pivot // self.prefix, (by_pivot % self.prefix).astype(np.int32)
+        self.start = np.append(0, np.cumsum(np.bincount(near.reshape(-1), minlength=pivots)))
+        self.n = n
 
+    def closeness(self, order: np.ndarray) -> np.ndarray:
+        """A constant less half the footrule distance of every vector to a query's order; 0 for one met in none of its files."""
+        files = [slice(self.start[p], self.start[p + 1]) for p in order]
+        met = np.concatenate([self.vector[f] for f in files])
+        gain = np.concatenate([self.prefix - np.maximum(self.place[f], j) for j, f in enumerate(files)])
+        return np.bincount(met, gain, self.n)
 
-def search(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256, prefix: int = 128, rerank: float = 0.2, least: int = 1024, block: int = 8192, query_block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+
+def ranked(ids: np.ndarray, vectors: np.ndarray, ask: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and inner products of the ``k`` best, ties to the smaller id, each id once.
+
+    A first product picks the finalists; their scores are summed again in one order, so that equal
+    vectors have equal scores wherever they lie.
+    """
+    rough = vectors @ ask
+    if len(rough) > 4 * k:
+        cut = np.partition(rough, len(rough) - k)[len(rough) - k]
+        distinct = k
+        while True:  # more where an id repeats
+            some = rough >= cut - 1e-9 * max(1.0, abs(cut))
+            if len(np.unique(ids[some])) >= k or some.all():
+                break
+            distinct = min(2 * distinct, len(rough))
+            cut = np.partition(rough, len(rough) - distinct)[len(rough) - distinct]
+        ids, vectors = ids[some], vectors[some]
+    score = (vectors * ask[None, :]).sum(axis=1)
+    order = np.lexsort((ids, -score))
+    _, first = np.unique(ids[order], return_index=True)
+    order = order[np.sort(first)][:k]
+    return ids[order], score[order]
+
+
+def search(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256, prefix: int = 64, rerank: float = 0.2, least: int = 256, block: int = 8192, query_block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query by inner product, its own row left out.
 
     Ties go to the smaller vec_id.  Vectors that are null, empty, zero or hold null or
     non-finite components take no part, nor do vectors of another length than the most usual
     one, nor null ids.  Rows repeated with one id count once, by their largest score.  Fewer
     candidates than ``k`` give fewer rows; an empty table none.  The index is fitted on
-    a sample of 4 * ``pivots`` vectors; every vector is indexed.
+    a sample of 4 * ``pivots`` vectors; every vector is indexed.  Of each block the ``rerank``
+    share and ``least`` vectors at least are reranked.
     """
     spark = table.sparkSession
     rows = usable(table, id_col, vector_col).filter("vec_id IS NOT NULL")
@@ -86,32 +129,20 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256,
     right = asked.select("vec_id", "vector", query_seat.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
 
     def nearest(index: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
+        found = []
         if len(index) and len(wanted):
-            index = index.sort_values("vec_id", kind="stable")
             ids = index["vec_id"].to_numpy()
             vectors, asks = np.stack(index["vector"].to_list()), np.stack(wanted["vector"].to_list())
             depth = min(prefix, len(shared.value))
-            files = orders(vectors, shared.value, depth)
-            near = np.argsort(-(asks @ shared.value.T), axis=1, kind="stable")[:, :depth]
+            files = InvertedFiles(nearest_pivots(vectors, shared.value, depth), len(shared.value))
             keep = min(len(ids), max(least, 4 * k, int(rerank * len(ids))) + 1)
-            place = np.arange(depth, dtype=np.int16)[:, None]
-            for own, ask, order in zip(wanted["vec_id"].to_numpy(), asks, near, strict=True):
-                posted = files[order]
-                # the distance over both lists, less a constant: what a vector posts elsewhere is what it does not post here
-                footrule = (np.abs(posted - place) + posted).sum(axis=0, dtype=np.int32)
-                some = np.argpartition(footrule, keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
+            for own, ask, order in zip(wanted["vec_id"].to_numpy(), asks, nearest_pivots(asks, shared.value, depth), strict=True):
+                close = files.closeness(order)
+                some = np.argpartition(-close, keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
                 some = some[ids[some] != own]
-                score = vectors[some] @ ask
-                best = np.lexsort((ids[some], -score))
-                seen = set()
-                for i in best:
-                    if (v := int(ids[some[i]])) not in seen:
-                        seen.add(v)
-                        found.append((int(own), v, float(score[i])))
-                        if len(seen) == k:
-                            break
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                best, score = ranked(ids[some], vectors[some], ask, k)
+                found.append(pd.DataFrame({"query_id": own, "vec_id": best, "score": score}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     right = right.toDF(*right.columns)  # fresh column ids: both sides may come from the same rows
     near = right.groupBy("b", "q").cogroup(left.groupBy("b", "q")).applyInPandas(lambda wanted, index: nearest(index, wanted), "query_id long, vec_id long, score double")

@@ -9,7 +9,8 @@ pass and f2 in two, about f1 (f1 - 1) / 2 (f2 + 1) were missed).  All links of t
 found by comparing them with every vector of their label, block by block, with sums and
 spanning links as the only output.
 
-Equal vectors of a label are one class with a count and are never expanded.
+Equal vectors of a label are one class with a number of its own and a count; they are never
+expanded, and what links are found between are these numbers, as several vectors may share an id.
 """
 
 from __future__ import annotations
@@ -27,12 +28,35 @@ from .components import components, roots
 GROUP = ["label", "dim"]
 
 
-def _unit(vectors) -> np.ndarray:
+def _scaled(vectors) -> np.ndarray:
+    """Rows times powers of two, which round nothing, so that squares do not overflow."""
     x = np.array(list(vectors), np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)  # no overflow in the squares
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) if len(x) else x
+
+
+def _unit(vectors) -> np.ndarray:
+    x = _scaled(vectors)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosine of each row of x with that row of y, summed in one order."""
+    return (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+
+
+def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x and y reach the threshold.
+
+    The product of matrices rounds by place; pairs within rounding of the threshold are summed again, one by one.
+    """
+    cosine = _unit(x) @ _unit(y).T
+    link = cosine >= threshold
+    i, j = np.nonzero(np.abs(cosine - threshold) < 1e-12)
+    if len(i):
+        link[i, j] = _cosines(_scaled(x)[i], _scaled(y)[j]) >= threshold
+    return link
+
+
 def keyed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
     """The classes once for each pass, with that pass's 63-bit sort key."""
 
@@ -89,12 +113,11 @@ def window_links(classes: DataFrame, threshold: float, passes: int, window: int,
         left, right, crowded = [], [], []
         for g in np.unique(group[:own]):
             at = np.flatnonzero(group == g)
-            unit = _unit(pdf["vector"].iloc[at])
-            mine, n = int((at < own).sum()), len(at)
+            vectors = np.stack(pdf["vector"].iloc[at])
+            mine = int((at < own).sum())
             for s in range(0, mine, window):
                 e = min(s + window, mine)
-                cos = unit[s:e] @ unit[s : e + window].T
-                i, j = np.nonzero(cos >= threshold)
+                i, j = np.nonzero(linked(vectors[s:e], vectors[s : e + window], threshold))
                 ahead = (j > i) & (j <= i + window)
                 i, j = i[ahead], j[ahead]
                 full = np.bincount(i, minlength=e - s) >= max(1, window // 8)  # so dense that more links lie beyond
@@ -124,7 +147,7 @@ def crowded_links(classes: DataFrame, crowded: DataFrame, threshold: float, bloc
         if not len(a) or not len(b):
             return pd.DataFrame({"rep": [], "links": [], "root": []})
         ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
-        link = (_unit(a["vector"]) @ _unit(b["vector"]).T >= threshold) & (ra[:, None] != rb[None, :])
+        link = linked(np.stack(a["vector"]), np.stack(b["vector"]), threshold) & (ra[:, None] != rb[None, :])
         of_crowded = link @ b["n"].to_numpy()
         of_others = (a["n"].to_numpy() @ link) * ~b["is_crowded"].to_numpy()
         ids, at = np.unique(np.concatenate((ra, rb)), return_inverse=True)
@@ -152,14 +175,17 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, passes: int = 12,
     Rows link when their labels are equal and not null and their cosine, in double precision, is
     at least ``threshold``.  A vector that is null, empty, zero or holds null or non-finite
     components, a null label and a null id link with nothing; vectors of different
-    lengths do not link.  Rows repeated with one id link with each other as copies do.
+    lengths do not link.  Rows repeated with one id and vector link with each other as copies do; rows
+    of one id with other vectors or labels are vectors of their own.
     component_id is the smallest id reachable, the row's own at least; kept marks that row.
     An empty table gives no rows.
     """
     labelled = table.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"), F.col(f"`{label_col}`").cast("string").alias("label"))
     valid = F.expr("vec_id IS NOT NULL AND label IS NOT NULL AND forall(vector, x -> x IS NOT NULL AND x = x AND abs(x) < double('infinity')) AND exists(vector, x -> x != 0)")
-    counted = labelled.filter(valid).groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = stored(counted.select("label", F.size("vector").alias("dim"), "rep", "n", "vector"), "vectors")
+    counted = labelled.filter(valid).groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    # numbered once, as the table is written
+    numbered = stored(counted.withColumns({"dim": F.size("vector"), "rep": F.monotonically_increasing_id()}), "vectors")
+    classes = numbered.select("label", "dim", "rep", "n", "vector")
     found = stored(window_links(classes, threshold, passes, window, seed, part_rows), "found")
     dense = found.filter("crowded").select(F.col("a").alias("rep")).distinct()
     met = found.filter("NOT crowded").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("met"))
@@ -176,7 +202,9 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, passes: int = 12,
     links = ends.join(sizes, "other").select("rep", F.col("n").alias("links")).unionByName(dense.select("rep", "links"))
     links = links.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(pairs.unionByName(dense.select(F.col("rep").alias("a"), F.col("root").alias("b"))))
-    by_class = classes.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("label", "vector", F.col("rep"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    members = numbered.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    heads = members.groupBy("component").agg(F.min("first").alias("component_id"))
+    by_class = members.join(heads, "component").join(links, "rep", "left").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     # a class of very many copies is one row on its side of the join
     rows = labelled.withColumn("label", F.when(valid, F.col("label")))
     out = rows.join(by_class, ["label", "vector"], "left")

@@ -344,6 +344,27 @@ def test_embedding_dedup_against_model(spark, window):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_repeated_ids(spark):
+    """Rows of one id with other vectors or labels are rows of their own; links never cross labels."""
+    v, w, u = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 0.01, 0.0]
+    rows = [(1, v, 0), (1, w, 1), (2, u, 0), (3, w, 1), (None, v, 0), (4, v, None), (5, None, 0), (1, v, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r.vec_id or -1), r.n_links, r.component_id or -1, r.kept) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(-1, 0, -1, True), (1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True), (5, 0, 5, True)]
+
+
+def test_cosine_at_the_threshold():
+    """A pair that lies on the threshold links or not alike wherever it stands in a block."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((70, 24))
+    y = rng.standard_normal((90, 24))
+    x[::7], y[::9] = x[0], y[0]
+    threshold = float(embedding_dedup._cosines(x[:1], y[:1])[0])
+    for rows in (1, 13, 70):
+        link = embedding_dedup.linked(x[:rows], y, threshold)
+        assert link[::7][:, ::9].all()
+
+
 def test_embedding_dedup_of_a_loose_cluster(spark):
     """1200 vectors whose cosines lie around the threshold, among unrelated ones of their label: all links count."""
     rng = np.random.default_rng(5)
@@ -397,6 +418,37 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_ties_and_odd_rows(spark):
+    """Equal vectors score alike and go by id; repeated ids count once; bad vectors and null ids take no part."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((40, 48))
+    rows = [(i, base[i % 40].tolist()) for i in range(2000)]
+    rows += [(7, base[7].tolist()), (None, base[1].tolist()), (5000, [1.0] * 47), (5001, None), (5002, [0.0] * 48), (5003, [float("nan")] * 48), (5004, [None] * 48)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    for q, group in _by_query(ann.search(df, df.filter("vec_id % 500 = 0"), k=20, block=300, least=100).collect()):
+        score = {i: (base[i % 40] * base[q % 40]).sum() for i in range(2000) if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert [g.vec_id for g in group] == want and all(g.score == score[g.vec_id] for g in group)
+
+
+def test_nearest_recall_of_blocks():
+    """Recall of the footrule order against brute force, on one block of unrelated vectors, the hardest case."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((8192, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = x[rng.permutation(8192)[:256]]
+    near = ann.nearest_pivots(x, pivots, 64)
+    files, hits = ann.InvertedFiles(near, 256), 0
+    places = np.full((8192, 256), 64)
+    np.put_along_axis(places, near, np.arange(64)[None, :], 1)
+    for q in range(0, 8192, 256):
+        close = files.closeness(near[q])
+        assert (close == (64 * 63 // 2 + 64) - np.abs(places - places[q]).sum(axis=1) / 2).all()  # the footrule distance itself
+        best = np.argsort(-(x @ x[q]), kind="stable")[1:21]
+        hits += len(set(best) & set(np.argsort(-close, kind="stable")[:1639]))
+    assert hits / (32 * 20) >= 0.95
+
+
 def _by_query(rows):
     groups = collections.defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
