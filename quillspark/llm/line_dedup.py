@@ -1,15 +1,19 @@
 """Line deduplication by winnowing, in DataFrame functions alone.
 
-Lines are compared trimmed of spaces; blank lines are not counted.  Every run of ``run``
-lines is a window.  Winnowing keeps the smallest line hash of each window (the rightmost of
-equals) as a fingerprint, so two equal runs of at least that length share one.  Positions of
-fingerprints that occur more than once are joined, the match is extended to both sides over all
-windows that hold the fingerprint, and a window that has an equal one earlier (by doc_id,
-then place) is deleted.  What goes is thus exactly every line that lies in a run of ``run`` or
-more lines met before, in another document or the same.
+Lines are compared trimmed of spaces; blank lines are not counted.  Winnowing looks at every
+window of ``run`` lines and keeps the line of the smallest hash (the rightmost of equals) as a
+fingerprint, so two equal runs of at least that length share one.  Only the fingerprints'
+places are stored, each with the hashes of the lines around it that its windows reach.
+
+Places of one fingerprint are joined and the match is extended from it, to the left by each number
+of lines its windows allow and to the right by the rest of a window: places that still agree are a
+group, and all but the group's first place (by doc_id, then place) repeat it.  Windows that
+touch are then joined to runs and deleted.  What goes is thus exactly every line that lies in a run
+of ``run`` or more lines met before, in another document or the same.
 
 Groups are reduced to a count and a first place before they are shuffled, and each place meets
-only that one row: no pairs are made, so the work is linear however often a line repeats.
+only that one row: no pairs are made, so the work is linear however often a line repeats; the
+places of a very frequent line are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -17,38 +21,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, join_hot, stored
 
 LINES = "filter(transform(split(text, '\\n', -1), (x, i) -> struct(i AS at, trim(x) AS line)), x -> x.line != '')"
 
 
 def fingerprints(docs: DataFrame, run: int) -> DataFrame:
-    """One row for each fingerprint: doc_id, th (text hash), fp, windows array<struct<start, key>>.
+    """One row for each fingerprint: doc_id, th (text hash), fp, low, high, around.
 
-    A window belongs to the one fingerprint it selects; ``key`` is 128 bits of its lines.
+    The windows that start at low to high (they touch, as the rightmost least moves only onward) have
+    selected the fingerprint; ``around`` holds the hashes of their lines, 2 * run - 1 at most.
     """
-    lines = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.expr(f"transform({LINES}, x -> x.line)").alias("lines"))
-    lines = lines.filter(F.size("lines") >= run).withColumn("hashes", F.expr("transform(lines, x -> xxhash64(x))"))
-    window = F.expr(
-        f"""explode(transform(sequence(0, size(lines) - {run}), s -> struct(
-            s AS start,
-            unhex(md5(array_join(slice(lines, s + 1, {run}), '\\n'))) AS key,
-            array_min(transform(slice(hashes, s + 1, {run}), (h, i) -> struct(h AS h, -(s + i) AS at))) AS least)))"""
-    )
-    windows = lines.select("doc_id", "th", window.alias("w"))
-    # a document's own windows, gathered by the fingerprint they select; both are bounded by ``run``
-    return windows.select("doc_id", "th", F.col("w.least.h").alias("fp"), (-F.col("w.least.at")).alias("fp_at"), F.col("w.start").alias("start"), F.col("w.key").alias("key"))
+    hashes = F.expr(f"transform({LINES}, x -> xxhash64(x.line))")
+    lines = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), hashes.alias("hashes")).filter(F.size("hashes") >= run)
+    chosen = lines.withColumn("chosen", F.expr(f"transform(sequence(0, size(hashes) - {run}), s -> array_min(transform(slice(hashes, s + 1, {run}), (h, i) -> struct(h AS h, -(s + i) AS at))))"))
+    heads = chosen.withColumn("heads", F.expr("filter(sequence(0, size(chosen) - 1), s -> s = 0 OR chosen[s].at != chosen[s - 1].at)"))
+    rows = heads.withColumn("p", F.expr("explode(transform(heads, (s, j) -> struct(chosen[s].h AS fp, s AS low, coalesce(try_element_at(heads, j + 2), size(chosen)) - 1 AS high)))"))
+    around = F.expr(f"slice(hashes, p.low + 1, p.high - p.low + {run})")
+    return rows.select("doc_id", "th", "p.fp", "p.low", "p.high", around.alias("around"))
 
 
 def repeated_windows(docs: DataFrame, run: int) -> DataFrame:
     """doc_id, th, start of each window that has an equal one earlier."""
-    prints = stored(fingerprints(docs, run), "lines")  # read three times below; 48 bytes a line
-    places = prints.select("doc_id", "th", "fp", "fp_at").distinct()
-    shared = places.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
-    near = prints.join(shared, "fp", "left_semi")
+    prints = stored(fingerprints(docs, run), "lines")  # read three times below
+    shared = prints.groupBy("fp").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("fp")
+    near = join_hot(prints, shared, ["fp"], ["doc_id", "low"])
+    extended = near.select("doc_id", "th", "fp", "low", "around", F.explode(F.sequence("low", "high")).alias("start"))
+    extended = extended.select("doc_id", "th", "fp", "start", F.expr(f"slice(around, start - low + 1, {run})").alias("agreed"))
     place: Column = F.struct("doc_id", "th", "start")
-    first = near.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
-    return near.join(first, "key").filter(place > F.col("first")).select("doc_id", "th", "start")
+    first = extended.groupBy("fp", "agreed").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("fp", "agreed", "first")
+    return join_hot(extended, first, ["fp", "agreed"], ["doc_id", "start"]).filter(place > F.col("first")).select("doc_id", "th", "start")
 
 
 def repeated_runs(windows: DataFrame, run: int) -> DataFrame:
