@@ -10,7 +10,8 @@ whole sets.
 
 Buckets of several bands with the same members are compared once, and a pair only in the
 least bucket it shares.  A large bucket is cut into blocks that are compared two by
-two.  What leaves a block is a link count and a spanning link for each document, never pairs.
+two, by signatures alone.  Whole sets are sent only to those members of a block that have a pair
+left there.  What leaves a block is a link count and a spanning link for each document, never pairs.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,17 +90,21 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, th long, set_key binary, n_shingles long, signature binary")
 
 
+def keys_of(signatures: np.ndarray) -> np.ndarray:
+    """The 64-bit key of each band of each signature."""
+    values = signatures.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = words.mixed((words.mixed(values + np.uint64(1)) * _MIX).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[None, :])
+    return key.view(np.int64)
+
+
 def band_keys(classes: DataFrame) -> DataFrame:
     """(key, rep): one row for each band of each class."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            values = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = words.mixed((words.mixed(values + np.uint64(1)) * _MIX).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[None, :])
-            reps = np.repeat(batch.column("rep").to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(reps)], names=["key", "rep"])
+            if batch.num_rows:
+                key = keys_of(np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16))
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS))], names=["key", "rep"])
 
     return classes.select("rep", "signature").mapInArrow(run, "key long, rep long")
 
@@ -141,90 +147,123 @@ def _verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thres
     return both >= threshold * (sizes[left] + sizes[right] - both) - 1e-9
 
 
-def compare(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(rep, links, root) of the blocks of columns key, x, y, side, rep, n, keys, signature, set.
+class Blocks:
+    """Rows of whole blocks, held until there are enough of them to be compared together."""
 
-    Rows of one (key, x, y) follow each other.  In a block of x = y all pairs are compared, else
-    those of side 0 with side 1.
-    """
-    rounds = fewest_matches(threshold, tolerance)
+    def __init__(self, rows: int = 1024, size: int = 32_000_000):
+        self.rows, self.size, self.held = rows, size, []
 
-    def block(rows):
-        """Links of one run of groups, compared together."""
-        group, side, rep, weight, keys, signature, sets = rows
-        starts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
-        lefts, rights = [], []
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            if b - a == 2:
-                lefts.append(np.array([a]))
-                rights.append(np.array([a + 1]))
+    def grouped(self, batches):
+        """Arrow tables of whole (key, x, y) groups; rows of one group follow each other."""
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
                 continue
-            if side[a:b].any():
-                cut = a + int(np.searchsorted(side[a:b], 1))
-                i, j = np.indices((cut - a, b - cut)).reshape(2, -1)
-                lefts.append(i + a)
-                rights.append(j + cut)
-            else:
-                i, j = np.triu_indices(b - a, 1)
-                lefts.append(i + a)
-                rights.append(j + a)
-        left, right = np.concatenate(lefts), np.concatenate(rights)
-        ok = rep[left] != rep[right]
-        left, right = left[ok], right[ok]
-        matches, done = np.zeros(len(left), np.int32), 0
-        for n, least in rounds:
-            for at in range(0, len(left), 1 << 18):
-                p = slice(at, at + (1 << 18))
-                matches[p] += (signature[left[p], done:n] == signature[right[p], done:n]).sum(axis=1)
-            go = matches >= least
-            left, right, matches, done = left[go], right[go], matches[go], n
-        # a pair belongs to the least key that both have
-        own = np.array([keys_of[g] for g in group[left].tolist()]) if len(left) else np.zeros(0, np.int64)
-        lower = np.array([bool(keys[i] & keys[j]) and min(keys[i] & keys[j]) < k for i, j, k in zip(left.tolist(), right.tolist(), own.tolist(), strict=True)], bool) if len(left) else np.zeros(0, bool)
-        left, right = left[~lower], right[~lower]
-        if not len(left):
-            return None
-        used, at = np.unique(np.concatenate((left, right)), return_inverse=True)
-        i, j = at[: len(left)], at[len(left) :]
-        good = _verified([sets[u] for u in used.tolist()], i, j, threshold)
-        i, j = i[good], j[good]
-        if not len(i):
-            return None
-        links = np.bincount(i, weight[used[j]], len(used)) + np.bincount(j, weight[used[i]], len(used))
-        reps, where = np.unique(rep[used], return_inverse=True)
-        root = reps[roots(len(reps), where[i], where[j])]
-        total = np.bincount(where, links, len(reps)).astype(np.int64)
-        some = total > 0
-        return pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(total[some]), pa.array(root[some])], names=["rep", "links", "root"])
-
-    keys_of: dict[int, int] = {}
+            fresh = np.append(True, _changed(batch)) if n > 1 else np.array([True])
+            if held and _group(held[-1], held[-1].num_rows - 1) == _group(batch, 0):
+                fresh[0] = False
+            at = 0
+            bytes_each = batch.nbytes / n
+            for cut in np.flatnonzero(fresh).tolist():
+                if rows + cut - at >= self.rows or size + (cut - at) * bytes_each > self.size:
+                    if cut > at:
+                        held.append(batch.slice(at, cut - at))
+                    if held:
+                        yield pa.Table.from_batches(held).combine_chunks()
+                    held, rows, size, at = [], 0, 0, cut
+            held.append(batch.slice(at))
+            rows, size = rows + n - at, size + (n - at) * bytes_each
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _changed(batch) -> np.ndarray:
+    columns = [batch.column(c).to_numpy() for c in ("key", "x", "y")]
+    return np.any([c[1:] != c[:-1] for c in columns], axis=0)
+
+
+def _group(batch, row: int) -> tuple:
+    return tuple(batch.column(c)[row].as_py() for c in ("key", "x", "y"))
+
+
+def surviving(rows: pa.Table, rounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (places of rows) of each group that outlive every round and have no lesser key in common.
+
+    In a block of x = y all pairs are compared, else those of side 0 with side 1.
+    """
+    fresh = np.append(True, _changed(rows)) if len(rows) > 1 else np.array([True])
+    starts = np.append(np.flatnonzero(fresh), len(rows))
+    side, rep = rows["side"].to_numpy(), rows["rep"].to_numpy()
+    signature = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(-1, HASHES)
+    own, kept_keys = rows["key"].to_numpy(), pc.unique(pc.list_flatten(rows["keys"])).to_numpy()
+    keys = keys_of(signature)
+    known = np.isin(keys, kept_keys)
+    pairs = starts[:-1][np.diff(starts) == 2]
+    some = [(pairs, pairs + 1)]
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if b - a > 2:
+            cut = a + int(np.searchsorted(side[a:b], 1))
+            i, j = np.indices((cut - a, b - cut)).reshape(2, -1) if cut < b else np.triu_indices(b - a, 1)
+            some.append((i + a, j + (cut if cut < b else a)))
+    lefts, rights = [], []
+    for all_left, all_right in some:
+        for at in range(0, len(all_left), 1 << 18):
+            left, right = all_left[at : at + (1 << 18)], all_right[at : at + (1 << 18)]
+            other = rep[left] != rep[right]
+            left, right = left[other], right[other]
+            matches, done = np.zeros(len(left), np.int32), 0
+            for n, least in rounds:
+                matches += (signature[left, done:n] == signature[right, done:n]).sum(axis=1, dtype=np.int32)
+                go = matches >= least
+                left, right, matches, done = left[go], right[go], matches[go], n
+            for p in range(0, len(left), 1 << 15):
+                i, j = left[p : p + (1 << 15)], right[p : p + (1 << 15)]
+                shared = (keys[i] == keys[j]) & known[i]
+                mine = np.where(shared, keys[i], np.iinfo(np.int64).max).min(axis=1) == own[i]
+                lefts.append(i[mine])
+                rights.append(j[mine])
+    return np.concatenate(lefts) if lefts else np.zeros(0, int), np.concatenate(rights) if rights else np.zeros(0, int)
+
+
+def candidates(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """The members (key, x, y, side, rep, ...) that have a pair left in their block, by signatures alone."""
+    rounds = fewest_matches(threshold, tolerance)
 
     def run(batches):
-        held: list = []
-        last, number, size = None, 0, 0
+        forget()
+        for rows in Blocks(rows=4096).grouped(batches):
+            left, right = surviving(rows, rounds)
+            if len(left):
+                yield from rows.take(pa.array(np.unique(np.concatenate((left, right))))).combine_chunks().to_batches()
 
-        def flush():
-            group = np.array([h[0] for h in held])
-            signature = np.frombuffer(b"".join([h[5] for h in held]), np.uint16).reshape(-1, HASHES)
-            out = block((group, np.array([h[1] for h in held]), np.array([h[2] for h in held]), np.array([h[3] for h in held], np.float64), [h[4] for h in held], signature, [h[6] for h in held]))
-            held.clear()
-            keys_of.clear()
-            return out
+    return members.mapInArrow(run, members.schema)
 
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "x", "y", "side", "rep", "n", "keys", "signature", "set")]
-            for key, x, y, side, rep, n, keys, signature, own in zip(*columns, strict=True):
-                if (key, x, y) != last:
-                    if len(held) >= 1024 or size > 32_000_000:
-                        if (out := flush()) is not None:
-                            yield out
-                        size = 0
-                    last, number = (key, x, y), number + 1
-                    keys_of[number] = key
-                held.append((number, side, rep, n, set(keys), signature, np.frombuffer(own, np.uint64)))
-                size += len(own)
-        if held and (out := flush()) is not None:
-            yield out
+
+def compare(members: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(rep, links, root) of the blocks of candidates, which have their whole ``set`` beside them."""
+    rounds = fewest_matches(threshold, tolerance)
+
+    def run(batches):
+        forget()
+        for rows in Blocks().grouped(batches):
+            left, right = surviving(rows, rounds)
+            if not len(left):
+                continue
+            used, at = np.unique(np.concatenate((left, right)), return_inverse=True)
+            i, j = at[: len(left)], at[len(left) :]
+            sets = [np.frombuffer(x, np.uint64) for x in rows["set"].take(pa.array(used)).to_pylist()]
+            good = _verified(sets, i, j, threshold)
+            i, j = i[good], j[good]
+            if not len(i):
+                continue
+            weight = rows["n"].to_numpy()[used].astype(np.float64)
+            links = np.bincount(i, weight[j], len(used)) + np.bincount(j, weight[i], len(used))
+            reps, where = np.unique(rows["rep"].to_numpy()[used], return_inverse=True)
+            root = reps[roots(len(reps), where[i], where[j])]
+            total = np.bincount(where, links, len(reps)).astype(np.int64)
+            some = total > 0
+            yield pa.RecordBatch.from_arrays([pa.array(reps[some]), pa.array(total[some]), pa.array(root[some])], names=["rep", "links", "root"])
 
     return members.mapInArrow(run, "rep long, links long, root long")
 
@@ -253,18 +292,17 @@ def similar_documents(docs: DataFrame, threshold: float = 0.8, shingle: int = 5,
         for batch, texts in chars_grouped(batches, "text", 2_000_000):
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([shingles(t, shingle).tobytes() for t in texts], pa.binary())], names=["rep", "set"])
 
-    firsts = classes.join(lists, "rep", "left_semi").select("first.doc_id", "first.th", "rep")  # one text of each class to compare
-    sets = plain.join(firsts, ["doc_id", "th"]).select("rep", "text").mapInArrow(whole_sets, "rep long, set binary")
-    sets = stored(sets.dropDuplicates(["rep"]), "sets")
-    sets = sets.join(named, "rep").filter(F.length("set") > 0)
     blocks = F.expr(f"cast((n + {block - 1}) div {block} AS int)")
-    members = bucketed.join(sets, "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    members = bucketed.join(named, "rep").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # a member of block i meets the blocks from i on as x, and those before as y
     members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     x, y = F.least("own", "other"), F.greatest("own", "other")
-    placed = members.select("key", x.alias("x"), y.alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", F.col("weight").alias("n"), "keys", "signature", "set")
-    placed = placed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
-    found = stored(compare(placed, threshold, tolerance), "found")
+    placed = members.select("key", x.alias("x"), y.alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", F.col("weight").alias("n"), "keys", "signature")
+    by_block = lambda df: df.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
+    left = stored(candidates(by_block(placed), threshold, tolerance), "candidates")
+    firsts = classes.join(left.select("rep").distinct(), "rep").select("first.doc_id", "first.th", "rep")  # one text of each class that is left
+    sets = plain.join(firsts, ["doc_id", "th"]).select("rep", "text").mapInArrow(whole_sets, "rep long, set binary").dropDuplicates(["rep"])
+    found = stored(compare(by_block(left.join(sets, "rep")), threshold, tolerance), "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     # components go by class; of each the class of the smallest doc_id is its head

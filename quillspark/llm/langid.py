@@ -10,6 +10,7 @@ elastic-net penalties, then one temperature is fitted on learning rows kept from
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -79,22 +80,33 @@ class LanguageModel:
     temperature: float
     bits: int
 
-    def logits(self, points: np.ndarray) -> np.ndarray:
-        total, grams = np.zeros(len(self.languages)), 0
-        for h in hashes(points, self.bits):
-            total += self.table[h].sum(axis=0, dtype=np.float64)
-            grams += len(h)
-        return self.bias + total / max(grams, 1)
+    @cached_property
+    def weighted(self) -> np.ndarray:
+        return self.table.any(axis=1)
 
-    def predict(self, text: str) -> tuple[str, float]:
-        """The likeliest language, ties to the first in order, and its calibrated probability."""
+    def judge(self, text: str) -> tuple[str, float, float]:
+        """The likeliest language, ties to the first in order, its calibrated probability, and the share of n-grams known.
+
+        That share is of the n-grams of two or more characters; a single character counts as known.
+        """
         points = folded(text)
         if not self.languages or not has_letter(points):
-            return UNDETERMINED, 0.0
-        z = self.logits(points) / self.temperature
+            return UNDETERMINED, 0.0, 0.0
+        total, grams, known, longer = np.zeros(len(self.languages)), 0, 0, 0
+        for i, h in enumerate(hashes(points, self.bits)):
+            total += self.table[h].sum(axis=0, dtype=np.float64)
+            grams += len(h)
+            if i % len(SIZES):
+                known += int(np.count_nonzero(self.weighted[h]))
+                longer += len(h)
+        z = (self.bias + total / grams) / self.temperature
         p = np.exp(z - z.max())
         best = int(np.argmax(p))
-        return self.languages[best], float(p[best] / p.sum())
+        return self.languages[best], float(p[best] / p.sum()), known / longer if longer else 1.0
+
+    def predict(self, text: str) -> tuple[str, float]:
+        """The likeliest language and its calibrated probability."""
+        return self.judge(text)[:2]
 
 
 def _sample(learn: DataFrame, rows: int) -> DataFrame:
@@ -158,6 +170,48 @@ def document_frequency(docs: DataFrame, bits: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "slot int, df long").groupBy("slot").agg(F.sum("df").alias("df"))
 
 
+def ftrl(rows: list, turns: list[int], size: int, k: int, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
+    """Weights ((size + 1) x k, the last of them the bias) after the rows (label, slots, values) in the order of ``turns``.
+
+    Follow-the-regularised-leader with a rate for each coordinate and elastic-net penalties.
+    """
+    z, g2 = np.zeros((size + 1, k)), np.zeros((size + 1, k))
+
+    def weights(at):
+        zz = z[at]
+        w = -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(g2[at])) / alpha + l2)
+        return np.where(np.abs(zz) <= l1, 0.0, w)
+
+    for i in turns:
+        y, slots, x = rows[i]
+        at, x = np.append(slots, size), np.append(x, 0.1)
+        w = weights(at)
+        s = x @ w
+        p = np.exp(s - s.max())
+        p /= p.sum()
+        p[y] -= 1
+        g = x[:, None] * p
+        square = g * g
+        z[at] += g - (np.sqrt(g2[at] + square) - np.sqrt(g2[at])) / alpha * w
+        g2[at] += square
+    return weights(np.arange(size + 1))
+
+
+def temperature(scores: np.ndarray, truth: np.ndarray) -> float:
+    """The temperature from 0.1 to 20 of the least mean log loss, by golden-section search on its logarithm."""
+
+    def loss(t):
+        s = scores / t
+        s = s - s.max(axis=1, keepdims=True)
+        return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(truth)), truth]))
+
+    low, high = np.log(0.1), np.log(20.0)
+    for _ in range(60):
+        a, b = high - 0.618 * (high - low), low + 0.618 * (high - low)
+        low, high = (low, b) if loss(np.exp(a)) < loss(np.exp(b)) else (a, high)
+    return float(np.exp((low + high) / 2))
+
+
 def train(labelled: DataFrame, rows: int = 1500, bits: int = 16, epochs: int = 4, alpha: float = 4.0, beta: float = 1.0, l1: float = 2e-4, l2: float = 1e-4, seed: int = 7) -> LanguageModel:
     """Learn from columns text and lang.
 
@@ -186,42 +240,13 @@ def train(labelled: DataFrame, rows: int = 1500, bits: int = 16, epochs: int = 4
     rows_ = [(label[lang], slots, counts / grams * idf[slots]) for lang, _, slots, counts, grams in sample]
     check, fit = (rows_[::5], [r for i, r in enumerate(rows_) if i % 5]) if len(rows_) >= 50 else (rows_, rows_)
 
-    z, g2 = np.zeros((size + 1, k)), np.zeros((size + 1, k))  # the last slot is the bias
-    order = np.random.default_rng(seed)
-
-    def weights(at):
-        zz = z[at]
-        w = -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(g2[at])) / alpha + l2)
-        return np.where(np.abs(zz) <= l1, 0.0, w)
-
-    for _ in range(epochs):
-        for i in order.permutation(len(fit)):
-            y, slots, x = fit[i]
-            at, x = np.append(slots, size), np.append(x, 0.1)
-            w = weights(at)
-            s = x @ w
-            p = np.exp(s - s.max())
-            p /= p.sum()
-            p[y] -= 1
-            g = x[:, None] * p
-            square = g * g
-            z[at] += g - (np.sqrt(g2[at] + square) - np.sqrt(g2[at])) / alpha * w
-            g2[at] += square
-    w = weights(np.arange(size + 1))
+    rng = np.random.default_rng(seed)
+    w = ftrl(fit, [i for _ in range(epochs) for i in rng.permutation(len(fit))], size, k, alpha, beta, l1, l2)
     table, bias = (w[:size] * idf[:, None]).astype(np.float32), 0.1 * w[size]
     scores = np.array([bias + (x / idf[slots]) @ table[slots] for _, slots, x in check])
     truth = np.array([y for y, _, _ in check])
 
-    def loss(t):
-        s = scores / t
-        s = s - s.max(axis=1, keepdims=True)
-        return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(truth)), truth]))
-
-    low, high = np.log(0.1), np.log(20.0)
-    for _ in range(60):  # golden-section search on the log temperature
-        a, b = high - 0.618 * (high - low), low + 0.618 * (high - low)
-        low, high = (low, b) if loss(np.exp(a)) < loss(np.exp(b)) else (a, high)
-    return LanguageModel(languages, table, bias, float(np.exp((low + high) / 2)), bits)
+    return LanguageModel(languages, table, bias, temperature(scores, truth), bits)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,19 +267,26 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def accept(docs: DataFrame, model: LanguageModel, least: float = 0.4, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a language of probability ``least`` or more.
+def accept(docs: DataFrame, model: LanguageModel, least: float = 0.4, familiar: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is of a language that the model knows.
 
-    A null, empty or letterless text is rejected.
+    A text is rejected when its likeliest language has a probability below ``least`` (no evidence at all
+    leaves the languages' own shares), or when fewer than ``familiar`` of its n-grams are known: the
+    text of another language or script meets weights by chance only.  A null, empty or letterless text is rejected.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
+    @F.pandas_udf("boolean")
+    def good(texts):
         forget()
-        return texts.map(lambda t: shared.value.predict(t or "")[1])
 
-    return docs.filter(score(F.col(f"`{text_col}`").cast("string")) >= F.lit(least))
+        def one(text):
+            language, score, known = shared.value.judge(text)
+            return language != UNDETERMINED and score >= least and known >= familiar
+
+        return texts.map(lambda t: one(t or ""))
+
+    return docs.filter(good(F.col(f"`{text_col}`").cast("string")))
 
 
 def held_out(id_col: str = "doc_id"):

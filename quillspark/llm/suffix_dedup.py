@@ -2,12 +2,13 @@
 
 Only suffixes at content-selected places are kept: of every ``passage`` words, the one whose
 first ``prefix`` words have the least hash (a minimiser).  Equal passages of at least
-``passage`` words thus keep a suffix at the same word.  Suffixes are sorted by the hash of
-their first words, so that those which agree lie together; one that agrees with no neighbour
-is dropped.  From the others the match is extended left and right: all windows of ``passage``
-words around the suffix are sorted in turn, and a window equal to an earlier one (by
-doc_id, then place) is a repeat.  What is found is exactly every word that lies in a run of
-``passage`` or more words met before, in another document or the same one.
+``passage`` words thus keep a suffix at the same word.  The suffixes of all documents are sorted
+(by the hash of their first words, then by document) and each is compared with its neighbours;
+one that agrees with neither is dropped.  From the others the match is extended left and right,
+by every number of words that a passage around the suffix allows: places that agree over
+``passage`` words are a group, and all but its first place (by doc_id, then place) are
+repeats.  What is found is exactly every word that lies in a run of ``passage`` or more words met
+before, in another document or the same one.
 
 Of documents with equal texts only the first takes part; the others repeat it whole.  A task
 compares its own windows first and sends one of each kind on, so that a passage in very many
@@ -19,11 +20,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import chars_grouped, documents, forget, stored
+from .common import chars_grouped, documents, forget, join_hot, stored
 from .line_dedup import repeated_runs
 
 NO_ID = -(1 << 63)
@@ -64,6 +66,38 @@ def suffixes(docs: DataFrame, passage: int, prefix: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, th long, size int, n_words long, hashes array<long>, places array<array<int>>")
 
 
+def agreeing(kept: DataFrame) -> DataFrame:
+    """The rows of (suffix, doc_id, th, places) that agree with a neighbour in the sorted order, or recur in their document.
+
+    Parts are cut by suffix and document, so a suffix of very many documents lies in several of them; the
+    ends of a part may agree with a neighbour in the next one and stay.
+    """
+
+    def run(batches):
+        held = None  # the last row of what came before, and whether it has been sent on
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            h = batch.column("suffix").to_numpy()
+            same = h[1:] == h[:-1]
+            keep = np.append(False, same) | np.append(same, False)
+            keep |= pc.greater(pc.list_value_length(batch.column("places")), 1).to_numpy(zero_copy_only=False)
+            if held is None:
+                keep[0] = True
+            elif held[0] == h[0]:
+                keep[0] = True
+                if not held[1]:
+                    yield held[2]
+            yield batch.filter(pa.array(keep))
+            held = (h[-1], bool(keep[-1]), batch.slice(n - 1, 1))
+        if held is not None and not held[1]:
+            yield held[2]
+
+    ordered = kept.repartitionByRange("suffix", "doc_id").sortWithinPartitions("suffix", "doc_id", "th")
+    return ordered.mapInArrow(run, "suffix long, doc_id long, th long, places array<int>")
+
+
 def windows(texts: DataFrame, passage: int, prefix: int) -> DataFrame:
     """The windows around the shared suffixes: key, doc_id, th, start, last, sure.
 
@@ -120,18 +154,21 @@ def repeated_passages(docs: DataFrame, passage: int = 50, prefix: int = 16, id_c
     """
     plain = documents(docs, id_col, text_col).withColumn("th", F.xxhash64("text")).withColumn("size", F.coalesce(F.length("text"), F.lit(0)))
     rows = stored(suffixes(plain.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), passage, prefix), "suffixes")
-    classes = rows.filter(F.col("n_words") >= passage).groupBy("th", "size").agg(F.min("doc_id").alias("first"))
-    firsts = rows.join(classes, ["th", "size"]).filter("doc_id = first")
-    kept = firsts.select("doc_id", "th", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select("doc_id", "th", F.col("s.hashes").alias("suffix"), F.col("s.places").alias("places"))
-    agreeing = kept.groupBy("suffix").agg(F.sum(F.size("places")).alias("n")).filter("n > 1").select("suffix")
-    near = kept.join(agreeing, "suffix", "left_semi").groupBy("doc_id", "th").agg(F.flatten(F.collect_list("places")).alias("places"))  # one document's
+    sized = rows.select("doc_id", "th", "size", "n_words")
+    classes = sized.filter(F.col("n_words") >= passage).groupBy("th", "size").agg(F.min("doc_id").alias("first"))
+    # the first of each class, found by its id too, so that copies are not gathered
+    firsts = rows.join(classes.withColumnRenamed("first", "doc_id"), ["doc_id", "th", "size"], "left_semi").dropDuplicates(["doc_id", "th"])
+    kept = firsts.select("doc_id", "th", F.explode(F.arrays_zip("hashes", "places")).alias("s")).select(F.col("s.hashes").alias("suffix"), "doc_id", "th", F.col("s.places").alias("places"))
+    near = agreeing(kept).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("places")).alias("places"))  # one document's
     texts = plain.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).join(near, ["doc_id", "th"])
-    found = windows(texts, passage, prefix)
+    found = stored(windows(texts, passage, prefix), "windows")
     place = F.struct("doc_id", "th", "start")
-    alike = Window.partitionBy("key", "sure")  # one row from each batch at most
-    later = found.withColumn("first", F.min(place).over(alike)).filter(F.col("sure") | (place > F.col("first"))).select("doc_id", "th", "start", "last")
+    unsure = found.filter("NOT sure").select("key", "doc_id", "th", "start", "last")  # one of a key from each batch
+    firsts_of = unsure.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key", "first")
+    later = join_hot(unsure, firsts_of, ["key"], ["doc_id", "start"]).filter(place > F.col("first")).select("doc_id", "th", "start", "last")
+    later = later.unionByName(found.filter("sure").select("doc_id", "th", "start", "last"))
     runs = repeated_runs(later, passage)
-    whole = rows.join(classes, ["th", "size"], "left").join(runs, ["doc_id", "th"], "left")
+    whole = join_hot(sized, classes, ["th", "size"], ["doc_id"], "left").join(runs, ["doc_id", "th"], "left")
     copy = F.col("first").isNotNull() & (F.col("doc_id") > F.col("first"))
     all_words = F.array(F.struct(F.lit(0).alias("a"), (F.col("n_words") - 1).cast("int").alias("b")))
     none = F.expr("cast(array() AS array<struct<a: int, b: int>>)")

@@ -484,11 +484,67 @@ def test_language_id(spark):
     odd = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs(spark, ODD), model).collect()}
     assert odd[0] == odd[1] == odd[3] == ("und", 0.0) and odd[4][0] in model.languages
 
-    assert langid.accept(docs(spark, ODD), model, 1e-9).count() == sum(any(c.isalpha() for c in t or "") for t in ODD)
+    assert langid.accept(docs(spark, ODD), model, 1e-9, 0.0).count() == sum(any(c.isalpha() for c in t or "") for t in ODD)
     blank = langid.train_on_documents(docs_.limit(0))
     assert langid.identify(docs_.limit(3), blank).first().lang_pred == "und"
 
 
+def test_ftrl_against_plain_loops():
+    """The array form gives the weights of the textbook update, coordinate by coordinate."""
+    import math
+
+    rng = random.Random(4)
+    size, k, alpha, beta, l1, l2 = 12, 3, 0.7, 1.0, 0.02, 0.3
+    rows = []
+    for _ in range(40):
+        slots = sorted(rng.sample(range(size), 4))
+        rows.append((rng.randrange(k), np.array(slots), np.array([rng.random() for _ in slots])))
+    turns = [rng.randrange(40) for _ in range(120)]
+    z, n = [[0.0] * k for _ in range(size + 1)], [[0.0] * k for _ in range(size + 1)]
+
+    def weight(i, c):
+        if abs(z[i][c]) <= l1:
+            return 0.0
+        return -(z[i][c] - math.copysign(l1, z[i][c])) / ((beta + math.sqrt(n[i][c])) / alpha + l2)
+
+    for t in turns:
+        y, slots, values = rows[t]
+        x = {**dict(zip(slots.tolist(), values.tolist(), strict=True)), size: 0.1}
+        w = {i: [weight(i, c) for c in range(k)] for i in x}
+        e = [math.exp(sum(v * w[i][c] for i, v in x.items())) for c in range(k)]
+        for i, v in x.items():
+            for c in range(k):
+                g = v * (e[c] / sum(e) - (c == y))
+                sigma = (math.sqrt(n[i][c] + g * g) - math.sqrt(n[i][c])) / alpha
+                z[i][c] += g - sigma * w[i][c]
+                n[i][c] += g * g
+    got = langid.ftrl(rows, turns, size, k, alpha, beta, l1, l2)
+    assert np.allclose(got, [[weight(i, c) for c in range(k)] for i in range(size + 1)], atol=1e-12)
+    assert (got == 0).any() and (got != 0).any()
+
+
+def test_temperature_against_a_grid():
+    rng = np.random.default_rng(1)
+    scores = 6 * rng.standard_normal((500, 4))
+    truth = np.array([rng.choice(4, p=np.exp(s / 3) / np.exp(s / 3).sum()) for s in scores])
+
+    def loss(t):
+        p = np.exp(scores / t) / np.exp(scores / t).sum(axis=1, keepdims=True)
+        return -np.log(p[np.arange(500), truth]).mean()
+
+    grid = np.linspace(0.2, 10, 2000)
+    assert abs(langid.temperature(scores, truth) - grid[np.argmin([loss(t) for t in grid])]) < 0.01
+
+
+def test_texts_of_no_known_language_are_rejected(spark):
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train_on_documents(docs_, rows=300)
+    strange = docs(spark, ["Привет, мир! Как дела сегодня?", "日本語のテキストです。", "ελληνικά κείμενα εδώ", "1234 5678", "", None, "x"])
+    kept = langid.accept(strange, model).select("text").collect()
+    assert not any(r.text and len(r.text) > 5 for r in kept)
+    assert langid.accept(docs_, model).count() == docs_.count()
+
+
 def test_language_sample_of_copies(spark):
     """A language of very many copies keeps all its texts in the sample; a language of many texts is cut to ``rows``."""
     copies = spark.range(40000).select(F.concat(F.lit("text "), F.col("id") % 4).alias("text"), F.lit("aa").alias("lang"))
