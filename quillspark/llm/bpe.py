@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkEncoder, Ids, binary_rows, flattened, gathered
-from .common import documents, kept, sized
+from .common import documents, give_back, kept, sized
 
 NONE = 1 << 30
 LONG = 256
@@ -279,7 +279,7 @@ def _decoded(ids: np.ndarray, counts: np.ndarray, tokens: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pieces.buffers()[2] or pa.py_buffer(b"")])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 12_000_000, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 6_000_000, decoded: bool = False) -> DataFrame:
     """doc_id and ids array<int> of each whole text, as the rank file's tokenizer gives them without special tokens.
 
     With ``decoded``, also that column: the bytes that the ids decode to, made in the same pass.
@@ -300,6 +300,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 if decoded:
                     columns["decoded"] = _decoded(values, own, tokens)
                 yield pa.RecordBatch.from_pydict(columns)
+        give_back()
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 

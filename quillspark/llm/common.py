@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -11,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -87,6 +89,23 @@ def dropped(df: DataFrame) -> None:
         delete(df.sparkSession, os.path.dirname(files[0]))
 
 
+def join_hot(large: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner", buckets: int = 4096, share: int = 8, least: int = 256) -> DataFrame:
+    """``large`` joined with ``small``, whose keys are few but may each have very many rows in ``large``.
+
+    Keys are counted by hash bucket (``buckets`` counts at most, so their table is broadcast).  A
+    bucket with more than ``share`` times its part of the rows is dealt to as many tasks as that
+    takes, by a hash of the columns ``spread``, and its rows of ``small`` are sent to each of them.
+    """
+    bucket = lambda df: F.pmod(F.xxhash64(*[df[k] for k in keys]), F.lit(buckets)).cast("int")
+    counts = large.select(bucket(large).alias("_b")).groupBy("_b").count()
+    fair = F.greatest(F.sum("count").over(Window.partitionBy()) * (share / buckets), F.lit(float(least)))
+    hot = counts.select("_b", F.ceil(F.col("count") / fair).cast("int").alias("_turns")).filter("_turns > 1")
+    turns = F.coalesce("_turns", F.lit(1))
+    a = large.withColumn("_b", bucket(large)).join(F.broadcast(hot), "_b", "left").withColumn("_turn", F.pmod(F.xxhash64(*spread), turns).cast("int")).drop("_b", "_turns")
+    b = small.withColumn("_b", bucket(small)).join(F.broadcast(hot), "_b", "left").withColumn("_turn", F.explode(F.sequence(F.lit(0), turns - 1))).drop("_b", "_turns")
+    return a.join(b, [*keys, "_turn"], how).drop("_turn")
+
+
 _KEPT: dict[tuple, object] = {}
 
 
@@ -102,8 +121,17 @@ def kept(key: tuple, make: Callable[[], object]):
 
 
 def forget() -> None:
-    """Let go of what this worker keeps."""
+    """Let go of what this worker keeps, and of the memory it no longer uses."""
     _KEPT.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside those of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def sized(batches: Iterable[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:

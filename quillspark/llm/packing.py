@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .chunks import binary_rows, cached_library_encoder, ended
-from .common import documents, sized
+from .common import documents, give_back, sized
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, bucket int, ids binary"
 
@@ -26,7 +26,7 @@ def pieces(tokens: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(tokens)), counts.sum(axis=1)), np.repeat(np.tile(sizes, len(tokens)), counts.reshape(-1))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int = 2048, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 12_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int = 2048, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4_000_000) -> DataFrame:
     """One row for each piece, with its packed little-endian unsigned 32-bit ``ids``.
 
     ``start`` counts the document's ids before the piece; ``sequence_id`` is unique over the
@@ -57,6 +57,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int = 2
             starts = before - (np.cumsum(tokens) - tokens)[row]
             columns = [batch.column("doc_id").take(pa.array(row)), pa.array(starts), pa.array(length), pa.array(tokens[row]), pa.array(sequence), pa.array(np.zeros(len(row), np.int64)), pa.array(bucket.astype(np.int32)), binary_rows(ids, length)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "bucket", "ids"])
+        give_back()
 
     return documents(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 

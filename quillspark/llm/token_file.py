@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import binary_rows, cached_library_encoder, ended
-from .common import documents, sized
+from .common import documents, give_back, sized
 
 BLOCK = 128
 MAGIC = b"PFR1"
@@ -111,7 +111,7 @@ def decode_segment(image: bytes) -> np.ndarray:
     return decode_range(image)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, segment_ids: int = 1 << 20, percentile: float = 90.0, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8_000_000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, segment_ids: int = 1 << 20, percentile: float = 90.0, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4_000_000) -> None:
     """Encode every text, append the end id, and write segments in ascending doc_id order.
 
     The documents are range-partitioned by doc_id, so parts follow one another; in a part,
@@ -150,6 +150,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                     total = 0
         if held:
             yield flush()
+        give_back()
 
     keyed = documents(docs, id_col, text_col).withColumn("th", F.xxhash64("text"))  # the range sample reaches the driver: no texts in it
     ordered = keyed.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")

@@ -12,7 +12,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-PART = 1 << 22
+PART = 1 << 18
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
