@@ -62,3 +62,6 @@ TITLE_ABBREVIATIONS = {
 # Simplified characters and their traditional forms, place by place.
 SIMPLIFIED = "经严华圆觉维阿弥陀无量寿药师杂长坛宝论记传译龙门东汉晋国齐陈罗众灭义观释净禅"
 TRADITIONAL = "經嚴華圓覺維阿彌陀無量壽藥師雜長壇寶論記傳譯龍門東漢晉國齊陳羅眾滅義觀釋淨禪"
+
+# Dynasties that stand before a translator's name.
+TRANSLATOR_DYNASTIES = ["魏", "隋", "唐", "宋", "元", "明", "清", "南朝", "北朝", "十六國", "東晉", "西晉", "後秦", "後漢", "姚秦", "劉宋", "蕭齊", "梁", "陳", "北魏", "北齊", "北周", "東魏", "西魏", "南齊", "蜀", "吳"]

@@ -101,3 +101,8 @@ def parsed_date(x: Column) -> Column:
 
 def cache_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *parts))
+
+
+def without_dynasty(translator: Column) -> Column:
+    """A translator's name without one dynasty at its front."""
+    return F.trim(F.regexp_replace(translator, "^(" + "|".join(fixed.TRANSLATOR_DYNASTIES) + r")\s*", ""))

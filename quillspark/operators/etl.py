@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import first_per_key
+from .ranking import first_per_key, running_total, turns
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], keep_old_if_null: Sequence[str] = (), order: Sequence[Column | str] | None = None) -> DataFrame:
@@ -47,18 +47,13 @@ def latest(log: DataFrame, key: Sequence[str], time: str, tie: str) -> DataFrame
 
 def with_dense_ids(df: DataFrame, order: str, name: str, start: int = 1) -> DataFrame:
     """Consecutive ids by a unique key, counted by key range so that no task sees all rows."""
-    ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    base = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    return ranged.join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + rank - 1 + start).drop("_p", "_base")
-
-
-def numbered_ids(df: DataFrame, base: Column, order: Sequence[Column | str], name: str = "external_id") -> DataFrame:
-    """A base id for each row; repeats get -2, -3 and so on."""
-    turn = F.row_number().over(Window.partitionBy("_base").orderBy(*order))
-    marked = df.withColumn("_base", base).withColumn("_turn", turn)
-    return marked.withColumn(name, F.when(F.col("_turn") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", "_turn"))).drop("_base", "_turn")
+    return running_total(df, [order], F.lit(1), name).withColumn(name, F.col(name) - 1 + start)
+
+
+def numbered_ids(df: DataFrame, base: Column, order: Sequence[str], name: str = "external_id") -> DataFrame:
+    """A base id for each row; repeats get -2, -3 and so on.  A null base gives a null id."""
+    turn = turns(df.withColumn("_b", base), F.col("_b"), order, "_turn")
+    return turn.withColumn(name, F.when(F.col("_turn") == 1, F.col("_b")).when(F.col("_b").isNotNull(), F.concat_ws("-", "_b", "_turn"))).drop("_b", "_turn")
 
 
 def roll_up(parents: DataFrame, parts: DataFrame, key: str, chars: str) -> DataFrame:

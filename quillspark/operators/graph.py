@@ -173,18 +173,25 @@ def citations(notes: DataFrame, key: str, text: str, works: DataFrame, confidenc
 
 def commentaries(texts: DataFrame, key: str, title: str, suffixes: Sequence[str], abbreviations: dict[str, str]) -> DataFrame:
     """(subject, object, confidence): a commentary's title without its suffix is a work's title (.8), its abbreviation (.7),
-    one with 佛說 before or 經 after (.6), or is held by one title alone (.5)."""
+    one with 大方廣 before, 經 after or 妙法 before, in this order (.6), or is held by the title of one other work alone (.5).
+
+    Of works with one title the largest key counts.
+    """
     pattern = f"^(.+?)({'|'.join(sorted(suffixes, key=len, reverse=True))})$"
     base = texts.select(F.col(key).alias("subject"), F.nullif(F.regexp_extract(title, pattern, 1), F.lit("")).alias("base")).filter(F.col("base").isNotNull())
     works = texts.groupBy(F.col(title).alias("name")).agg(F.max(key).alias("object"))
     full = F.create_map(*[F.lit(x) for p in abbreviations.items() for x in p]) if abbreviations else F.create_map(F.lit(""), F.lit(""))
-    tries = [(F.col("base"), 0.8), (full[F.col("base")], 0.7), (F.concat(F.lit("佛說"), "base"), 0.6), (F.concat("base", F.lit("經")), 0.6)]
-    named = None
-    for name, confidence in tries:
-        one = base.select("subject", name.alias("name"), F.lit(confidence).alias("confidence"))
-        named = one if named is None else named.unionByName(one)
-    exact = named.join(works, "name").filter("subject <> object")
-    return first_per_key(exact, ["subject"], [F.desc("confidence"), "object"]).select("subject", "object", "confidence")
+    tries = [(F.col("base"), 0.8), (full[F.col("base")], 0.7), (F.concat(F.lit("大方廣"), "base"), 0.6), (F.concat("base", F.lit("經")), 0.6), (F.concat(F.lit("妙法"), "base"), 0.6)]
+    tried = base.select("subject", F.posexplode(F.array(*[F.struct(n.alias("name"), F.lit(c).alias("confidence")) for n, c in tries])).alias("turn", "t")).select("subject", "turn", "t.name", "t.confidence")
+    exact = tried.join(works, "name").filter("subject <> object")
+    named = first_per_key(exact, ["subject"], ["turn"]).select("subject", "object", "confidence")
+    # titles are looked up by the first two characters of the base among their own pairs
+    pair = lambda c, i: F.substring(c, i, F.lit(2))
+    rest = base.join(named, "subject", "left_anti").withColumn("_gram", pair(F.col("base"), F.lit(1)))
+    grams = works.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.array(pair(F.col("name"), i), F.substring("name", i, F.lit(1))))))))
+    held = rest.join(grams, "_gram").filter(F.contains("name", F.col("base")) & (F.col("object") != F.col("subject")))
+    alone = held.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.min("object").alias("object")).filter("n = 1")
+    return named.unionByName(alone.select("subject", "object", F.lit(0.5).alias("confidence")))
 
 
 def concepts(texts: DataFrame, key: str, title: str, keywords: dict[str, Sequence[str]], confidence: float = 0.7) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key; the optimiser cuts groups before the shuffle."""
@@ -17,11 +19,6 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def best_value(df: DataFrame, keys: Sequence[str], value: str, by: Column) -> DataFrame:
-    """One row for each key with the value of the largest ``by``; combined before the shuffle."""
-    return df.groupBy(*keys).agg(F.max_by(value, by).alias(value))
-
-
 def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1)."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
@@ -87,13 +84,43 @@ def collapse(hits: DataFrame, group: str, score: str, key: str, inner: int = 5)
     return listed.join(totals, group).select(group, (-F.col("l")[0]["s"]).alias("best_score"), F.col("l")[0]["k"].alias("best_key"), "n_hits", F.transform("l", lambda x: x["k"]).alias("keys"))
 
 
+def in_parts(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows in ascending parts by key range, each with its part's number ``_p``.
+
+    The parts are written once: a range partitioning that is planned twice draws its bounds twice.
+    """
+    return stored(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "parts")
+
+
+def running_total(df: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` up to and with each row in ascending ``order``, which should be a total one.
+
+    Each part is summed first, so no task sees more than a part; what is broadcast is a row for each part.
+    """
+    ranged = in_parts(df.withColumn("_value", value), order)
+    sums = ranged.groupBy("_p").agg(F.sum("_value").alias("_sum"))
+    base = sums.select("_p", (F.sum("_sum").over(Window.orderBy("_p")) - F.col("_sum")).alias("_base"))
+    own = F.sum("_value").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_own", own).join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + F.col("_own")).drop("_p", "_value", "_own", "_base")
+
+
 def with_batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    """(batch, first, last, rows) of consecutive batches of ``size`` rows by ``order``.
+    """(batch, first, last, n_rows) of consecutive batches of ``size`` rows by ``order``."""
+    numbered = running_total(df.select(order), [order], F.lit(1), "_n")
+    return numbered.groupBy(F.floor((F.col("_n") - 1) / size).cast("long").alias("batch")).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def turns(df: DataFrame, base: Column, order: Sequence[str], name: str) -> DataFrame:
+    """``name``: the place of each row among those of its ``base``, from 1 by ascending ``order``.
 
-    Rows are counted by range of the key first, so no task sees them all.
+    A base of very many rows lies in several parts; only a part's first base can have begun before
+    it, so one row for each part tells how many came earlier.
     """
-    ranged = df.select(order).repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
-    base = counts.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_base"))
-    numbered = ranged.join(F.broadcast(base), "_p").withColumn("_n", F.col("_base") + F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
-    return numbered.groupBy(F.floor(F.col("_n") / size).cast("long").alias("batch")).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n_rows"))
+    ranged = in_parts(df.withColumn("_base", base), ["_base", *order])
+    first = ranged.groupBy("_p").agg(F.min(F.struct("_base")).alias("_f")).select("_p", F.col("_f._base").alias("_base"))
+    counts = ranged.join(F.broadcast(first.select("_base").distinct()), "_base", "left_semi").groupBy("_p", "_base").count()
+    before = F.sum("count").over(Window.partitionBy("_base").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = counts.select("_p", "_base", F.coalesce(before, F.lit(0)).alias("_before")).filter("_before > 0")
+    own = F.row_number().over(Window.partitionBy("_p", "_base").orderBy(*order))
+    out = ranged.withColumn("_own", own).join(F.broadcast(earlier), ["_p", "_base"], "left")
+    return out.withColumn(name, F.col("_own") + F.coalesce("_before", F.lit(0))).drop("_p", "_base", "_own", "_before")

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import first_per_key
+from ..functions import fixed
+from .ranking import first_per_key, page, running_total
 
 
 def merged_relations(first: DataFrame, second: DataFrame, rename: dict[str, str]) -> DataFrame:
@@ -46,8 +47,22 @@ def timeline(rows: DataFrame, year: Column, bins: int) -> DataFrame:
 
 def timeline_rows(rows: DataFrame, year: str, key: str, height: int) -> DataFrame:
     """Rows dealt over ``height`` lines in order of year; undated ones by a hash of the key."""
-    turn = F.row_number().over(Window.orderBy(F.asc_nulls_last(year), key)) - 1
-    return rows.withColumn("line", F.when(F.col(year).isNull(), F.pmod(F.xxhash64(key), F.lit(height))).otherwise(F.pmod(turn, F.lit(height))).cast("int"))
+    dated = running_total(rows.filter(F.col(year).isNotNull()), [year, key], F.lit(1), "_turn").withColumn("line", F.pmod(F.col("_turn") - 1, F.lit(height)).cast("int")).drop("_turn")
+    undated = rows.filter(F.col(year).isNull()).withColumn("line", F.pmod(F.xxhash64(key), F.lit(height)).cast("int"))
+    return dated.unionByName(undated)
+
+
+def dated_timeline(items: DataFrame, key: str, dynasty: str, kinds: dict[str, Sequence[str] | None], number: int, size: int) -> DataFrame:
+    """One page of items on the time axis: those of the wanted values of each column (None: all), with the years of
+    their dynasty and the number of items over all pages, by first year (undated last) and key."""
+    rows = items
+    for column, wanted in kinds.items():
+        if wanted is not None:
+            rows = rows.filter(F.col(column).isin(list(wanted)))
+    table = rows.sparkSession.createDataFrame([(n, a, b) for _, n, _, a, b in fixed.DYNASTIES], "_dynasty string, first_year int, last_year int")
+    dated = rows.join(F.broadcast(table), F.col(dynasty) == F.col("_dynasty"), "left").drop("_dynasty")  # a fixed table
+    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))  # one row
+    return page(dated, [F.asc_nulls_last("first_year"), key], number, size).join(total)
 
 
 def line_kind(line: Column) -> Column:
@@ -211,3 +226,21 @@ def index_rows(texts: DataFrame, sources: DataFrame, code: str) -> DataFrame:
 def seo_text(parts: Sequence[Column], size: int = 160) -> Column:
     whole = F.concat_ws(" · ", *parts)
     return F.when(F.length(whole) > size, F.concat(F.substring(whole, 1, size - 1), F.lit("…"))).otherwise(whole)
+
+
+def canonical_parallels(relations: DataFrame, texts: DataFrame, contents: DataFrame, chunks: DataFrame, text_id, provenance: str, preview: int = 240) -> DataFrame:
+    """Other ends of one provenance's relations of a text: related_id, code, title, lang, relation_type, note, own_preview, english_preview, total.
+
+    The title is the first there is of title_pi, title_sa, title_en and title_zh, else empty.  Only Pali texts
+    have previews: the start of their first Pali chapter and of their first chunk.  Parallels come first, then by code.
+    """
+    mine = relations.filter((F.col("source") == provenance) & ((F.col("a") == text_id) | (F.col("b") == text_id)))
+    ends = mine.select(F.when(F.col("a") == text_id, F.col("b")).otherwise(F.col("a")).alias("related_id"), "relation_type", "note")
+    titled = texts.select(F.col("id").alias("related_id"), "code", F.coalesce("title_pi", "title_sa", "title_en", "title_zh", F.lit("")).alias("title"), F.coalesce("lang", F.lit("")).alias("lang"))
+    own = contents.filter(F.col("lang") == "pi").groupBy(F.col("text_id").alias("related_id")).agg(F.min_by(F.substring("content", 1, preview), "chapter").alias("own_preview"))
+    english = chunks.groupBy(F.col("text_id").alias("related_id")).agg(F.min_by(F.substring("chunk_text", 1, preview), F.struct("chapter", "chunk")).alias("english_preview"))
+    found = ends.join(titled, "related_id").join(own, "related_id", "left").join(english, "related_id", "left")
+    only_pali = lambda c: F.when(F.col("lang") == "pi", F.nullif(F.col(c), F.lit(""))).alias(c)
+    rows = found.select("related_id", "code", "title", "lang", "relation_type", "note", only_pali("own_preview"), only_pali("english_preview"))
+    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))  # one row
+    return rows.join(total).orderBy(F.when(F.col("relation_type") == "parallel", 0).otherwise(1), "code", "related_id")

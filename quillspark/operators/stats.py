@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,7 +151,25 @@ def rate_windows(df: DataFrame, owner: str, time: str, limit: int, width: str =
     return counted.filter(F.col("n") > limit).select(owner, F.col("w.start").alias("window_start"), "n")
 
 
-def throttled(df: DataFrame, owner: str, time: str, seconds: int) -> DataFrame:
-    """The first event of each owner in each fixed span of ``seconds``."""
-    span = F.floor(F.unix_timestamp(F.col(time).cast("timestamp")) / seconds)
-    return first_per_key(df.withColumn("_span", span), [owner, "_span"], [time]).drop("_span")
+def throttled(df: DataFrame, owner: str, time: str, seconds: int, key: str) -> DataFrame:
+    """(owner, time, key) of the events that pass: those with none of the owner's passed in the ``seconds`` before.
+
+    The span runs from the event that passed, so the rows are read in order of time; a task keeps the last time
+    passed and no more, however many events an owner has.  Ties go to the smaller key.
+    """
+    seconds_of = F.unix_micros(F.col(time).cast("timestamp"))
+    rows = df.filter(F.col(owner).isNotNull() & F.col(time).isNotNull()).select(owner, time, key, seconds_of.alias("_us"))
+    kept = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+
+    def run(batches):
+        last_owner, passed = None, 0
+        for batch in batches:
+            keep = []
+            for who, us in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                good = who != last_owner or us - passed >= seconds * 1_000_000
+                keep.append(good)
+                if good:
+                    last_owner, passed = who, us
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition(owner).sortWithinPartitions(owner, "_us", key).mapInArrow(run, kept).drop("_us")

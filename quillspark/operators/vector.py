@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .ranking import first_per_key
+from .ranking import first_per_key, running_total
 
 
 def top_k(chunks: DataFrame, vector: str, query: Sequence[float], k: int, key: str, where: Column | None = None, least: float | None = None) -> DataFrame:
@@ -65,10 +65,9 @@ def align(source: DataFrame, target: DataFrame, pair: str, key: str, vector: str
     return first_per_key(good, [pair, "a"], [F.desc("score"), "b"], accept)
 
 
-def within_budget(calls: DataFrame, order: Sequence[Column | str], cost: Column, ceiling: float) -> DataFrame:
+def within_budget(calls: DataFrame, order: Sequence[str], cost: Column, ceiling: float) -> DataFrame:
     """The calls, in order, whose running cost stays within the ceiling."""
-    running = F.sum(cost).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return calls.withColumn("spent", running).filter(F.col("spent") <= ceiling)
+    return running_total(calls, order, cost, "spent").filter(F.col("spent") <= ceiling)
 
 
 def merged_top_k(chunks: DataFrame, vector: str, query: Sequence[float], key: str, language: str, budgets: Sequence[tuple[str, int]]) -> DataFrame:

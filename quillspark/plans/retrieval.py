@@ -77,10 +77,9 @@ def topk_per_language_merge(t, spark):
     return out.select("vec_id", "lang", F.round("score", 6).alias("score"))
 
 
-@R.add("cost_guard", "SELECT conv_id, turn, spent FROM (SELECT conv_id, turn, sum(length(text)) OVER (ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM conversations WHERE conv_id < 20) WHERE spent <= 5000")
+@R.add("cost_guard", "SELECT conv_id, turn, spent FROM (SELECT conv_id, turn, sum(length(text)) OVER (ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING)::BIGINT AS spent FROM conversations) WHERE spent <= 200000")
 def cost_guard(t, spark):
-    rows = t("conversations").filter("conv_id < 20")
-    return vector.within_budget(rows, ["conv_id", "turn"], F.length("text"), 5000).select("conv_id", "turn", F.col("spent").cast("long").alias("spent"))
+    return vector.within_budget(t("conversations"), ["conv_id", "turn"], F.length("text"), 200000).select("conv_id", "turn", F.col("spent").cast("long").alias("spent"))
 
 
 QUESTION = "the and of retion"
@@ -109,7 +108,7 @@ def shared_characters(t, spark):
     "rag_context",
     f"""WITH s AS (SELECT d.doc_id, d.source, d.lang, d.text, list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.vec_id <> 0),
     b AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY score DESC, doc_id) AS k FROM s WHERE score + 0.3 >= 0.35), c AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM b WHERE k = 1 ORDER BY score DESC, doc_id LIMIT 5)
-    SELECT string_agg('[' || source || ']' || chr(10) || substr(text, 1, 60), chr(10) || chr(10) ORDER BY r) AS context FROM c""",
+    SELECT string_agg('[' || source || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY r) AS context FROM c""",
 )
 def rag_context(t, spark):
     from ..functions import vectors as V
@@ -118,7 +117,7 @@ def rag_context(t, spark):
     e = t("embeddings").filter("vec_id <> 0").withColumnRenamed("vec_id", "doc_id")
     d = t("documents").join(e, "doc_id").withColumn("score", V.cosine(F.col("embedding"), V.literal(_query(t))) + 0.3)
     hits = rag.context(d, "source", "lang", "doc_id", "score")
-    blocks = hits.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("r"), rag.context_block(F.col("source"), F.substring("text", 1, 60), F.array().cast("array<string>")).alias("block"))
+    blocks = hits.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("r"), rag.context_block(F.col("source"), F.col("text"), F.array().cast("array<string>")).alias("block"))
     return rag.context_text(blocks, "block", "r")
 
 
@@ -133,33 +132,73 @@ def bm25_search(t, spark):
     return hits.select("doc_id", F.round("score", 6).alias("score"), "n_terms")
 
 
-@R.add("content_collapse", "WITH h AS (SELECT source, doc_id, n_chars AS score FROM documents WHERE lang = 'fr'), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY source) AS n_hits FROM h) SELECT source, max(score) AS best_score, min(doc_id) FILTER (k = 1) AS best_key, min(n_hits) AS n_hits, string_agg(doc_id::VARCHAR, ',' ORDER BY k) AS keys FROM r WHERE k <= 5 GROUP BY source")
+@R.add("content_collapse", "WITH h AS (SELECT source, doc_id, n_chars AS score FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY source) AS n_hits FROM h) SELECT source, max(score) AS best_score, min(doc_id) FILTER (k = 1) AS best_key, min(n_hits) AS n_hits, string_agg(doc_id::VARCHAR, ',' ORDER BY k) AS keys FROM r WHERE k <= 5 GROUP BY source")
 def content_collapse(t, spark):
     from ..operators.ranking import collapse
 
-    out = collapse(t("documents").filter("lang = 'fr'").select("source", "doc_id", F.col("n_chars").alias("score")), "source", "score", "doc_id")
+    out = collapse(t("documents").select("source", "doc_id", F.col("n_chars").alias("score")), "source", "score", "doc_id")
     return out.withColumn("keys", F.array_join(F.col("keys").cast("array<string>"), ","))
 
 
+@R.add(
+    "content_search",
+    """WITH w AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[a-zà-ÿ]+') AS ws FROM documents), l AS (SELECT doc_id, source, len(ws) AS n, len(list_filter(ws, lambda x: x = 'the')) AS a, len(list_filter(ws, lambda x: x = 'was')) AS b FROM w WHERE len(ws) > 0),
+    s AS (SELECT count(*) AS n_, avg(n) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM l),
+    h AS (SELECT source, doc_id, round(ln(1 + (n_ - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (n_ - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / m)), 6) AS score FROM l, s WHERE a + b > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY source) AS n_hits FROM h)
+    SELECT source, max(score) AS best_score, min(n_hits) AS n_hits, string_agg(doc_id::VARCHAR, ',' ORDER BY k) AS keys FROM r WHERE k <= 5 GROUP BY source""",
+)
+def content_search(t, spark):
+    out = search.content_search(t("documents"), "source", "doc_id", T.words(F.col("text")), ["the", "was"], digits=6)
+    return out.select("source", "best_score", "n_hits", F.array_join(F.col("keys").cast("array<string>"), ",").alias("keys"))
+
+
+def _field(column: str, words: list[str]) -> str:
+    return f"regexp_extract_all(lower({column}), '[a-zà-ÿ]+') AS w_{column}"
+
+
+def _bm25_sql(column: str, words: list[str]) -> str:
+    part = "ln(1 + (n_{c} - df_{c}_{j} + 0.5) / (df_{c}_{j} + 0.5)) * tf_{c}_{j} * 2.2 / (tf_{c}_{j} + 1.2 * (0.25 + 0.75 * len(w_{c}) / m_{c}))"
+    every = " AND ".join(f"tf_{column}_{j} > 0" for j in range(len(words)))
+    return f"CASE WHEN {every} THEN " + " + ".join(part.format(c=column, j=j) for j in range(len(words))) + " ELSE 0 END"
+
+
+BOXED = ["small", "gizmo"]
+COUNTS = ", ".join(f"len(list_filter(w_{c}, lambda x: levenshtein(x, '{w}') <= {e})) AS tf_{c}_{j}" for c in ("p_name", "p_type") for j, (w, e) in enumerate(zip(BOXED, (1, 2), strict=True)))
+TOTALS = ", ".join(f"count(*) FILTER (len(w_{c}) > 0) AS n_{c}, avg(nullif(len(w_{c}), 0)) AS m_{c}, " + ", ".join(f"count(*) FILTER (tf_{c}_{j} > 0) AS df_{c}_{j}" for j in range(2)) for c in ("p_name", "p_type"))
+
+
 @R.add(
     "catalog_search",
-    """SELECT p_partkey, CASE WHEN contains(lower(p_name), 'a') AND contains(lower(p_name), 'e') THEN 3.0 ELSE 0.0 END::DOUBLE + CASE WHEN contains(lower(p_name), 'a e') THEN 15.0 ELSE 0.0 END::DOUBLE AS score FROM part WHERE p_size = 10 AND (contains(lower(p_name), 'a') AND contains(lower(p_name), 'e') OR contains(lower(p_name), 'a e'))""",
+    f"""WITH w AS (SELECT *, {_field("p_name", BOXED)}, {_field("p_type", BOXED)} FROM part), c AS (SELECT *, {COUNTS} FROM w), s AS (SELECT {TOTALS} FROM c),
+    x AS (SELECT p_partkey, greatest(3.0 * ({_bm25_sql("p_name", BOXED)}), 1.0 * ({_bm25_sql("p_type", BOXED)})) + CASE WHEN contains(lower(p_name), 'small gizmo') THEN 15 ELSE 0 END AS score FROM c, s) SELECT p_partkey, round(score, 6) AS score FROM x WHERE score > 0""",
 )
 def catalog_search(t, spark):
-    return search.catalog_search(t("part"), "p_partkey", "a e", {"p_name": 3.0}, {"p_name": 15.0}, {"p_size": 10, "p_brand": None}).select("p_partkey", "score")
+    found = search.catalog_search(t("part"), "p_partkey", " ".join(BOXED), {"p_name": 3.0, "p_type": 1.0}, {"p_name": 15.0}, {"p_size": None, "p_brand": None})
+    return found.select("p_partkey", F.round("score", 6).alias("score"))
+
+
+@R.add("search_page", "WITH h AS (SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'a')) SELECT p_partkey, p_name, (SELECT count(*) FROM h) AS total FROM h ORDER BY p_name, p_partkey LIMIT 20 OFFSET 20")
+def search_page(t, spark):
+    return search.totalled(t("part").filter(F.contains("p_name", F.lit("a"))).select("p_partkey", "p_name"), ["p_name", "p_partkey"], 2, 20)
+
+
+@R.add("dictionary_browse", "SELECT p_partkey, p_name, (SELECT count(*) FROM part WHERE p_brand = 'Brand#1') AS total FROM part WHERE p_brand = 'Brand#1' ORDER BY p_name, p_partkey LIMIT 50")
+def dictionary_browse(t, spark):
+    return search.browse_dictionary(t("part"), "p_brand", "Brand#1", "p_name", "p_partkey", 1).select("p_partkey", "p_name", "total")
 
 
-EDITIONS = "(1, '心經', '玄奘', true, 'T0251'), (2, '心經', '玄奘', false, 'T0100'), (3, '心經', '鳩摩羅什', false, NULL), (4, '心經', '鳩摩羅什', false, 'T0250'), (5, '論', '玄奘', false, NULL)"
+EDITIONS = "(1, '心經', '唐 玄奘', true, 'T0251'), (2, '心經', '玄奘', false, 'T0100'), (3, '心經', '鳩摩羅什', false, NULL), (4, '心經', '鳩摩羅什', false, 'T0250'), (5, '論', '玄奘', false, NULL)"
 
 
-@R.add("merged_editions", f"WITH e(id, title, tr, has, num) AS (VALUES {EDITIONS}) SELECT id, title, tr FROM (SELECT *, row_number() OVER (PARTITION BY title, tr ORDER BY has DESC, coalesce(num, 'ZZZZ'), id) AS k FROM e) WHERE k = 1")
+@R.add("merged_editions", f"WITH e(id, title, tr, has, num) AS (VALUES {EDITIONS}) SELECT id, title, tr FROM (SELECT *, row_number() OVER (PARTITION BY title, replace(tr, '唐 ', '') ORDER BY has DESC, coalesce(num, 'ZZZZ'), id) AS k FROM e) WHERE k = 1")
 def merged_editions(t, spark):
     return search.merged_editions(values(spark, EDITIONS, "id, title, tr, has, num"), "title", "tr", "has", "num", "id").select("id", "title", "tr")
 
 
-@R.add("suggestions", "SELECT DISTINCT p_name AS suggestion FROM part WHERE regexp_matches(p_name, '(?i)(^|[^a-z0-9])gr') ORDER BY 1 LIMIT 5")
+@R.add("suggestions", "SELECT DISTINCT p_name AS suggestion FROM part WHERE regexp_matches(p_name, '(?i)(^|[^a-z0-9])small[^a-z0-9]+w') OR regexp_matches(p_type, 'no such') ORDER BY 1 LIMIT 5")
 def suggestions(t, spark):
-    return search.suggest(t("part"), ["p_name"], "gr")
+    return search.suggest(t("part"), ["p_name"], "small w")
 
 
 @R.add("did_you_mean", "WITH v AS (SELECT p_type AS term, count(*) AS n FROM part GROUP BY 1) SELECT term, levenshtein(term, 'PROMA')::INT AS distance FROM v WHERE levenshtein(term, 'PROMA') BETWEEN 1 AND 2 ORDER BY distance, n DESC, term LIMIT 1")

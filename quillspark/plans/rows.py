@@ -71,12 +71,19 @@ def upsert(t, spark):
     return etl.upsert(values(spark, UPSERT_OLD, "k, v, s"), values(spark, UPSERT_NEW, "k, v, s, r"), ["k"], ["s"], ["r"])
 
 
-@R.add("insert_ignore", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@R.add("insert_ignore", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def insert_ignore(t, spark):
-    old = t("orders").select(F.col("o_custkey").alias("c_custkey"))
+    old = t("orders").filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return etl.insert_ignore(old, t("customer").select("c_custkey"), ["c_custkey"], ["c_custkey"])
 
 
+@R.add("dense_ids_wide", "SELECT o_orderkey, repeat(o_orderpriority, 100) AS wide, row_number() OVER (ORDER BY o_orderkey) AS id FROM orders")
+def dense_ids_wide(t, spark):
+    """A wide column beside the key: what is counted and what is numbered must be the same parts."""
+    rows = t("orders").select("o_orderkey", F.repeat("o_orderpriority", 100).alias("wide"))
+    return etl.with_dense_ids(rows, "o_orderkey", "id")
+
+
 @R.add("dense_ids", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS id FROM orders")
 def dense_ids(t, spark):
     return etl.with_dense_ids(t("orders").select("o_orderkey"), "o_orderkey", "id")
@@ -102,10 +109,10 @@ def entity_resolution(t, spark):
     return etl.resolve(values(spark, NEW_PEOPLE, "id, q, d, name"), values(spark, OLD_PEOPLE, "oid, oq, od, oname"), [("q", "oq"), ("d", "od"), ("name", "oname")], "oid").select("id", "match_id")
 
 
-@R.add("unique_title_match", "SELECT p.p_partkey, m.match_id FROM part p JOIN (SELECT p_name, min(p_partkey) AS match_id FROM part GROUP BY 1 HAVING count(*) = 1) m USING (p_name)")
+@R.add("unique_title_match", "WITH n AS (SELECT p_partkey, p_brand || p_size || left(p_name, 3) AS name FROM part) SELECT n.p_partkey, m.match_id FROM n JOIN (SELECT name, min(p_partkey) AS match_id FROM n GROUP BY 1 HAVING count(*) = 1) m USING (name)")
 def unique_title_match(t, spark):
-    p = t("part").select("p_partkey", "p_name")
-    return etl.unique_matches(p, p, "p_name", "p_name", "p_partkey").select("p_partkey", "match_id")
+    p = t("part").select("p_partkey", F.concat("p_brand", F.col("p_size").cast("string"), F.substring("p_name", 1, 3)).alias("name"))
+    return etl.unique_matches(p, p, "name", "name", "p_partkey").select("p_partkey", "match_id")
 
 
 @R.add("contained_name", "SELECT doc_id, matched, priority FROM (SELECT i.item_id AS doc_id, w.n AS matched, w.p AS priority, row_number() OVER (PARTITION BY i.item_id ORDER BY w.p, length(w.n) DESC, w.n) AS k FROM benchmark i JOIN (VALUES ('the', 2), ('tion', 1), ('er', 2), ('ing', 1), ('zzz', 1)) w(n, p) ON contains(i.text, w.n)) WHERE k = 1")
@@ -139,10 +146,10 @@ def two_signal_classifier(t, spark):
     return etl.two_signals(t("customer"), F.col("c_mktsegment"), "AUTO|BUILD", "MACH|FURN").select("c_custkey", "verdict")
 
 
-@R.add("rule_deletes", "WITH m AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_mktsegment = 'BUILDING' THEN 'building' END AS rule FROM customer) SELECT rule, count(*) AS n FROM m WHERE rule IS NOT NULL AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) GROUP BY 1")
+@R.add("rule_deletes", "WITH m AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_mktsegment = 'BUILDING' THEN 'building' END AS rule FROM customer) SELECT rule, count(*) AS n FROM m WHERE rule IS NOT NULL AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') GROUP BY 1")
 def rule_deletes(t, spark):
     rules = [("debt", F.col("c_acctbal") < 0), ("building", F.col("c_mktsegment") == "BUILDING")]
-    return etl.rule_deletes(t("customer"), "c_custkey", rules, t("orders").select(F.col("o_custkey").alias("c_custkey")))[1]
+    return etl.rule_deletes(t("customer"), "c_custkey", rules, t("orders").filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")))[1]
 
 
 @R.add("table_differences", "SELECT * FROM (SELECT coalesce(a.s_suppkey, b.k) AS s_suppkey, CASE WHEN a.s_suppkey IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.s_nationkey IS DISTINCT FROM b.n THEN 'changed' END AS change FROM supplier a FULL JOIN (SELECT s_suppkey + 5 AS k, s_nationkey AS n FROM supplier) b ON a.s_suppkey = b.k) WHERE change IS NOT NULL")

@@ -144,3 +144,28 @@ ANN = "(1, 'draft', 'submit'), (2, 'pending', 'approve'), (3, 'pending', 'reject
 @R.add("annotation_flow", "SELECT * FROM (VALUES (1, 'pending'), (2, 'approved'), (3, 'rejected'), (4, NULL)) t(id, state)")
 def annotation_flow(t, spark):
     return values(spark, ANN, "id, s, a").select("id", etl.flow(F.col("s"), F.col("a")).alias("state"))
+
+
+@R.add("dated_timeline", "WITH d(name, a, b) AS (VALUES ('唐', 618, 907), ('隋', 581, 618), ('遼', 916, 1125)), n AS (SELECT n_nationkey, n_regionkey, CASE n_regionkey WHEN 0 THEN '唐' WHEN 1 THEN '隋' WHEN 2 THEN '遼' ELSE 'x' END AS dynasty FROM nation WHERE n_regionkey IN (0, 1, 2, 3)) SELECT n_nationkey, n_regionkey, dynasty, a::INT AS first_year, b::INT AS last_year, (SELECT count(*) FROM n) AS total FROM n LEFT JOIN d ON d.name = n.dynasty ORDER BY first_year NULLS LAST, n_nationkey LIMIT 8 OFFSET 8")
+def dated_timeline(t, spark):
+    dynasty = F.when(F.col("n_regionkey") == 0, "唐").when(F.col("n_regionkey") == 1, "隋").when(F.col("n_regionkey") == 2, "遼").otherwise("x")
+    rows = t("nation").select("n_nationkey", "n_regionkey", dynasty.alias("dynasty"))
+    return service.dated_timeline(rows, "n_nationkey", "dynasty", {"n_regionkey": [0, 1, 2, 3], "dynasty": None}, 2, 8)
+
+
+@R.add(
+    "canonical_parallels",
+    """WITH r AS (SELECT l_partkey AS a, l_suppkey AS b, l_returnflag AS source, CASE WHEN l_linestatus = 'O' THEN 'parallel' ELSE 'mention' END AS relation_type FROM lineitem),
+    e AS (SELECT CASE WHEN a = 3 THEN b ELSE a END AS related_id, relation_type FROM r WHERE source = 'R' AND (a = 3 OR b = 3)),
+    x AS (SELECT e.related_id, p.p_brand AS code, coalesce(p.p_type, p.p_name, '') AS title, CASE WHEN p.p_size % 2 = 0 THEN 'pi' ELSE 'lzh' END AS lang, e.relation_type, d.text FROM e JOIN part p ON p.p_partkey = e.related_id LEFT JOIN documents d ON d.doc_id = e.related_id)
+    SELECT related_id, code, title, lang, relation_type, CASE WHEN lang = 'pi' THEN nullif(left(text, 240), '') END AS own_preview, (SELECT count(*) FROM x) AS total FROM x""",
+)
+def canonical_parallels(t, spark):
+    kind = F.when(F.col("l_linestatus") == "O", "parallel").otherwise("mention")
+    relations = t("lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_returnflag").alias("source"), kind.alias("relation_type"), F.lit(None).cast("string").alias("note"))
+    none = F.lit(None).cast("string")
+    texts = t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("code"), none.alias("title_pi"), F.col("p_type").alias("title_sa"), none.alias("title_en"), F.col("p_name").alias("title_zh"), F.when(F.col("p_size") % 2 == 0, "pi").otherwise("lzh").alias("lang"))
+    contents = t("documents").select(F.col("doc_id").alias("text_id"), F.lit(1).alias("chapter"), F.lit("pi").alias("lang"), F.col("text").alias("content"))
+    chunks = t("documents").select(F.col("doc_id").alias("text_id"), F.lit(1).alias("chapter"), F.lit(0).alias("chunk"), F.col("text").alias("chunk_text"))
+    out = service.canonical_parallels(relations, texts, contents, chunks, 3, "R")
+    return out.select("related_id", "code", "title", "lang", "relation_type", "own_preview", "total")

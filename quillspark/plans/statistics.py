@@ -173,10 +173,13 @@ def daily_quota(t, spark):
     return stats.over_quota(t("events"), "user_id", "ts", 5)
 
 
-@R.add("activity_throttle", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, floor(epoch(ts) / 300) ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+@R.add(
+    "activity_throttle",
+    """WITH RECURSIVE p(user_id, ts) AS (SELECT user_id, min(ts) FROM events WHERE user_id IS NOT NULL GROUP BY 1 UNION ALL SELECT p.user_id, min(e.ts) FROM p JOIN events e ON e.user_id = p.user_id AND e.ts >= p.ts + INTERVAL 300 SECOND GROUP BY p.user_id)
+    SELECT p.user_id, min(e.event_id) AS event_id FROM p JOIN events e USING (user_id, ts) GROUP BY p.user_id, p.ts""",
+)
 def activity_throttle(t, spark):
-    span = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 300)
-    return ranking.first_per_key(t("events").withColumn("span", span), ["user_id", "span"], ["ts", "event_id"]).select("user_id", "event_id")
+    return stats.throttled(t("events"), "user_id", "ts", 300, "event_id").select("user_id", "event_id")
 
 
 @R.add("value_clusters", "SELECT round(l_discount, 1) AS lat, round(l_tax, 1) AS lng, count(*) AS n FROM lineitem GROUP BY 1, 2 ORDER BY n DESC, lat, lng LIMIT 15")
