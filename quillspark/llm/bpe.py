@@ -13,7 +13,7 @@ give the leftmost place first, so its time follows the number of its merges.
 from __future__ import annotations
 
 import base64
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
