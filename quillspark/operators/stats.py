@@ -8,8 +8,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import first_per_key
-
 
 def overview(tables: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
     """One row: for each name the rows of its table, or the distinct values of its column."""

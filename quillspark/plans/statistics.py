@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import ranking, stats
+from ..operators import stats
 from .base import Registry, values
 
 R = Registry()
