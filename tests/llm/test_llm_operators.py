@@ -154,7 +154,7 @@ def test_token_counts(spark):
             assert counter.counts([text]) == [len(reference.encode(text).ids)]
 
 
-def lines_model(rows, run):
+def lines_model(rows, run, long=250):
     """The kept text and the number of removed lines of (id, text) rows with unique ids."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0]))
     seen, out = set(), {}
@@ -166,10 +166,14 @@ def lines_model(rows, run):
         raw = text.split("\n")
         full = [j for j, x in enumerate(raw) if x.strip(" ")]
         gone = set()
-        for k in range(len(full) - run + 1):
-            window = tuple(raw[j].strip(" ") for j in full[k : k + run])
+        lines = [raw[j].strip(" ") for j in full]
+        windows = [("run", k, run) for k in range(len(lines) - run + 1)]
+        windows += [("line", k, 1) for k, x in enumerate(lines) if len(x) >= long]
+        windows += [("document", 0, len(lines))] if 0 < len(lines) < run else []
+        for kind, k, n in windows:
+            window = (kind, *lines[k : k + n])
             if window in seen:
-                gone |= set(range(k, k + run))
+                gone |= set(range(k, k + n))
             seen.add(window)
         cut = set()
         for k in gone:
@@ -191,6 +195,17 @@ def test_line_dedup_against_model(spark):
         assert got == lines_model(rows, run)
 
 
+def test_long_lines_and_short_documents_against_model(spark):
+    rng = random.Random(12)
+    for run in (2, 3, 4):
+        texts = ["\n".join(rng.choice(["a", "b", "c", "", "long " * 4, "  other " * 3, "llllllllllll"]) for _ in range(rng.randint(0, 6))) for _ in range(60)]
+        rows = list(enumerate(texts))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(df, run, long=12).collect()}
+        assert got == lines_model(rows, run, 12)
+        assert sum(n for _, n in got.values()) > 60
+
+
 def test_line_dedup_edges(spark):
     df = spark.createDataFrame([(None, "1\n2\n3"), (5, "1\n2\n3\n\n4"), (5, "1\n2\n3\n\n4"), (5, "9"), (7, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(df).collect()), key=repr)
