@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import knowledge, retrieval, rows, services, statistics
+from . import extraction, knowledge, retrieval, rows, services, statistics
 
-_MODULES = (statistics, rows, retrieval, knowledge, services)
+_MODULES = (statistics, rows, retrieval, knowledge, services, extraction)
 
 
 def queries() -> dict:

@@ -9,31 +9,53 @@ from ..functions import names
 from ..functions import text as T
 
 
+# The header fields of plain e-texts, in English and German.
+HEADER_FIELDS = {"title": ["title", "titel"], "author": ["author", "verfasser"], "source_info": ["source", "quelle"]}
+
+
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"\A\s+|\s+\z", "")
+
+
+def _web_page(content: Column) -> Column:
+    """An e-text kept as a web page: what stands before the second rule (or the only one) is the archive's preamble."""
+    title = _stripped(F.regexp_extract(content, r"(?is)<title\b[^>]*>(.*?)</title\b", 1))
+    author = F.when(title.contains(":"), F.rtrim(F.substring_index(title, ":", 1))).otherwise("")
+    inside = F.regexp_replace(content, r"(?is)\A.*?<body\b[^>]*>|</body\b.*\z", "")
+    sections = F.split(inside, r"(?i)<hr\b[^>]*>")
+    text = F.array_join(F.slice(sections, F.least(F.size(sections), F.lit(3)), F.size(sections)), "\n")
+    for pattern, by in ((r"(?i)<(?:br|p)\b[^>]*>", "\n"), (r"<[^<>]+>", ""), (r"[ \t]+", " "), (r"\n\n\n+", "\n\n")):
+        text = F.regexp_replace(text, pattern, by)
+    return F.struct(title.alias("title"), author.alias("author"), _stripped(text).alias("content"), F.lit("").alias("source_info"))
+
+
+def _headed_text(content: Column) -> Column:
+    """A plain e-text: comment lines and blank ones come first, `name: value` fields stand in the first 50 lines."""
+    lines = F.split(content, "\n")
+    head = F.transform(F.slice(lines, 1, 50), lambda line: F.ltrim(F.trim(line), F.lit("# \t")))
+    halves = F.filter(F.transform(head, lambda line: F.split(line, "[:：]", 2)), lambda pair: F.size(pair) == 2)
+    fields = F.transform(halves, lambda pair: F.struct(F.lower(F.trim(pair[0])).alias("name"), F.trim(pair[1]).alias("value")))
+
+    def last_of(field: str) -> Column:
+        of_it = F.filter(fields, lambda x: x["name"].isin(HEADER_FIELDS[field]) & (x["value"] != ""))
+        return F.try_element_at(of_it, F.lit(-1))["value"]
+
+    opening = F.try_element_at(F.filter(head, lambda line: ~line.startswith("//") & (F.length(line) > 3)), F.lit(1))
+    prefatory = F.transform(lines, lambda line: F.coalesce(line.rlike(r"^\s*(#|//|$)"), F.lit(True)))
+    begin = F.array_position(prefatory, F.lit(False)).cast("int")  # 0: nothing but a header
+    begin = begin + F.try_element_at(lines, F.nullif(begin, F.lit(0))).rlike(r"^\s*(---|===)").cast("int")
+    body = F.filter(F.slice(lines, begin, F.size(lines)), lambda line: ~F.ltrim(line).startswith("//"))
+    body = F.coalesce(F.array_join(body, "\n"), F.lit(""))
+    title = F.coalesce(last_of("title"), F.substring(opening, 1, 200), F.lit(""))
+    others = [F.coalesce(last_of(x), F.lit("")).alias(x) for x in ("author", "source_info")]
+    return F.struct(title.alias("title"), others[0], _stripped(F.regexp_replace(body, r"\{[^{}]*\}|<[^<>]*>", "")).alias("content"), others[1])
+
+
 def romanised_text(content: Column) -> Column:
-    """struct<title, author, content, char_count, source_info> of an e-text, HTML or plain."""
-    is_html = F.substring(content, 1, 500).rlike(r"(?i)<!DOCTYPE\s+html|<html")
-    title = F.trim(F.regexp_extract(content, r"(?is)<title[^>]*>\s*(.+?)\s*</title>", 1))
-    body = F.coalesce(F.nullif(F.regexp_extract(content, r"(?is)<body[^>]*>(.*)</body>", 1), F.lit("")), content)
-    parts = F.split(body, r"(?i)<hr\s*/?>")
-    body = F.when(F.size(parts) >= 3, F.array_join(F.slice(parts, F.lit(3), F.size(parts)), "\n")).when(F.size(parts) == 2, parts[1]).otherwise(body)
-    body = F.regexp_replace(F.regexp_replace(body, r"(?i)<br\s*/?>|<p\s*/?>", "\n"), r"<[^>]+>", "")
-    body = F.regexp_replace(F.regexp_replace(body, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    html = F.struct(title.alias("title"), F.when(F.contains(title, F.lit(":")), F.trim(F.split(title, ":")[0])).otherwise("").alias("author"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("content"), F.lit("").alias("source_info"))
-
-    lines = F.transform(F.slice(F.split(content, "\n"), 1, 50), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^#+", "")))
-
-    def field(words: str) -> Column:
-        hits = F.filter(lines, lambda x: x.rlike(f"(?i)^({words})\\s*[:：]\\s*(.+)"))
-        return F.coalesce(F.trim(F.regexp_extract(F.try_element_at(hits, F.lit(-1)), f"(?i)^({words})\\s*[:：]\\s*(.+)", 2)), F.lit(""))
-
-    first = F.try_element_at(F.filter(lines, lambda x: (F.length(x) > 3) & ~x.startswith("//")), F.lit(1))
-    named = F.nullif(field("title|titel"), F.lit(""))
-    rest = F.regexp_replace(content, r"^(?:\s*(?:#|//)[^\n]*\n|\s*\n)*(?:\s*(?:---|===)[^\n]*\n)?", "")
-    rest = T.drop_lines(rest, r"^\s*//")
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, r"^\s+|\s+$", ""), r"\{[^}]*\}", ""), r"<[^>]*>", "")
-    plain = F.struct(F.coalesce(named, F.substring(first, 1, 200), F.lit("")).alias("title"), field("author|verfasser").alias("author"), rest.alias("content"), field("source|quelle").alias("source_info"))
-    out = F.when(is_html, html).otherwise(plain)
-    return F.struct(out["title"].alias("title"), out["author"].alias("author"), out["content"].alias("content"), F.length(out["content"]).alias("char_count"), out["source_info"].alias("source_info"))
+    """struct<title, author, content, char_count, source_info> of an e-text, a web page or plain."""
+    page = F.left(content, F.lit(500)).rlike(r"(?i)<(html\b|!doctype\s+html)")
+    x = F.when(page, _web_page(content)).otherwise(_headed_text(content))
+    return F.struct(x["title"].alias("title"), x["author"].alias("author"), x["content"].alias("content"), F.length(x["content"]).alias("char_count"), x["source_info"].alias("source_info"))
 
 
 def feed_entries(feeds: DataFrame, source: str, xml: str) -> DataFrame:

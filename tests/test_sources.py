@@ -37,6 +37,15 @@ def test_romanised_text(spark):
     assert (rows[0].x.title, rows[0].x.author, rows[0].x.content) == ("Nāgārjuna: Verses", "Nāgārjuna", "one\ntwo x\nthree")
     assert (rows[1].x.title, rows[1].x.author, rows[1].x.content) == ("Vajra", "unknown", "body  one\ntwo")
     assert rows[2].x.content == "" and rows[2].x.char_count == 0
+    more = ["Verfasser: A\nQuelle: B: 1\n\n===\nrest", "# only\n// header", "# T\n---\none\n\ntwo <b>x</b>", None, "<html><title>No rule</title><body>all\n\n\n\nof  it</body></html>"]
+    got = spark.createDataFrame(list(enumerate(more)), "id int, t string").select("id", markup.romanised_text(F.col("t")).alias("x")).orderBy("id").collect()
+    assert [tuple(r.x) for r in got] == [
+        ("Verfasser: A", "A", "Verfasser: A\nQuelle: B: 1\n\n===\nrest", 35, "B: 1"),
+        ("only", "", "", 0, ""),
+        ("two <b>x</b>", "", "one\n\ntwo x", 10, ""),
+        ("", "", "", 0, ""),
+        ("No rule", "", "all\n\nof it", 10, ""),
+    ]
 
 
 def test_feeds(spark):
