@@ -7,6 +7,8 @@ A word is a run of bytes that are no ASCII white space.  Hashes are polynomial s
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -94,3 +96,33 @@ def least_of_window(hashes: np.ndarray, width: int) -> np.ndarray:
         best = np.where(take, right, left)
         span += step
     return at
+
+
+def split_texts(texts: pa.Array, blank: np.ndarray = _SPACE, folded: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of an array of texts (null: none), the row of each, where each starts, and the texts' joined bytes.
+
+    Bytes marked in ``blank`` part words, and no word crosses from one text to the next; ``folded`` maps bytes first.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    held = texts.buffers()[2] if len(texts) else None
+    data = np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    if folded is not None:
+        data = folded[data]
+    inside = ~blank[data]
+    first = np.zeros(len(data) + 1, bool)  # the first byte of a text
+    first[offsets] = True
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1] | first[1:-1]
+    closes[:-1] &= ~inside[1:] | first[1:-1]
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    bounds = np.append(0, np.cumsum(ends - starts)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])])
+    return words, np.searchsorted(offsets, starts, "right") - 1, starts, data
+
+
+def joined(words: pa.Array, counts: np.ndarray) -> pa.Array:
+    """The words of each row, ``counts`` of them in turn, joined by one space."""
+    offsets = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, words), b" ").cast(pa.string())
