@@ -19,9 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own under the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read back, so that all that follows sees the same rows in the same parts."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,13 +1,15 @@
 """Vector retrieval: top-k, best chunk, similar passages, alignment, reranking.
 
 A query vector is a constant of the plan; source chunks of an alignment meet only the
-target chunks of their own pair of texts.
+target chunks of their own pair of texts, block by block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def top_k(chunks: DataFrame, vector: str, query: Sequence[float], k: int, key: s
     rows = rows.withColumn("score", V.cosine(F.col(vector), V.literal(query)))
     if least is not None:
         rows = rows.filter(F.col("score") >= least)
-    return rows.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), key).limit(k)
+    return rows.filter(F.col("score").isNotNull() & ~F.isnan("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def best_chunk_per_text(chunks: DataFrame, vector: str, query: Sequence[float], text: str, key: str, size: int, least: float = 0.35) -> DataFrame:
@@ -51,16 +53,58 @@ def similar_passages(chunks: DataFrame, vector: str, text: str, chunk: str, of_t
     return best.orderBy(F.desc("score"), text).limit(n)
 
 
-def align(source: DataFrame, target: DataFrame, pair: str, key: str, vector: str, k: int = 20, least: float = 0.35, accept: int = 3, verdict: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+def nearest_of_blocks(source: DataFrame, target: DataFrame, pair: str, key: str, vector: str, k: int, least: float, block: int = 1024, digits: int = 9) -> DataFrame:
+    """(pair, a, b, score): for each source row the ``k`` nearest target rows of its pair with a cosine of ``least`` or more.
+
+    Both sides of a pair are dealt to blocks of about ``block`` rows, each two blocks meet in a task of their own, where a matrix product
+    leaves ``k`` rows for each source row; what is left is merged.  No task holds a whole pair.  Scores are rounded to ``digits``, ties
+    go to the smaller key.  Vectors that are null, not finite or zero are near nothing, and those of another length not compared.
+    """
+    keys = [pair, "_d"]
+    sides = {s: df.select(pair, F.col(key).alias(s), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("_d")).filter("_d > 0") for s, df in (("a", source), ("b", target))}
+    sizes = {s: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n")) for s, df in sides.items()}
+    dealt = {}
+    for s, other in (("a", "b"), ("b", "a")):
+        own = sides[s].join(sizes[s], keys).withColumn(f"_{s}", F.pmod(F.xxhash64(s), F.col("_n"))).drop("_n").join(sizes[other], keys)
+        dealt[s] = own.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0), F.col("_n") - 1).cast("array<bigint>"))).drop("_n")
+
+    def matrix(rows: pa.Table, name: str) -> tuple[pa.Table, np.ndarray]:
+        rows = rows.sort_by(name)
+        if not len(rows):
+            return rows, np.zeros((0, 0))
+        values = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
+        norms = np.linalg.norm(values, axis=1)
+        good = np.isfinite(norms) & (norms > 0)
+        return rows.filter(pa.array(good)), values[good] / norms[good, None]
+
+    schema = f"{pair} {dict(source.dtypes)[pair]}, a {dict(source.dtypes)[key]}, b {dict(target.dtypes)[key]}, score double"
+
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        (a, x), (b, y) = matrix(left, "a"), matrix(right, "b")
+        if len(a) and len(b):
+            score = np.round(x @ y.T, digits)
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            row = np.repeat(np.arange(len(a)), best.shape[1])
+            column, value = best.reshape(-1), np.take_along_axis(score, best, axis=1).reshape(-1)
+            near = value >= least
+            row, column, value = row[near], column[near], value[near]
+        else:
+            row = column = np.zeros(0, np.int64)
+            value = np.zeros(0)
+        return pa.table({pair: a.column(pair).take(pa.array(row)), "a": a.column("a").take(pa.array(row)), "b": b.column("b").take(pa.array(column)), "score": value})
+
+    blocks = [*keys, "_a", "_b"]
+    near = dealt["a"].groupBy(*blocks).cogroup(dealt["b"].groupBy(*blocks)).applyInArrow(kernel, schema)
+    return first_per_key(near, [pair, "a"], [F.desc("score"), "b"], k)
+
+
+def align(source: DataFrame, target: DataFrame, pair: str, key: str, vector: str, k: int = 20, least: float = 0.35, accept: int = 3, verdict: Callable[[Column, Column, Column], Column] | None = None, block: int = 1024) -> DataFrame:
     """For each source chunk the first ``accept`` accepted of its ``k`` nearest target chunks.
 
     Both sides carry ``pair``, the pair of texts to compare.  ``verdict`` (a column of booleans
     from the two keys and the score) judges candidates in score order; it accepts all if absent.
     """
-    a = source.select(pair, F.col(key).alias("a"), F.col(vector).alias("_va"))
-    b = target.select(pair, F.col(key).alias("b"), F.col(vector).alias("_vb"))
-    scored = a.join(b, pair).withColumn("score", V.cosine(F.col("_va"), F.col("_vb"))).drop("_va", "_vb").filter(F.col("score") >= least)
-    near = first_per_key(scored, [pair, "a"], [F.desc("score"), "b"], k)
+    near = nearest_of_blocks(source, target, pair, key, vector, k, least, block)
     good = near if verdict is None else near.filter(verdict(F.col("a"), F.col("b"), F.col("score")))
     return first_per_key(good, [pair, "a"], [F.desc("score"), "b"], accept)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extraction, knowledge, retrieval, rows, services, statistics
+from . import extraction, indexed, knowledge, retrieval, rows, services, statistics
 
-_MODULES = (statistics, rows, retrieval, knowledge, services, extraction)
+_MODULES = (statistics, rows, retrieval, knowledge, services, extraction, indexed)
 
 
 def queries() -> dict:

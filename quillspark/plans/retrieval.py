@@ -57,14 +57,15 @@ def similar_passages_compat(t, spark):
 
 @R.add(
     "align_pairs_topk",
-    """WITH s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.label = 0 AND b.label = 1),
-    n AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s WHERE score >= 0.05), g AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS j FROM n WHERE k <= 20 AND b % 3 <> 0)
-    SELECT a, b, round(score, 6) AS score FROM g WHERE j <= 3""",
+    """WITH s AS (SELECT a.label AS pair, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a JOIN embeddings b ON b.label = (a.label + 1) % 10),
+    n AS (SELECT *, row_number() OVER (PARTITION BY pair, a ORDER BY score DESC, b) AS k FROM s WHERE score >= 0.05), g AS (SELECT *, row_number() OVER (PARTITION BY pair, a ORDER BY score DESC, b) AS j FROM n WHERE k <= 20 AND b % 3 <> 0)
+    SELECT pair, a, b, round(score, 6) AS score FROM g WHERE j <= 3""",
 )
 def align_pairs_topk(t, spark):
-    e = t("embeddings").withColumn("pair", F.lit(1))
-    out = vector.align(e.filter("label = 0"), e.filter("label = 1"), "pair", "vec_id", "embedding", 20, 0.05, 3, lambda a, b, score: b % 3 != 0)
-    return out.select("a", "b", F.round("score", 6).alias("score"))
+    e = t("embeddings").filter("label IS NOT NULL")
+    source, target = e.withColumn("pair", F.col("label")), e.withColumn("pair", F.pmod(F.col("label") + 9, F.lit(10)))
+    out = vector.align(source, target, "pair", "vec_id", "embedding", 20, 0.05, 3, lambda a, b, score: b % 3 != 0, block=256)
+    return out.select("pair", "a", "b", F.round("score", 6).alias("score"))
 
 
 @R.add(
