@@ -16,7 +16,8 @@ whose bound reaches the k-th score found.  The result is that of a scan.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import zlib
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,8 +53,13 @@ def opened(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(f"{path}/{table}")
 
 
-def _bucket(n: int, *columns: Column | str) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+def _bucket(n: int, term: str) -> Column:
+    return F.pmod(F.crc32(F.col(term).cast("binary")), F.lit(n)).cast("int")
+
+
+def buckets_of(terms: Iterable[str], n: int) -> list[int]:
+    """The folders of terms, as :func:`_bucket` gives them."""
+    return sorted({zlib.crc32(t.encode()) % n for t in terms})
 
 
 def write_index(docs: DataFrame, key: str, fields: dict[str, Column], path: str, buckets: int = 16, span: int = 1024, fuzzy: bool = True, group_bytes: int = 8 << 20) -> None:
@@ -87,8 +93,7 @@ def fuzzy_terms(spark: SparkSession, path: str, words: Sequence[str], buckets: i
     asked = spark.createDataFrame([(i, w, forgives(w)) for i, w in enumerate(words)], "slot int, word string, edits int")
     left = asked.select("slot", "word", "edits", F.explode(deletions(F.col("word"))).alias("left"))
     few = [r[0] for r in left.select("left").distinct().collect()]  # as many as the words of a query have
-    places = sorted({r[0] for r in spark.createDataFrame([(x,) for x in few], "left string").select(_bucket(buckets, "left")).collect()})
-    known = opened(spark, path, "deletions").filter(F.col("bucket").isin(places) & F.col("left").isin(few))
+    known = opened(spark, path, "deletions").filter(F.col("bucket").isin(buckets_of(few, buckets)) & F.col("left").isin(few))
     return known.join(F.broadcast(left), "left").select("slot", "word", "edits", "term").distinct().filter(F.levenshtein("term", "word") <= F.col("edits")).select("slot", "term")
 
 
@@ -96,9 +101,8 @@ def _of_terms(rows: DataFrame, wanted: DataFrame, listed: dict[str, list[int]] |
     """The rows of the wanted terms with their slots; a short list of terms reaches the scan as a filter."""
     if listed is None:
         return rows.join(wanted, "term")
-    places = [r[0] for r in rows.sparkSession.createDataFrame([(x,) for x in listed], "term string").select(_bucket(buckets, "term")).distinct().collect()]
     slots = F.create_map(*[x for t, own in listed.items() for x in (F.lit(t), F.array(*map(F.lit, own)))])
-    return rows.filter(F.col("bucket").isin(places) & F.col("term").isin(list(listed))).withColumn("slot", F.explode(slots[F.col("term")]))
+    return rows.filter(F.col("bucket").isin(buckets_of(listed, buckets)) & F.col("term").isin(list(listed))).withColumn("slot", F.explode(slots[F.col("term")]))
 
 
 def search_index(

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .index import _bucket, deletions, fuzzy_terms, opened
+from .index import _bucket, buckets_of, deletions, fuzzy_terms, opened
 
 
 def write_phrase_model(docs: DataFrame, terms: Column, path: str, buckets: int = 16) -> None:
@@ -47,12 +47,12 @@ def phrase_suggestions(spark: SparkSession, path: str, query: Sequence[str], siz
     if not query or not totals.total:
         return spark.createDataFrame([], "suggestion string, score double")
     words = list(dict.fromkeys(query))
-    places = lambda values: sorted({r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(_bucket(totals.buckets, "v")).collect()})
+    folders = lambda values: F.col("bucket").isin(buckets_of(values, totals.buckets))
     found = fuzzy_terms(spark, path, words, totals.buckets, spelling_edits)
     asked = spark.createDataFrame(list(enumerate(words)), "slot int, word string")
     near = found.join(F.broadcast(asked), "slot").filter((F.col("term") != F.col("word")) & (F.substring("term", 1, 1) == F.substring("word", 1, 1))).withColumn("distance", F.levenshtein("term", "word"))
     counts = opened(spark, path, "words").select("term", "n")
-    own = opened(spark, path, "words").filter(F.col("bucket").isin(places(words)) & F.col("term").isin(words)).select(F.col("term").alias("word"), F.col("n").alias("own"))
+    own = opened(spark, path, "words").filter(folders(words) & F.col("term").isin(words)).select(F.col("term").alias("word"), F.col("n").alias("own"))
     near = near.join(counts, "term").join(F.broadcast(own), "word", "left").filter(F.col("n") > F.coalesce("own", F.lit(0)))  # own: the query's words
     nth = F.row_number().over(Window.partitionBy("slot").orderBy("distance", F.desc("n"), "term"))
     options: dict[str, list[tuple[str, float]]] = {w: [] for w in words}
@@ -69,8 +69,8 @@ def phrase_suggestions(spark: SparkSession, path: str, query: Sequence[str], siz
     tried = spark.createDataFrame(rows, "id int, term string, first string, channel double, suggestion string")
     used, before = sorted({r[1] for r in rows}), sorted({r[2] for r in rows if r[2] is not None})
     # what the variants are made of: read by folder and word, then small
-    single = opened(spark, path, "words").filter(F.col("bucket").isin(places(used)) & F.col("term").isin(used)).select("term", "n")
-    pairs = opened(spark, path, "pairs").filter(F.col("bucket").isin(places(before) if before else []) & F.col("first").isin(before) & F.col("term").isin(used)).select("first", "term", F.col("n").alias("both"))
+    single = opened(spark, path, "words").filter(folders(used) & F.col("term").isin(used)).select("term", "n")
+    pairs = opened(spark, path, "pairs").filter(folders(before) & F.col("first").isin(before) & F.col("term").isin(used)).select("first", "term", F.col("n").alias("both"))
     prior = single.select(F.col("term").alias("first"), F.col("n").alias("n_first"))
     met = tried.join(single, "term", "left").join(pairs, ["first", "term"], "left").join(prior, "first", "left")
     alone = F.coalesce(F.col("n").cast("double"), F.lit(unseen)) / F.lit(float(totals.total))
