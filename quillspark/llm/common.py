@@ -9,6 +9,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-_OPEN: list[list[str]] = []
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 @contextlib.contextmanager
 def recorded():
     """The paths of the working tables that are written inside this block."""
     paths: list[str] = []
-    _OPEN.append(paths)
+    token = _OPEN.set((*_OPEN.get(), paths))
     try:
         yield paths
     finally:
-        _OPEN.remove(paths)
+        _OPEN.reset(token)
 
 
 @contextlib.contextmanager
@@ -60,8 +61,8 @@ def working_tables(spark: SparkSession):
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder, told to the innermost :func:`recorded` block."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.get():
+        _OPEN.get()[-1].append(path)
     return path
 
 

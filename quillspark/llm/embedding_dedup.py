@@ -3,11 +3,17 @@
 In each pass every vector gets the concatenated signs of random projections as a key;
 vectors of a label are sorted by it and each is compared with the ``window`` that follow.
 Pairs of at least the threshold's cosine are links, and their union over the passes gives the
-groups.  A vector is crowded when an eighth of a window links in any pass, or when the
-links found by few passes tell that others were found by none (Chao's estimate: of f1 links met in one
-pass and f2 in two, about f1 (f1 - 1) / 2 (f2 + 1) were missed).  All links of the crowded are
-found by comparing them with every vector of their label, block by block, with sums and
-spanning links as the only output.
+groups.
+
+What a pass may miss is known for each vector.  Two vectors at the threshold agree in a sign with probability
+1 - arccos(threshold) / pi, and they meet if they share one sign more than the vector shares with those a
+window before and behind it.  The product over the passes is the chance that a link stays unseen: it is large where
+windows are full of unrelated vectors, as in narrow cones.  Vectors with a chance above ``missed`` are crowded, and so are those
+to which an eighth of a window links in any pass, or whose links found by few passes tell that others were found by none
+(Chao's estimate: of f1 links met in one pass and f2 in two, about f1 (f1 - 1) / 2 (f2 + 1) were missed).
+All links of the crowded are found by comparing them with every vector of their label, block by block, with sums and
+spanning links as the only output.  The number of passes follows from the largest label, so that evenly spread vectors
+stay a tenth below that chance.
 
 Equal vectors of a label are one class with a number of its own and a count; they are never
 expanded, and what links are found between are these numbers, as several vectors may share an id.
@@ -50,13 +56,35 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     The product of matrices rounds by place; pairs within rounding of the threshold are summed again, one by one.
     """
     cosine = _unit(x) @ _unit(y).T
-    link = cosine >= threshold
-    i, j = np.nonzero(np.abs(cosine - threshold) < 1e-12)
+    link = cosine >= threshold - 1e-12
+    i, j = np.nonzero(link)
+    near = cosine[i, j] < threshold + 1e-12
+    i, j = i[near], j[near]
     if len(i):
         link[i, j] = _cosines(_scaled(x)[i], _scaled(y)[j]) >= threshold
     return link
 
 
+def agreement(threshold: float) -> float:
+    """The probability that two vectors at the threshold's cosine have one sign under a random projection."""
+    return 1.0 - float(np.arccos(np.clip(threshold, -1.0, 1.0))) / np.pi
+
+
+def passes_for(largest: int, threshold: float, window: int, missed: float) -> int:
+    """So many passes that of evenly spread vectors, ``largest`` of a label, a tenth of ``missed`` stays unseen."""
+    bits = max(0.0, np.log2(max(largest, 1) / window)) + 1.5
+    return max(4, int(np.ceil(np.log(missed / 10) / np.log1p(-(agreement(threshold) ** bits)))))
+
+
+def shared_signs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading bits of 63-bit keys are the same."""
+    differ = (a ^ b).astype(np.uint64)
+    high = (differ >> np.uint64(32)).astype(np.float64)  # each half is exact as a double
+    low = (differ & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    length = np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1])
+    return 63 - length
+
+
 def keyed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
     """The classes once for each pass, with that pass's 63-bit sort key."""
 
@@ -80,7 +108,8 @@ def keyed(classes: DataFrame, passes: int, seed: int) -> DataFrame:
 
 
 def window_links(classes: DataFrame, threshold: float, passes: int, window: int, seed: int, part_rows: int) -> DataFrame:
-    """(a, b, crowded): links a - b found in the windows; a row with crowded set names a crowded vector in a.
+    """(a, b, crowded, unseen): links a - b found in the windows; a row with crowded set names a crowded vector in a, one with
+    ``unseen`` the logarithm of the chance that this pass misses a link of a.
 
     Sorted parts are written with their rows' places, and each part reads the head of the
     next one after its own rows, so no window is cut at a part's end.
@@ -110,11 +139,23 @@ def window_links(classes: DataFrame, threshold: float, passes: int, window: int,
         own = int((pdf["head"].to_numpy() == 0).sum())
         group = pd.factorize(pd.MultiIndex.from_frame(pdf[["pass", "label", "dim"]]))[0]
         reps = pdf["rep"].to_numpy()
-        left, right, crowded = [], [], []
+        left, right, crowded, unseen = [], [], [], []
+        keys, agree = pdf["key"].to_numpy(), agreement(threshold)
+        begins = not own or int(pdf["part"].iloc[0]) == 0  # else the first group may begin in the part before
         for g in np.unique(group[:own]):
             at = np.flatnonzero(group == g)
             vectors = np.stack(pdf["vector"].iloc[at])
             mine = int((at < own).sum())
+            if not mine:
+                continue
+            ahead = np.full(len(at), -1)  # signs shared with the vector a window further on, none where there is none
+            ahead[: max(len(at) - window, 0)] = shared_signs(keys[at[:-window]], keys[at[window:]])
+            behind = np.full(len(at), -1)
+            behind[window:] = ahead[: max(len(at) - window, 0)]
+            chance = agree ** (np.maximum(ahead, behind)[:mine] + 1.0)
+            if at[0] == 0 and not begins:
+                chance[:window] = 0.0
+            unseen.append(pd.DataFrame({"a": reps[at[:mine]], "b": reps[at[:mine]], "crowded": False, "unseen": pd.array(np.log(np.maximum(1.0 - chance, 1e-9)), "Float64")}))
             for s in range(0, mine, window):
                 e = min(s + window, mine)
                 i, j = np.nonzero(linked(vectors[s:e], vectors[s : e + window], threshold))
@@ -125,9 +166,10 @@ def window_links(classes: DataFrame, threshold: float, passes: int, window: int,
                 some = ~full[i]
                 left += reps[at[s + i[some]]].tolist()
                 right += reps[at[s + j[some]]].tolist()
-        return pd.DataFrame({"a": left + crowded, "b": right + crowded, "crowded": [False] * len(left) + [True] * len(crowded)})
+        links = pd.DataFrame({"a": left + crowded, "b": right + crowded, "crowded": [False] * len(left) + [True] * len(crowded), "unseen": pd.array([None] * (len(left) + len(crowded)), "Float64")})
+        return pd.concat([x for x in (links, *unseen) if len(x)] or [links]).astype({"a": "int64", "b": "int64", "crowded": "bool"})
 
-    return work.groupBy("to").applyInPandas(compare, "a long, b long, crowded boolean")
+    return work.groupBy("to").applyInPandas(compare, "a long, b long, crowded boolean, unseen double")
 
 
 def crowded_links(classes: DataFrame, crowded: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -169,7 +211,7 @@ def _without(pairs: DataFrame, some: DataFrame) -> DataFrame:
     return pairs
 
 
-def near_duplicates(table: DataFrame, threshold: float = 0.98, passes: int = 12, window: int = 128, seed: int = 11, part_rows: int = 16384, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(table: DataFrame, threshold: float = 0.98, passes: int | None = None, window: int = 128, missed: float = 0.01, seed: int = 11, part_rows: int = 16384, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each input row.
 
     Rows link when their labels are equal and not null and their cosine, in double precision, is
@@ -186,9 +228,13 @@ def near_duplicates(table: DataFrame, threshold: float = 0.98, passes: int = 12,
     # numbered once, as the table is written
     numbered = stored(counted.withColumns({"dim": F.size("vector"), "rep": F.monotonically_increasing_id()}), "vectors")
     classes = numbered.select("label", "dim", "rep", "n", "vector")
+    if passes is None:
+        largest = numbered.groupBy(*GROUP).count().agg(F.max("count")).first()[0]
+        passes = passes_for(largest or 0, threshold, window, missed)
     found = stored(window_links(classes, threshold, passes, window, seed, part_rows), "found")
-    dense = found.filter("crowded").select(F.col("a").alias("rep")).distinct()
-    met = found.filter("NOT crowded").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("met"))
+    unsure = found.filter("unseen IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("unseen").alias("s")).filter(F.col("s") > float(np.log(missed))).select("rep")
+    dense = found.filter("crowded").select(F.col("a").alias("rep")).unionByName(unsure).distinct()
+    met = found.filter("NOT crowded AND unseen IS NULL").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("met"))
     met = stored(_without(met, dense), "met")
     by_end = met.select(F.col("a").alias("rep"), "met").unionByName(met.select(F.col("b").alias("rep"), "met"))
     once = by_end.groupBy("rep").agg(F.count_if(F.col("met") == 1).alias("f1"), F.count_if(F.col("met") == 2).alias("f2"))

@@ -107,3 +107,27 @@ def test_pipeline_stages_at_the_edges(spark, tmp_path):
             out.write.parquet(path)
             docs = spark.read.parquet(path)
         assert (docs.count() > 0) == bool(data)
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline was taken away")
+def test_pipeline_stages_delete_nothing_that_is_read(spark, tmp_path):
+    """Lazy stages can be chained, and a stage of another run in between takes nothing from this one."""
+    import corpus_pipeline
+
+    def docs(n):
+        rows = [(i, f"line {i % n} of a text with words enough\nsecond line {i % n}\nthird line {i % n} here\n" + "x y z " * 20) for i in range(20)]
+        return spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    chained = corpus_pipeline.jaccard_join(spark, corpus_pipeline.line_deduplication(spark, docs(20), ""), "")
+    other = corpus_pipeline.line_deduplication(spark, docs(7), "")
+    assert chained.count() > 0 and other.count() > 0
+    stages = dict(corpus_pipeline.STAGES)
+    lazy = stages["suffix_array_dedup"](spark, stages["line_dedup"](spark, docs(20), ""), "")
+    assert lazy.count() > 0
+    first = stages["line_dedup"](spark, docs(20), "")
+    first.write.parquet(f"file://{tmp_path}/first")
+    written = spark.read.parquet(f"file://{tmp_path}/first")
+    assert stages["jaccard_join"](spark, written, "").count() == written.count()
+    with pytest.raises(Exception):  # noqa: B017  (its tables went when the next stage began)
+        spark.catalog.clearCache()
+        first.count()

@@ -395,6 +395,37 @@ def test_embedding_dedup_of_a_loose_cluster(spark):
     assert sum(got[i] != n for i, n in enumerate(want.tolist())) == 0
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.93])
+def test_embedding_dedup_in_a_narrow_cone(spark, mean):
+    """Planted pairs just above the threshold among unrelated vectors of one label that have a high mean cosine: none is lost."""
+    n, dim = 12_000, 32
+    rng = np.random.default_rng(int(100 * mean))
+    x = rng.standard_normal((n, dim))
+    x[:, 0] = 0
+    x *= np.sqrt(1 - mean) / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] = np.sqrt(mean)
+    side = rng.standard_normal((200, dim))
+    side -= (side * x[:200]).sum(axis=1, keepdims=True) * x[:200]
+    cosine = rng.uniform(0.9805, 0.985, (200, 1))
+    x[200:400] = cosine * x[:200] + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).filter("n_links > 0").collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {int(i): int(c) for i, c in enumerate((unit @ unit.T >= 0.98).sum(axis=1) - 1) if c}
+    assert len(want) >= 400 and set(got) <= set(want)
+    assert sum(got.get(k) == c for k, c in want.items()) >= 0.99 * len(want)
+
+
+def test_chance_of_unseen_links():
+    """Shared signs by plain strings; passes grow with the size of a label."""
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 1 << 63, 500), rng.integers(0, 1 << 63, 500)
+    b[:400] = a[:400] ^ (np.int64(1) << rng.integers(0, 63, 400))
+    plain = [next((i for i, (x, y) in enumerate(zip(f"{p:063b}", f"{q:063b}", strict=True)) if x != y), 63) for p, q in zip(a.tolist(), b.tolist(), strict=True)]
+    assert embedding_dedup.shared_signs(a, b).tolist() == plain and embedding_dedup.shared_signs(a, a).tolist() == [63] * 500
+    assert [embedding_dedup.passes_for(n, 0.98, 128, 0.01) for n in (0, 10**4, 10**6, 10**9)] == [4, 8, 15, 31]
+
+
 @pytest.mark.parametrize("spread", [0.056, 0.04])
 def test_nearest_in_a_narrow_cone(spark, spread):
     """Vectors with a mean cosine of about 0.83 and 0.91 still have pivots enough."""
