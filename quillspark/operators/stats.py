@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,14 +162,18 @@ def throttled(df: DataFrame, owner: str, time: str, seconds: int, key: str) -> D
     kept = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
 
     def run(batches):
-        last_owner, passed = None, 0
+        last_owner, passed, span = None, 0, seconds * 1_000_000
         for batch in batches:
-            keep = []
-            for who, us in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                good = who != last_owner or us - passed >= seconds * 1_000_000
-                keep.append(good)
-                if good:
-                    last_owner, passed = who, us
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            us, owners = batch.column(3).to_numpy(), batch.column(0)
+            ends = np.flatnonzero(pc.not_equal(owners[1:], owners[:-1]).to_numpy(zero_copy_only=False)) + 1 if len(us) > 1 else np.zeros(0, np.int64)
+            keep = np.zeros(len(us), bool)
+            for start, end in zip(np.append(0, ends).tolist(), np.append(ends, len(us)).tolist(), strict=True):
+                own, who = us[start:end], owners[start].as_py() if end > start else None
+                at = int(np.searchsorted(own, passed + span)) if who == last_owner else 0
+                last_owner = who
+                while at < len(own):  # one step for each event that passes
+                    keep[start + at], passed = True, int(own[at])
+                    at = int(np.searchsorted(own, passed + span))
+            yield batch.filter(pa.array(keep))
 
     return rows.repartition(owner).sortWithinPartitions(owner, "_us", key).mapInArrow(run, kept).drop("_us")

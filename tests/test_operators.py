@@ -130,6 +130,8 @@ def test_streams_match_batch(spark, tmp_path):
     rows.coalesce(1).write.parquet(src)
     stream = spark.readStream.schema("u long, t timestamp").parquet(src)
 
+    windows.use_state_store(spark)
+
     def run(df, name):
         q = df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
         q.processAllAvailable()
@@ -141,4 +143,4 @@ def test_streams_match_batch(spark, tmp_path):
     q = stream.writeStream.foreachBatch(windows.upsert_sink(out, ["u"], "t", "t")).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert [str(r.t) for r in spark.read.parquet(f"{out}/v0").collect()] == ["2024-01-01 00:30:00"]
+    assert [str(r.t) for r in windows.upserted(spark, out, "u long, t timestamp").collect()] == ["2024-01-01 00:30:00"]
