@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extraction, indexed, knowledge, retrieval, rows, services, statistics
+from . import derived, extraction, indexed, knowledge, retrieval, rows, services, statistics
 
-_MODULES = (statistics, rows, retrieval, knowledge, services, extraction, indexed)
+_MODULES = (statistics, rows, retrieval, knowledge, services, extraction, indexed, derived)
 
 
 def queries() -> dict:

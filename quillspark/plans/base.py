@@ -27,3 +27,13 @@ class Registry:
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     """A literal table, given as the text of VALUES so that both engines read the same rows."""
     return spark.sql(f"SELECT * FROM (VALUES {rows}) AS t({columns})")
+
+
+def derived(t: Callable[[str], DataFrame], spark: SparkSession, sql: str, *tables: str) -> DataFrame:
+    """Rows that one SELECT, in words both engines understand, derives from the given tables ({part} stands for a table)."""
+    return spark.sql(sql, **{name: t(name) for name in tables})
+
+
+def plain_sql(sql: str, *tables: str) -> str:
+    """The same SELECT over the tables by their names."""
+    return sql.format(**{name: name for name in tables})

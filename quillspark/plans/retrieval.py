@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import rag, search, vector
-from .base import Registry, values
+from .base import Registry
 
 R = Registry()
 
@@ -107,18 +107,21 @@ def shared_characters(t, spark):
 
 @R.add(
     "rag_context",
-    f"""WITH s AS (SELECT d.doc_id, d.source, d.lang, d.text, list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.vec_id <> 0),
-    b AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY score DESC, doc_id) AS k FROM s WHERE score + 0.3 >= 0.35), c AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM b WHERE k = 1 ORDER BY score DESC, doc_id LIMIT 5)
-    SELECT string_agg('[' || source || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY r) AS context FROM c""",
+    f"""WITH s AS (SELECT d.doc_id, d.source, d.lang, d.text, list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+    b AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY score DESC, doc_id) AS k FROM s WHERE score >= 0.35), c AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM b WHERE k = 1 ORDER BY score DESC, doc_id LIMIT 5),
+    p AS (SELECT c.doc_id, d.text, row_number() OVER (PARTITION BY c.doc_id ORDER BY d.doc_id) AS k FROM c JOIN documents d ON d.doc_id BETWEEN c.doc_id + 1 AND c.doc_id + 4), l AS (SELECT doc_id, string_agg(chr(10) || '  ∥ ' || left(text, 300), '' ORDER BY k) AS more FROM p WHERE k <= 3 GROUP BY doc_id)
+    SELECT string_agg('[' || source || ']' || chr(10) || text || coalesce(more, ''), chr(10) || chr(10) ORDER BY r) AS context FROM c LEFT JOIN l USING (doc_id)""",
 )
 def rag_context(t, spark):
     from ..functions import vectors as V
     from pyspark.sql import Window
 
-    e = t("embeddings").filter("vec_id <> 0").withColumnRenamed("vec_id", "doc_id")
-    d = t("documents").join(e, "doc_id").withColumn("score", V.cosine(F.col("embedding"), V.literal(_query(t))) + 0.3)
+    d = t("documents").join(t("embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id").withColumn("score", V.cosine(F.col("embedding"), V.literal(_query(t))))
     hits = rag.context(d, "source", "lang", "doc_id", "score")
-    blocks = hits.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("r"), rag.context_block(F.col("source"), F.col("text"), F.array().cast("array<string>")).alias("block"))
+    near = hits.select("doc_id", F.explode(F.sequence(F.col("doc_id") + 1, F.col("doc_id") + 4)).alias("other")).join(t("documents").select(F.col("doc_id").alias("other"), F.col("text").alias("o")), "other")
+    parallels = near.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("other", "o")))["o"].alias("parallels"))
+    hits = hits.join(parallels, "doc_id", "left")
+    blocks = hits.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("r"), rag.context_block(F.col("source"), F.col("text"), F.col("parallels")).alias("block"))
     return rag.context_text(blocks, "block", "r")
 
 
@@ -189,14 +192,6 @@ def dictionary_browse(t, spark):
     return search.browse_dictionary(t("part"), "p_brand", "Brand#1", "p_name", "p_partkey", 1).select("p_partkey", "p_name", "total")
 
 
-EDITIONS = "(1, '心經', '唐 玄奘', true, 'T0251'), (2, '心經', '玄奘', false, 'T0100'), (3, '心經', '鳩摩羅什', false, NULL), (4, '心經', '鳩摩羅什', false, 'T0250'), (5, '論', '玄奘', false, NULL)"
-
-
-@R.add("merged_editions", f"WITH e(id, title, tr, has, num) AS (VALUES {EDITIONS}) SELECT id, title, tr FROM (SELECT *, row_number() OVER (PARTITION BY title, replace(tr, '唐 ', '') ORDER BY has DESC, coalesce(num, 'ZZZZ'), id) AS k FROM e) WHERE k = 1")
-def merged_editions(t, spark):
-    return search.merged_editions(values(spark, EDITIONS, "id, title, tr, has, num"), "title", "tr", "has", "num", "id").select("id", "title", "tr")
-
-
 @R.add("suggestions", "SELECT DISTINCT p_name AS suggestion FROM part WHERE regexp_matches(p_name, '(?i)(^|[^a-z0-9])small[^a-z0-9]+w') OR regexp_matches(p_type, 'no such') ORDER BY 1 LIMIT 5")
 def suggestions(t, spark):
     return search.suggest(t("part"), ["p_name"], "small w")
@@ -221,24 +216,3 @@ def dictionary_search(t, spark):
 def question_kinds(t, spark):
     kind = rag.question_kind(F.col("text"), ["the", "of"], ["reth", "and"], ["was"], ["for"])
     return t("conversations").filter("text IS NOT NULL").select("conv_id", "turn", kind.alias("kind"))
-
-
-RELATED = "(1, 10, 20, 'parallel'), (2, 20, 10, 'alt_translation'), (3, 30, 10, 'parallel'), (4, 40, 50, 'parallel')"
-
-
-@R.add("related_translations", f"WITH r(rel_id, a, b, relation) AS (VALUES {RELATED}), m AS (SELECT a AS id, b AS other, relation, rel_id FROM r UNION ALL SELECT b, a, relation, rel_id FROM r) SELECT id, other, relation, p_name AS title FROM (SELECT *, row_number() OVER (PARTITION BY id, other ORDER BY rel_id) AS k FROM m WHERE id IN (10, 40)) JOIN part ON p_partkey = other WHERE k = 1")
-def related_translations(t, spark):
-    ids = spark.createDataFrame([(10,), (40,)], "p_partkey long")
-    return search.translations(values(spark, RELATED, "rel_id, a, b, relation"), t("part"), ids, "p_partkey", "p_name")
-
-
-ALIGNED = "(0, 0, 0, 1, 0, 1, 0.9D), (2, 0, 0, 0, 0, 0, 0.8D), (0, 0, NULL, 3, 0, 1, 0.99D), (0, 0, 1, 1, 0, 1, 0.7D)"
-
-
-@R.add("parallel_chunks", f"WITH p(a, aj, ac, b, bj, bc, c) AS (VALUES {ALIGNED.replace('D)', ')')}), s AS (SELECT a AS text, ac AS chunk, b AS o_text, bc AS o_chunk, c FROM p UNION ALL SELECT b, bc, a, ac, c FROM p) SELECT text::BIGINT AS text, chunk::BIGINT AS chunk, string_agg(o_text || ':' || o_chunk, ',' ORDER BY c DESC, o_text, o_chunk) AS parallels FROM s WHERE chunk IS NOT NULL AND o_chunk IS NOT NULL AND text = 0 GROUP BY 1, 2")
-def parallel_chunks(t, spark):
-    pairs = values(spark, ALIGNED, "a_text, a_chapter, a_chunk, b_text, b_chapter, b_chunk, confidence")
-    texts = spark.range(5).select(F.col("id").alias("text"), F.lit(0).alias("chapter"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("chunk")).withColumn("content", F.lit("x"))
-    hits = texts.filter("text = 0").drop("content")
-    out = vector.attach_parallels(hits, pairs, texts)
-    return out.select("text", F.col("chunk").cast("long").alias("chunk"), F.array_join(F.transform("parallels", lambda x: F.concat_ws(":", x["o_text"], x["o_chunk"])), ",").alias("parallels"))

@@ -62,15 +62,6 @@ def export_batches(t, spark):
     return ranking.with_batches(t("part"), "p_partkey", 400)
 
 
-UPSERT_OLD = "(1, 'a', 10), (2, 'b', 20), (3, 'c', NULL)"
-UPSERT_NEW = "(2, 'B', NULL, 1), (2, 'x', 9, 2), (4, 'D', 40, 1)"
-
-
-@R.add("upsert", f"WITH o(k, v, s) AS (VALUES {UPSERT_OLD}), n(k, v, s, r) AS (VALUES {UPSERT_NEW}), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY r) AS q FROM n) WHERE q = 1) SELECT coalesce(f.k, o.k) AS k, CASE WHEN f.k IS NOT NULL THEN f.v ELSE o.v END AS v, coalesce(f.s, o.s) AS s FROM o FULL JOIN f ON o.k = f.k")
-def upsert(t, spark):
-    return etl.upsert(values(spark, UPSERT_OLD, "k, v, s"), values(spark, UPSERT_NEW, "k, v, s, r"), ["k"], ["s"], ["r"])
-
-
 @R.add("insert_ignore", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def insert_ignore(t, spark):
     old = t("orders").filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
@@ -100,15 +91,6 @@ def content_rollup(t, spark):
     return etl.roll_up(t("orders").select("o_orderkey"), parts, "o_orderkey", "l_linenumber")
 
 
-NEW_PEOPLE = "(1, 'Q1', NULL, '甲'), (2, NULL, 'd2', '乙'), (3, NULL, NULL, '丙'), (4, '', '', '丁')"
-OLD_PEOPLE = "(11, 'Q1', 'd9', '子'), (12, 'Q2', 'd2', '丑'), (13, NULL, NULL, '丙'), (14, NULL, '', '丙')"
-
-
-@R.add("entity_resolution", f"WITH n(id, q, d, name) AS (VALUES {NEW_PEOPLE}), o(oid, oq, od, oname) AS (VALUES {OLD_PEOPLE}) SELECT id, coalesce((SELECT min(oid) FROM o WHERE oq = q AND oq <> ''), (SELECT min(oid) FROM o WHERE od = d AND od <> ''), (SELECT min(oid) FROM o WHERE oname = name AND oname <> '')) AS match_id FROM n")
-def entity_resolution(t, spark):
-    return etl.resolve(values(spark, NEW_PEOPLE, "id, q, d, name"), values(spark, OLD_PEOPLE, "oid, oq, od, oname"), [("q", "oq"), ("d", "od"), ("name", "oname")], "oid").select("id", "match_id")
-
-
 @R.add("unique_title_match", "WITH n AS (SELECT p_partkey, p_brand || p_size || left(p_name, 3) AS name FROM part) SELECT n.p_partkey, m.match_id FROM n JOIN (SELECT name, min(p_partkey) AS match_id FROM n GROUP BY 1 HAVING count(*) = 1) m USING (name)")
 def unique_title_match(t, spark):
     p = t("part").select("p_partkey", F.concat("p_brand", F.col("p_size").cast("string"), F.substring("p_name", 1, 3)).alias("name"))
@@ -133,14 +115,6 @@ def same_title_pairs(t, spark):
     return etl.same_title_pairs(t("part"), "p_partkey", "p_name", "p_brand")
 
 
-MEMBERS = "(array(1, 2), array(9), 'x'), (array(9), array(2, 9), 'y'), (array(3), array(4), 'z')"
-
-
-@R.add("group_cross_members", "WITH g(l, r, n) AS (VALUES ([1, 2], [9], 'x'), ([9], [2, 9], 'y'), ([3], [4], 'z')), p AS (SELECT least(a, b) AS a, greatest(a, b) AS b, n FROM (SELECT unnest(l) AS a, r, n FROM g) x, unnest(x.r) u(b)) SELECT a, b, string_agg(DISTINCT n, '; ' ORDER BY n) AS notes FROM p GROUP BY 1, 2")
-def group_cross_members(t, spark):
-    return etl.cross_members(values(spark, MEMBERS, "l, r, n"), "l", "r", "n")
-
-
 @R.add("two_signal_classifier", "SELECT c_custkey, CASE WHEN c_mktsegment SIMILAR TO '.*(AUTO|BUILD).*' THEN 'keep' WHEN c_mktsegment SIMILAR TO '.*(MACH|FURN).*' THEN 'delete' ELSE 'keep' END AS verdict FROM customer")
 def two_signal_classifier(t, spark):
     return etl.two_signals(t("customer"), F.col("c_mktsegment"), "AUTO|BUILD", "MACH|FURN").select("c_custkey", "verdict")

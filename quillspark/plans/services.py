@@ -6,24 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import etl, service
 from ..sources import catalogs
-from .base import Registry, values
+from .base import Registry
 
 R = Registry()
 
-REL1, REL2 = "(1, 'parallel', 'a'), (2, 'commentary', 'a')", "(1, 'parallel', 'k'), (2, 'commentary_on', 'k'), (3, 'cites', 'k')"
-
-
-@R.add("merged_relations", f"WITH x(text_id, relation_type, note) AS (VALUES {REL1}), y(text_id, relation_type, note) AS (VALUES {REL2}), u AS (SELECT *, 0 AS t FROM x UNION ALL SELECT text_id, CASE relation_type WHEN 'commentary_on' THEN 'commentary' ELSE relation_type END, note, 1 FROM y) SELECT text_id, relation_type, note FROM (SELECT *, row_number() OVER (PARTITION BY text_id, relation_type ORDER BY t, note) AS k FROM u) WHERE k = 1")
-def merged_relations(t, spark):
-    c = "text_id, relation_type, note"
-    return service.merged_relations(values(spark, REL1, c), values(spark, REL2, c), {"commentary_on": "commentary"})
-
-
-@R.add("text_versions", "WITH o AS (SELECT p_name AS n FROM part WHERE p_partkey = 10), r AS (SELECT 20 AS id UNION SELECT 30) SELECT id::BIGINT AS id, 'relation' AS how FROM r UNION ALL SELECT p_partkey, 'title' FROM part WHERE p_name = (SELECT n FROM o) AND p_partkey <> 10 AND p_partkey NOT IN (SELECT id FROM r)")
-def text_versions(t, spark):
-    rel = values(spark, "(10L, 20L), (30L, 10L), (10L, 10L)", "a, b")
-    return service.versions(t("part"), rel, "p_partkey", "p_name", 10)
-
 
 @R.add("chapter_languages", "SELECT turn, CASE WHEN bool_or(role = 'user') THEN 'user' ELSE min(role) END AS role FROM conversations GROUP BY turn")
 def chapter_languages(t, spark):
@@ -46,23 +32,6 @@ def split_search(t, spark):
     return service.split_search(t("part"), ["p_name", "p_brand"], "red1", "p_partkey").select("p_partkey")
 
 
-SOURCES = "(1, '敦煌 Museum', 'pi,lzh'), (2, NULL, NULL), (3, 'Dictionary', 'sa'), (4, 'x', 'lzh')"
-
-
-@R.add("research_fields", f"WITH s(id, name, langs) AS (VALUES {SOURCES}), f AS (SELECT id, 'theravada' AS f FROM s WHERE list_contains(string_split(langs, ','), 'pi') UNION SELECT id, 'sanskrit' FROM s WHERE list_contains(string_split(langs, ','), 'sa') UNION SELECT id, 'dunhuang' FROM s WHERE regexp_matches(name, '敦煌|Dunhuang') UNION SELECT id, 'art' FROM s WHERE regexp_matches(name, 'Museum') UNION SELECT id, 'dictionary' FROM s WHERE regexp_matches(name, '[Dd]ictionary')) SELECT s.id, coalesce(string_agg(f, ',' ORDER BY f), 'han') AS fields FROM s LEFT JOIN f USING (id) GROUP BY 1")
-def research_fields(t, spark):
-    rules = [("dunhuang", "敦煌|Dunhuang"), ("art", "Museum"), ("dictionary", "[Dd]ictionary")]
-    return values(spark, SOURCES, "id, name, langs").select("id", service.research_fields(F.col("name"), F.col("langs"), rules, {"pi": "theravada", "bo": "tibetan", "sa": "sanskrit"}, "han").alias("fields"))
-
-
-REGIONS = "(1, '中国'), (2, '台湾'), (3, ''), (4, NULL), (5, '日本')"
-
-
-@R.add("region_names", f"WITH r(id, region) AS (VALUES {REGIONS}) SELECT coalesce(CASE region WHEN '中国' THEN '中国大陆' WHEN '台湾' THEN '中国台湾' WHEN '' THEN NULL ELSE region END, '其他') AS region, count(*) AS n FROM r GROUP BY 1")
-def region_names(t, spark):
-    return values(spark, REGIONS, "id, region").groupBy(service.region(F.col("region")).alias("region")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @R.add("listed_order", "SELECT lang, n, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'es' THEN 999 ELSE 98 END AS place FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)")
 def listed_order(t, spark):
     counts = t("documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -103,23 +72,6 @@ def index_rows(t, spark):
     return service.index_rows(texts, sources, "main").drop("source_id")
 
 
-CATALOG = """('[{"id": "T1", "title": " A ", "juan": "3"}, {"title": "none"}]'), ('{"T2": {"name": "B", "author": "x", "juan": "?"}}')"""
-
-
-@R.add("catalog_json", "SELECT * FROM (VALUES ('T1', 'A', NULL, 3), ('T2', 'B', 'x', NULL)) t(work_id, title, byline, fascicles)")
-def catalog_json(t, spark):
-    return catalogs.works(values(spark, CATALOG, "j"), "j")
-
-
-BINDINGS = """('{"results": {"bindings": [{"item": {"value": "http://e/Q1"}, "label": {"value": "a"}, "c": {"value": "Point(1 2)"}}, {"item": {"value": "http://e/Q2"}, "c": {"value": "Point(1 99)"}}, {"item": {"value": "http://e/Q3"}, "c": {"value": "Point(-1 -2)"}}]}}')"""
-
-
-@R.add("place_bindings", "SELECT * FROM (VALUES ('Q1', 'a', 1.0::DOUBLE, 2.0::DOUBLE), ('Q3', NULL, -1.0, -2.0)) t(external_id, name, longitude, latitude)")
-def place_bindings(t, spark):
-    found = catalogs.bindings(values(spark, BINDINGS, "j"), "j", ["item", "label", "c"])
-    return catalogs.places(found, "item", "label", "c")
-
-
 @R.add("menu_leaves", "SELECT 'R' || r_regionkey AS root, 'C' || c_custkey AS leaf FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE r_regionkey < 2 UNION SELECT 'R' || r_regionkey, 'N' || n_nationkey FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey < 2 AND n_nationkey NOT IN (SELECT c_nationkey FROM customer)")
 def menu_leaves(t, spark):
     a = t("nation").select(F.concat(F.lit("R"), "n_regionkey").alias("p"), F.concat(F.lit("N"), "n_nationkey").alias("c"))
@@ -138,34 +90,28 @@ def domain_codes(t, spark):
     return etl.domain_code(t("pages").select("page_id", "url"), "url", "page_id").select("page_id", "code")
 
 
-ANN = "(1, 'draft', 'submit'), (2, 'pending', 'approve'), (3, 'pending', 'reject'), (4, 'draft', 'approve')"
-
-
-@R.add("annotation_flow", "SELECT * FROM (VALUES (1, 'pending'), (2, 'approved'), (3, 'rejected'), (4, NULL)) t(id, state)")
-def annotation_flow(t, spark):
-    return values(spark, ANN, "id, s, a").select("id", etl.flow(F.col("s"), F.col("a")).alias("state"))
-
-
-@R.add("dated_timeline", "WITH d(name, a, b) AS (VALUES ('唐', 618, 907), ('隋', 581, 618), ('遼', 916, 1125)), n AS (SELECT n_nationkey, n_regionkey, CASE n_regionkey WHEN 0 THEN '唐' WHEN 1 THEN '隋' WHEN 2 THEN '遼' ELSE 'x' END AS dynasty FROM nation WHERE n_regionkey IN (0, 1, 2, 3)) SELECT n_nationkey, n_regionkey, dynasty, a::INT AS first_year, b::INT AS last_year, (SELECT count(*) FROM n) AS total FROM n LEFT JOIN d ON d.name = n.dynasty ORDER BY first_year NULLS LAST, n_nationkey LIMIT 8 OFFSET 8")
+@R.add("dated_timeline", "WITH d(name, a, b) AS (VALUES ('唐', 618, 907), ('隋', 581, 618), ('遼', 916, 1125)), n AS (SELECT c_custkey, c_nationkey, CASE c_nationkey % 5 WHEN 0 THEN '唐' WHEN 1 THEN '隋' WHEN 2 THEN '遼' ELSE c_mktsegment END AS dynasty FROM customer WHERE c_nationkey IN (0, 1, 2, 3, 4, 5, 6, 7)) SELECT c_custkey, c_nationkey, dynasty, a::INT AS first_year, b::INT AS last_year, (SELECT count(*) FROM n) AS total FROM n LEFT JOIN d ON d.name = n.dynasty ORDER BY first_year NULLS LAST, c_custkey LIMIT 20 OFFSET 20")
 def dated_timeline(t, spark):
-    dynasty = F.when(F.col("n_regionkey") == 0, "唐").when(F.col("n_regionkey") == 1, "隋").when(F.col("n_regionkey") == 2, "遼").otherwise("x")
-    rows = t("nation").select("n_nationkey", "n_regionkey", dynasty.alias("dynasty"))
-    return service.dated_timeline(rows, "n_nationkey", "dynasty", {"n_regionkey": [0, 1, 2, 3], "dynasty": None}, 2, 8)
+    era = F.col("c_nationkey") % 5
+    dynasty = F.when(era == 0, "唐").when(era == 1, "隋").when(era == 2, "遼").otherwise(F.col("c_mktsegment"))
+    rows = t("customer").select("c_custkey", "c_nationkey", dynasty.alias("dynasty"))
+    return service.dated_timeline(rows, "c_custkey", "dynasty", {"c_nationkey": list(range(8)), "dynasty": None}, 2, 20)
 
 
 @R.add(
     "canonical_parallels",
-    """WITH r AS (SELECT l_partkey AS a, l_suppkey AS b, l_returnflag AS source, CASE WHEN l_linestatus = 'O' THEN 'parallel' ELSE 'mention' END AS relation_type FROM lineitem),
-    e AS (SELECT CASE WHEN a = 3 THEN b ELSE a END AS related_id, relation_type FROM r WHERE source = 'R' AND (a = 3 OR b = 3)),
-    x AS (SELECT e.related_id, p.p_brand AS code, coalesce(p.p_type, p.p_name, '') AS title, CASE WHEN p.p_size % 2 = 0 THEN 'pi' ELSE 'lzh' END AS lang, e.relation_type, d.text FROM e JOIN part p ON p.p_partkey = e.related_id LEFT JOIN documents d ON d.doc_id = e.related_id)
-    SELECT related_id, code, title, lang, relation_type, CASE WHEN lang = 'pi' THEN nullif(left(text, 240), '') END AS own_preview, (SELECT count(*) FROM x) AS total FROM x""",
+    """WITH r AS (SELECT l_partkey AS a, l_suppkey AS b, l_returnflag AS source, CASE WHEN l_linestatus = 'O' THEN 'parallel' ELSE 'mention' END AS relation_type, CASE WHEN l_orderkey % 3 = 0 THEN 'n' || l_linenumber END AS note FROM lineitem),
+    e AS (SELECT CASE WHEN a = 3 THEN b ELSE a END AS related_id, relation_type, note FROM r WHERE source = 'R' AND (a = 3 OR b = 3)),
+    x AS (SELECT e.related_id, p.p_brand AS code, coalesce(p.p_type, p.p_name, '') AS title, CASE WHEN p.p_size % 2 = 0 THEN 'pi' ELSE 'lzh' END AS lang, e.relation_type, e.note, d.text FROM e JOIN part p ON p.p_partkey = e.related_id LEFT JOIN documents d ON d.doc_id = e.related_id)
+    SELECT related_id, code, title, lang, relation_type, note, CASE WHEN lang = 'pi' THEN nullif(left(text, 240), '') END AS own_preview, CASE WHEN lang = 'pi' THEN nullif(substr(text, 11, 240), '') END AS english_preview, (SELECT count(*) FROM x) AS total FROM x""",
 )
 def canonical_parallels(t, spark):
     kind = F.when(F.col("l_linestatus") == "O", "parallel").otherwise("mention")
-    relations = t("lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_returnflag").alias("source"), kind.alias("relation_type"), F.lit(None).cast("string").alias("note"))
+    relations = t("lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_returnflag").alias("source"), kind.alias("relation_type"), F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("n"), F.col("l_linenumber").cast("string"))).alias("note"))
     none = F.lit(None).cast("string")
     texts = t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("code"), none.alias("title_pi"), F.col("p_type").alias("title_sa"), none.alias("title_en"), F.col("p_name").alias("title_zh"), F.when(F.col("p_size") % 2 == 0, "pi").otherwise("lzh").alias("lang"))
     contents = t("documents").select(F.col("doc_id").alias("text_id"), F.lit(1).alias("chapter"), F.lit("pi").alias("lang"), F.col("text").alias("content"))
-    chunks = t("documents").select(F.col("doc_id").alias("text_id"), F.lit(1).alias("chapter"), F.lit(0).alias("chunk"), F.col("text").alias("chunk_text"))
+    pieces = F.explode(F.array(F.struct(F.lit(1).alias("chunk"), F.col("text").alias("chunk_text")), F.struct(F.lit(0).alias("chunk"), F.expr("substring(text, 11)").alias("chunk_text"))))
+    chunks = t("documents").select(F.col("doc_id").alias("text_id"), F.lit(1).alias("chapter"), pieces.alias("p")).select("text_id", "chapter", "p.*")
     out = service.canonical_parallels(relations, texts, contents, chunks, 3, "R")
-    return out.select("related_id", "code", "title", "lang", "relation_type", "own_preview", "total")
+    return out.select("related_id", "code", "title", "lang", "relation_type", "note", "own_preview", "english_preview", "total")
