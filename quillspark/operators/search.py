@@ -142,6 +142,48 @@ def fragments(text: Column, term: str, size: int = 120, n: int = 3) -> Column:
     return F.transform(F.slice(found, 1, n), lambda x: T.highlight(x, term))
 
 
+#: The weights by which search engines rank passages.
+PIVOT, PASSAGE_K1, PASSAGE_B = 87, 1.2, 0.75
+
+
+def content_fragments(texts: DataFrame, key: str, text: str, query: Sequence[str], analyser: Callable[[Column], Column] = T.words, size: int = 120, n: int = 3) -> DataFrame:
+    """(key, fragments, n_passages): the best ``n`` passages of each text that holds a query term, in the order of the text, terms marked.
+
+    A text is cut at the first sentence end after ``size`` characters; a passage scores by the terms it holds, each weighted by its rarity in its own
+    text and set off against the passage's length; of equal scores the first counts.  n_passages is how many hold a term.
+    Everything is computed within a row.
+    """
+    words = list(dict.fromkeys(query))
+    ends = ".!?。！？；\n"
+    cut = F.filter(F.regexp_extract_all(text, F.lit(rf"(?s)(.{{0,{size - 1}}}[^{ends}]*(?:[{ends}]+|$))"), F.lit(1)), lambda p: p != "")
+    bound = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  (a value used often is worked out once)
+    weight = lambda size, n: (PASSAGE_K1 + 1) * F.log1p((1 + size / PIVOT + 0.5) / (n + 0.5))
+
+    def ranked(d: Column) -> Column:
+        """Of the passages with a term: (less the score, place, passage), best first."""
+
+        def scored(w: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                drag = PASSAGE_K1 * (1 - PASSAGE_B + PASSAGE_B * F.length(x["p"]) / PIVOT)
+                parts = [w[j] * x["tf"][j] / (x["tf"][j] + drag) for j in range(len(words))]
+                return F.struct((-F.round(sum(parts[1:], parts[0]), 9)).alias("s"), i.alias("i"), x["p"].alias("p"))
+
+            return F.array_sort(F.filter(F.transform(d["x"], one), lambda x: x["s"] < 0))
+
+        return bound(F.array(*[weight(d["size"], total(d["x"], j)) for j in range(len(words))]), scored)
+
+    def total(x: Column, j: int) -> Column:
+        return F.aggregate(x, F.lit(0), lambda s, y: s + y["tf"][j])
+
+    counted = F.transform(cut, lambda p: bound(analyser(p), lambda ts: F.struct(p.alias("p"), F.array(*[_matches(ts, w, False) for w in words]).alias("tf"))))
+    held = bound(F.struct(F.length(text).alias("size"), counted.alias("x")), ranked)
+    rows = texts.select(key, held.alias("_held")).filter(F.size("_held") > 0)
+    pattern = r"(?iu)(?<![\p{L}])(" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + r")(?![\p{L}])"
+    best = F.array_sort(F.transform(F.slice("_held", 1, n), lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p"))))
+    marked = F.transform(best, lambda x: F.regexp_replace(F.trim(x["p"]), pattern, "<em>$1</em>"))
+    return rows.select(key, marked.alias("fragments"), F.size("_held").alias("n_passages"))
+
+
 def suggest(texts: DataFrame, columns: Sequence[str], prefix: str, size: int = 5) -> DataFrame:
     """Distinct values that hold the words of the prefix in a row, the last one as the start of a word."""
     phrase = r"[^\p{L}\p{N}]+".join(re.escape(w) for w in prefix.split())

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rewriting
 from ..functions import text as T
-from ..operators import cells, index, ranking, suggester
+from ..operators import cells, index, ranking, search, suggester
 from ..operators.search import edits_allowed
 from ..operators.storage import new_folder
 from .base import Registry
@@ -137,3 +138,34 @@ def cells_best_chunk(t, spark):
     near = _cells(t, spark).top_k(_query(t), 50, where=F.col("label") < 7, least=0.05).withColumn("text_id", F.floor(F.col("vec_id") / 5))
     best = ranking.first_per_key(near, ["text_id"], [F.desc("score"), "vec_id"]).orderBy(F.desc("score"), "vec_id").limit(10)
     return best.select("text_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+SOUGHT = ["the", "reth", "was"]
+CUT = r"(?s).{0,119}[^.!?。！？；\n]*(?:[.!?。！？；\n]+|$)"
+
+
+@R.add(
+    "content_fragments",
+    f"""WITH p AS (SELECT doc_id, length(text) AS size, unnest(list_filter(regexp_extract_all(text, '{CUT}'), lambda x: x <> '')) AS p, unnest(range(len(list_filter(regexp_extract_all(text, '{CUT}'), lambda x: x <> '')))) AS i FROM documents),
+    c AS (SELECT *, {", ".join(f"len(list_filter({WORDS.format('p')}, lambda x: x = '{w}')) AS t{j}" for j, w in enumerate(SOUGHT))} FROM p),
+    w AS (SELECT *, {", ".join(f"2.2 * ln(1 + (1 + size / 87 + 0.5) / (sum(t{j}) OVER (PARTITION BY doc_id) + 0.5)) AS w{j}" for j in range(len(SOUGHT)))} FROM c),
+    s AS (SELECT *, round({" + ".join(f"w{j} * t{j} / (t{j} + 1.2 * (0.25 + 0.75 * length(p) / 87))" for j in range(len(SOUGHT)))}, 9) AS score FROM w),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM s WHERE score > 0)
+    SELECT doc_id, string_agg(trim(p, ' '), ' … ' ORDER BY i) AS fragments, min(n)::INT AS n_passages FROM r WHERE k <= 3 GROUP BY doc_id""",
+)
+def content_fragments(t, spark):
+    found = search.content_fragments(t("documents"), "doc_id", "text", SOUGHT)
+    return found.select("doc_id", F.regexp_replace(F.array_join("fragments", " … "), "</?em>", "").alias("fragments"), "n_passages")
+
+
+@R.add(
+    "longest_match",
+    """WITH s AS (SELECT p_name, unnest(range(1, length(p_name) + 1)) AS i FROM (SELECT DISTINCT p_name FROM part)), m AS (SELECT DISTINCT substr(p_name, i, n) AS k FROM s, range(2, 6) t(n) WHERE i + n <= length(p_name) + 1 AND NOT contains(substr(p_name, i, n), ' '))
+    SELECT doc_id, regexp_replace(text, (SELECT '(' || string_agg(k, '|' ORDER BY length(k) DESC, k) || ')' FROM m), '<\\1>', 'g') AS text FROM documents""",
+)
+def longest_match(t, spark):
+    names = t("part").select("p_name").distinct()
+    places = names.select("p_name", F.explode(F.sequence(F.lit(1), F.length("p_name"))).alias("i")).withColumn("n", F.explode(F.sequence(F.lit(2), F.lit(5))))
+    keys = places.filter("i + n <= length(p_name) + 1").select(F.expr("substring(p_name, i, n)").alias("k")).filter("NOT contains(k, ' ')").distinct()
+    mapping = rewriting.mapping_of(keys.withColumn("v", F.concat(F.lit("<"), "k", F.lit(">"))), "k", "v")
+    return t("documents").select("doc_id", rewriting.replace_longest(F.col("text"), mapping).alias("text"))

@@ -76,7 +76,7 @@ def index_rows(t, spark):
 def menu_leaves(t, spark):
     a = t("nation").select(F.concat(F.lit("R"), "n_regionkey").alias("p"), F.concat(F.lit("N"), "n_nationkey").alias("c"))
     b = t("customer").select(F.concat(F.lit("N"), "c_nationkey").alias("p"), F.concat(F.lit("C"), "c_custkey").alias("c"))
-    return catalogs.menu_leaves(a.unionByName(b), "p", "c", ["R0", "R1"], 3)
+    return catalogs.menu_leaves(a.unionByName(b), "p", "c", ["R0", "R1"])
 
 
 @R.add("generic_ingest", "SELECT 'parts-' || p_partkey AS text_id, p_name AS title, NULL AS translator, 'en' AS lang, p_type <> '' AS has_content, length(p_type)::INT AS content_char_count FROM part")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..operators.storage import stored
 
 
 def works(rows: DataFrame, json: str) -> DataFrame:
@@ -48,16 +49,20 @@ def places(found: DataFrame, item: str, label: str, coordinates: str) -> DataFra
     return one.select("external_id", "r.*")
 
 
-def menu_leaves(menu: DataFrame, parent: str, child: str, roots: Sequence[str], depth: int = 8) -> DataFrame:
-    """(root, leaf): the nodes without children below each root, ``depth`` levels at most."""
-    edges = menu.select(F.col(parent).alias("p"), F.col(child).alias("c")).distinct()
-    level = menu.sparkSession.createDataFrame([(r, r) for r in roots], "root string, node string")
-    everything = level
-    for _ in range(depth):
-        level = level.join(edges, F.col("node") == F.col("p")).select("root", F.col("c").alias("node")).distinct()
-        everything = everything.unionByName(level)
-    leaves = everything.join(edges, F.col("node") == F.col("p"), "left_anti")
-    return leaves.select("root", F.col("node").alias("leaf")).distinct()
+def menu_leaves(menu: DataFrame, parent: str, child: str, roots: Sequence[str]) -> DataFrame:
+    """(root, leaf): the nodes without children below each root, however deep; a root without children is its own leaf.
+
+    Each round adds the children of the nodes that the round before found and no earlier round had, so cycles end.  Rounds are written,
+    so a plan does not grow with the depth.  Rows without a parent or child are left out.
+    """
+    edges = stored(menu.select(F.col(parent).alias("p"), F.col(child).alias("c")).dropna().distinct(), "menu-edges")
+    level = seen = menu.sparkSession.createDataFrame([(r, r) for r in dict.fromkeys(roots)], "root string, node string")
+    while True:
+        below = level.join(edges, F.col("node") == F.col("p")).select("root", F.col("c").cast("string").alias("node")).distinct()
+        level = stored(below.join(seen, ["root", "node"], "left_anti"), "menu-level")
+        if level.isEmpty():
+            return seen.join(edges, F.col("node") == F.col("p"), "left_anti").select("root", F.col("node").alias("leaf"))
+        seen = seen.unionByName(level)
 
 
 def sutta_page(html: Column) -> Column:
