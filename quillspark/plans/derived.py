@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, names
-from ..operators import etl, export, graph, search, service, stats, vector
+from ..operators import etl, export, graph, reading, search, service, stats, vector
 from ..sources import catalogs
 from .base import Registry, derived, plain_sql
 
@@ -248,3 +248,33 @@ SCORES = Input("SELECT c_mktsegment AS category, CAST(c_custkey % 5 - 1 AS INT)
 )
 def evaluation_report(t, spark):
     return stats.evaluation(SCORES(t, spark), "category", ["r", "c", "a", "h"], {"r": 1.0, "c": 1.0, "a": 1.0, "h": 3.0}, 12.0)
+
+
+#: Texts cut at clauses, with some words put in place of the marks that a canon's lines have.
+LAID = Input("SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(text, ', ', '，' || chr(10)), '. ', '。' || chr(10)), chr(10) || 'The', chr(10) || '論曰'), ' of', '頌曰'), ' qui ', '譯' || chr(10)), 'La ', '（一）'), ' und ', chr(10) || '經第二' || chr(10)) AS text FROM {documents}", "documents")
+SPACES = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def _form(x: str) -> str:
+    bars = lambda marks: f"NOT regexp_matches({x}, '{marks}')"
+    return f"""CASE WHEN {x} = '' THEN CASE WHEN regexp_matches(coalesce(before, ''), '{reading.FINAL}') THEN 'break' ELSE 'blank' END WHEN regexp_matches({x}, '{reading.CHAPTER}') AND size <= 25 AND {bars(reading.CHAPTER_BARS)} THEN 'juan'
+    WHEN regexp_matches({x}, '{reading.BYLINE}') AND size <= 25 AND {bars(reading.BYLINE_BARS)} THEN 'byline' WHEN regexp_matches({x}, '{reading.NUMBERED}') OR (regexp_matches({x}, '{reading.SECTION}') AND size <= 20 AND {bars(reading.SECTION_BARS)}) THEN 'section'
+    WHEN i - first <= 2 AND size BETWEEN 2 AND 15 AND regexp_matches({x}, '{reading.HEAD}') AND {bars(reading.HEAD_BARS)} THEN 'head' WHEN regexp_matches({x}, '{reading.TO_PROSE}') THEN 'to_prose' WHEN regexp_matches({x}, '{reading.TO_VERSE}') THEN 'to_verse'
+    WHEN size BETWEEN 4 AND 22 AND regexp_matches({x}, '{reading.VERSE_END}') AND marks <= 2 AND CASE WHEN regexp_matches({x}, '{SPACES}{{2,}}') THEN true WHEN marks = 2 AND length(h[1]) > 0 AND length(h[2]) > 0 THEN 2 * least(length(h[1]), length(h[2])) >= greatest(length(h[1]), length(h[2])) ELSE marks = 1 AND size <= 12 END THEN 'clause' ELSE 'plain' END"""
+
+
+@R.add(
+    "reading_layout",
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM {LAID}),
+    t AS (SELECT doc_id, i, x, length(x) AS size, len(regexp_extract_all(x, '{reading.MARKS}')) AS marks, string_split_regex(x, '{reading.HALVES}') AS h, min(CASE WHEN x <> '' THEN i END) OVER (PARTITION BY doc_id) AS first, last_value(nullif(x, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+        FROM (SELECT doc_id, i, regexp_replace(line, '^{SPACES}+|{SPACES}+$', '', 'g') AS x FROM l)),
+    f AS (SELECT *, {_form("x")} AS form FROM t),
+    m AS (SELECT *, coalesce(last_value(CASE form WHEN 'to_verse' THEN true WHEN 'to_prose' THEN false WHEN 'plain' THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS verses FROM f),
+    k AS (SELECT *, CASE WHEN form = 'clause' AND verses THEN 'verse' WHEN form IN ('to_prose', 'to_verse', 'clause', 'plain') THEN 'prose' ELSE form END AS kind FROM m),
+    o AS (SELECT *, kind <> 'prose' OR form = 'to_prose' OR coalesce(lag(kind <> 'prose' OR form = 'to_verse') OVER (PARTITION BY doc_id ORDER BY i), true) AS opens FROM k WHERE kind <> 'blank'),
+    s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS segment FROM o)
+    SELECT doc_id, segment::INT AS segment, kind, string_agg(x, '' ORDER BY i) AS text FROM s GROUP BY doc_id, segment, kind""",
+)
+def reading_layout(t, spark):
+    lines = LAID(t, spark).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return reading.layout(lines, "doc_id", "at", "line")
