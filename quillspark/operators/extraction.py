@@ -44,17 +44,50 @@ def role_relations(texts: DataFrame, key: str, person: str, dynasty: str) -> Dat
     return rows.dropna().distinct().withColumn("confidence", F.lit(1.0))
 
 
-def synced_relations(table: DataFrame, left: str, right: str, kind: str, confidence: str, entity_of: DataFrame, predicates: dict[str, tuple[str, float]]) -> DataFrame:
-    """(subject, predicate, object, confidence) from a relation table between texts.
+def enriched_texts(known: DataFrame, texts: DataFrame, identifiers: DataFrame, system: str, source: str = "84000", number: str = "toh_number") -> DataFrame:
+    """(text, names, properties, external_ids, change) of the text entities, after the catalog's rows have been taken in.
+
+    ``known`` has text, name_zh, name_sa, name_bo, name_pi, name_en, properties and external_ids (maps of strings); ``texts`` has id, title_zh to
+    title_en and ``system`` (the id in that catalog); ``identifiers`` has id, text and uid of ``source``, of which a text's first counts.
+    A known entity gets the names it lacks, but for name_zh; its id in the catalog, its number in the uid and its uid are overwritten where they differ.
+    Texts not known become entities.  ``change`` is created, updated or null; known entities without a catalog row stay as they are.
+    """
+    tongues = ["zh", "sa", "bo", "pi", "en"]
+    uid = identifiers.groupBy(F.col("text").alias("_text")).agg(F.min_by("uid", "id").alias("_uid"))
+    rows = texts.select(F.col("id").alias("_id"), *[_given(f"title_{x}").alias(f"_{x}") for x in tongues], _given(system).alias("_own")).join(uid, F.col("_id") == F.col("_text"), "left")
+    rows = rows.withColumn("_uid", _given("_uid")).withColumn("_number", F.nullif(F.regexp_extract("_uid", r"([0-9]+(?:-[0-9]+)?)", 1), F.lit("")))
+    both = known.withColumn("_there", F.lit(True)).join(rows, F.col("text") == F.col("_id"), "full_outer")
+    none = F.expr("cast(map() AS map<string, string>)")
+    there = F.col("_there").isNotNull()
+
+    def given(column: str, pairs: list[tuple[str, Column]]) -> Column:
+        new = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs]), lambda e: e["value"].isNotNull()))
+        old = F.coalesce(column, none)
+        return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
+
+    names = {f"name_{x}": F.when(there & (F.lit(x == "zh") | _given(f"name_{x}").isNotNull()), F.col(f"name_{x}")).otherwise(F.col(f"_{x}")) for x in tongues}
+    out = both.select(F.coalesce("text", "_id").alias("text"), *[c.alias(n) for n, c in names.items()], given("properties", [(system, F.col("_own")), (number, F.col("_number"))]).alias("properties"), given("external_ids", [(source, F.col("_uid"))]).alias("external_ids"),
+                      there.alias("_there"), *[F.col(f"name_{x}").alias(f"_old_{x}") for x in tongues], F.coalesce("properties", none).alias("_old_p"), F.coalesce("external_ids", none).alias("_old_e"))
+    same = lambda a, b: F.array_sort(F.map_entries(a)) == F.array_sort(F.map_entries(b))
+    kept = same("properties", "_old_p") & same("external_ids", "_old_e")
+    for x in tongues:
+        kept = kept & F.coalesce(f"name_{x}", F.lit("")).eqNullSafe(F.coalesce(f"_old_{x}", F.lit("")))
+    change = F.when(~F.col("_there"), "created").when(~kept, "updated")
+    return out.select("text", *names, "properties", "external_ids", change.alias("change"))
+
+
+def synced_relations(table: DataFrame, key: str, left: str, right: str, kind: str, confidence: str, entity_of: DataFrame, predicates: dict[str, tuple[str, float, str]]) -> DataFrame:
+    """(subject, predicate, object, confidence, source) from a relation table between texts.
 
     ``entity_of`` (text, entity; one row a text) gives both ends; relations of texts without an entity are left out, as are kinds
-    that ``predicates`` (kind: predicate and confidence) does not rename.  No confidence, or 0, becomes the
-    predicate's own.  Of equal triples the most confident stays.
+    that ``predicates`` (kind: predicate, confidence and source) does not rename.  No confidence, or 0, becomes the
+    predicate's own.  Of equal triples the first by ``key`` stays, whatever its confidence.
     """
-    names = F.create_map(*[F.lit(x) for k, (p, _) in predicates.items() for x in (k, p)])
-    least = F.create_map(*[F.lit(x) for k, (_, c) in predicates.items() for x in (k, c)])
-    rows = table.filter(F.col(kind).isin(list(predicates))).select(F.col(left).alias("_l"), F.col(right).alias("_r"), names[F.col(kind)].alias("predicate"), F.coalesce(F.nullif(F.col(confidence).cast("double"), F.lit(0.0)), least[F.col(kind)]).alias("confidence"))
-    rows = rows.groupBy("_l", "_r", "predicate").agg(F.max("confidence").alias("confidence"))
+    named = lambda i: F.create_map(*[F.lit(x) for k, p in predicates.items() for x in (k, p[i])])[F.col(kind)]
+    sure = F.coalesce(F.nullif(F.col(confidence).cast("double"), F.lit(0.0)), named(1))
+    rows = table.filter(F.col(kind).isin(list(predicates))).select(F.col(key).alias("_k"), F.col(left).alias("_l"), F.col(right).alias("_r"), named(0).alias("predicate"), sure.alias("confidence"), named(2).alias("source"))
+    first = F.min(F.struct("_k", "confidence", "source")).alias("_f")
+    rows = rows.groupBy("_l", "_r", "predicate").agg(first)  # before the joins, which then meet fewer rows
     ends = lambda at, name: entity_of.select(F.col("text").alias(at), F.col("entity").alias(name))
-    joined = rows.join(ends("_l", "subject"), "_l").join(ends("_r", "object"), "_r")
-    return joined.groupBy("subject", "predicate", "object").agg(F.max("confidence").alias("confidence"))
+    joined = rows.join(ends("_l", "subject"), "_l").join(ends("_r", "object"), "_r").groupBy("subject", "predicate", "object").agg(F.min("_f").alias("_f"))
+    return joined.select("subject", "predicate", "object", "_f.confidence", "_f.source")

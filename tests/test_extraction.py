@@ -20,9 +20,23 @@ def test_extraction_at_the_edges(spark):
     assert len(out) == 7
     edges = extraction.role_relations(texts, "id", "p", "d").collect()
     assert sorted(tuple(r) for r in edges) == [("Kumarajiva", "active_in", "Yao Qin", 1.0), ("Kumarajiva", "translated", "1", 1.0), ("Kumarajiva", "translated", "2", 1.0)]
-    table = spark.createDataFrame([(1, 2, "alt", None), (1, 2, "alt", 0.0), (2, 1, "alt", 0.4), (2, 1, "other", 1.0), (1, 9, "par", 1.0), (1, 1, "par", 0.0)], "a int, b int, k string, c double")
+    table = spark.createDataFrame([(5, 1, 2, "alt", 0.95), (4, 1, 2, "alt", None), (6, 1, 2, "alt", 0.0), (1, 2, 1, "alt", 0.4), (2, 2, 1, "other", 1.0), (3, 1, 9, "par", 1.0), (7, 1, 1, "par", 0.0)], "id int, a int, b int, k string, c double")
     of = spark.createDataFrame([(1, "e1"), (2, "e2")], "text int, entity string")
-    synced = extraction.synced_relations(table, "a", "b", "k", "c", of, {"alt": ("alt_translation", 0.9), "par": ("parallel", 0.8)})
-    assert sorted(tuple(r) for r in synced.collect()) == [("e1", "alt_translation", "e2", 0.9), ("e1", "parallel", "e1", 0.8), ("e2", "alt_translation", "e1", 0.4)]
+    synced = extraction.synced_relations(table, "id", "a", "b", "k", "c", of, {"alt": ("alt_translation", 0.9, "x"), "par": ("parallel", 0.8, "y")})
+    assert sorted(tuple(r) for r in synced.collect()) == [("e1", "alt_translation", "e2", 0.9, "x"), ("e1", "parallel", "e1", 0.8, "y"), ("e2", "alt_translation", "e1", 0.4, "x")]
     empty = extraction.enriched(known.limit(0), found.limit(0))
     assert empty.count() == 0
+
+
+def test_known_texts_are_enriched(spark):
+    """Missing names are filled, ids overwritten, the first uid of a text counts, and nothing changes where nothing is new."""
+    columns = "text int, name_zh string, name_sa string, name_bo string, name_pi string, name_en string, properties map<string,string>, external_ids map<string,string>"
+    known = spark.createDataFrame([(1, "zh", "", None, "p", None, {"cbeta_id": "old", "x": "9"}, None), (2, "zh", "s", "b", "p", "e", {"cbeta_id": "T2"}, {"84000": "toh5", "w": "Q"}), (9, "alone", None, None, None, None, None, None)], columns)
+    texts = spark.createDataFrame([(1, "new", "sa", " ", "pi", "en", "T1"), (2, "t", "t", "t", "t", "t", "T2"), (3, "three", None, None, None, "", None)], "id int, title_zh string, title_sa string, title_bo string, title_pi string, title_en string, cbeta_id string")
+    uids = spark.createDataFrame([(7, 2, "toh6"), (3, 2, "toh5"), (1, 1, "toh44-45/x"), (2, 3, "none")], "id int, text int, uid string")
+    got = {r.text: r for r in extraction.enriched_texts(known, texts, uids, "cbeta_id").collect()}
+    assert tuple(got[1])[1:] == ("zh", "sa", None, "p", "en", {"cbeta_id": "T1", "x": "9", "toh_number": "44-45"}, {"84000": "toh44-45/x"}, "updated")
+    assert tuple(got[2])[1:] == ("zh", "s", "b", "p", "e", {"cbeta_id": "T2", "toh_number": "5"}, {"84000": "toh5", "w": "Q"}, "updated")
+    assert tuple(got[3])[1:] == ("three", None, None, None, None, {}, {"84000": "none"}, "created") and got[9].change is None and got[9].name_zh == "alone"
+    again = extraction.enriched_texts(spark.createDataFrame([tuple(r)[:8] for r in got.values()], columns), texts, uids, "cbeta_id").collect()
+    assert [r.change for r in again] == [None] * 4
