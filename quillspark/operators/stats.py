@@ -33,6 +33,21 @@ def coverage(sources: DataFrame, items: DataFrame, key: str, flag: Column) -> Da
     return out.withColumn("n_rest", F.col("n_items") - F.col("n_full"))
 
 
+def coverage_by(sources: DataFrame, items: DataFrame, key: str, by: str, flag: Column) -> DataFrame:
+    """(key, by, n_items, n_full, orphan) for each source and each value of ``by`` that items have; items of no source are orphans."""
+    counts = items.groupBy(key, by).agg(F.count(F.lit(1)).alias("n_items"), F.count_if(flag).alias("n_full"))
+    grid = sources.select(key).distinct().join(F.broadcast(items.select(by).distinct().agg(F.collect_set(by).alias("_by")))).select(key, F.explode("_by").alias(by)).withColumn("_known", F.lit(True))  # one row of languages
+    out = grid.join(counts, [key, by], "full_outer")
+    return out.select(key, by, F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("n_full", F.lit(0)).alias("n_full"), F.col("_known").isNull().alias("orphan"))
+
+
+def most_read(log: DataFrame, texts: DataFrame, key: str, time: str, flag: Column, days: int, n: int) -> DataFrame:
+    """The ``n`` texts with most flagged events in the log's last ``days`` days, with their names and counts."""
+    newest = F.broadcast(log.agg(F.max(time).alias("_newest")))  # one row
+    counts = log.filter(flag).join(newest).filter(F.col(time) >= F.col("_newest") - F.make_dt_interval(F.lit(days))).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return texts.join(counts, key).orderBy(F.desc("n"), key).limit(n)
+
+
 def joined_counts(base: DataFrame, key: str, counts: dict[str, tuple[DataFrame, str, Column]]) -> DataFrame:
     """``base`` with several aggregates, each taken before its join so that none multiplies another; absent ones are 0."""
     for name, (df, own_key, aggregate) in counts.items():

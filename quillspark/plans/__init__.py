@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import derived, extraction, indexed, knowledge, retrieval, rows, services, statistics
+from . import derived, extraction, indexed, knowledge, retrieval, rows, rules, services, statistics
 
-_MODULES = (statistics, rows, retrieval, knowledge, services, extraction, indexed, derived)
+_MODULES = (statistics, rows, retrieval, knowledge, services, extraction, indexed, derived, rules)
 
 
 def queries() -> dict:
