@@ -131,6 +131,37 @@ def cross_members(groups: DataFrame, left: str, right: str, note: str) -> DataFr
     return norm.groupBy("a", "b").agg(F.array_join(F.sort_array(F.collect_set(note)), "; ").alias("notes"))
 
 
+def same_title_classes(texts: DataFrame, key: str, title: str, translator: str) -> DataFrame:
+    """(key, class_key, n_texts, n_links): each text with its title's smallest key, how many have the title, and to how many of them
+    :func:`same_title_pairs` links it.  Counts are taken by title and translator first, so a title of very many texts makes no pairs.
+
+    Rows without a title have no class.
+    """
+    who = F.nullif(F.col(translator), F.lit(""))
+    rows = texts.filter(F.col(title).isNotNull()).select(F.col(key).alias("key"), F.col(title).alias("_t"), who.alias("_w"))
+    parts = rows.groupBy("_t", "_w").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("_k"))
+    whole = parts.groupBy("_t").agg(F.sum("_n").alias("n_texts"), F.min("_k").alias("class_key"))
+    known = parts.join(whole, "_t").withColumn("n_links", F.when(F.col("_w").isNull(), F.col("n_texts") - 1).otherwise(F.col("n_texts") - F.col("_n"))).drop("_n", "_k")
+    found = rows.alias("r").join(known.alias("k"), (F.col("r._t") == F.col("k._t")) & F.col("r._w").eqNullSafe(F.col("k._w")))
+    return found.select("key", "class_key", "n_texts", "n_links")
+
+
+def resolve_texts(texts: DataFrame, chunks: DataFrame, key: str, chunk_key: str, equal: dict[str, object] | None = None, patterns: dict[str, str] | None = None, most: int = 2000) -> DataFrame:
+    """Texts that have a chunk and meet all conditions, by key, ``most`` at most: columns equal to a value, columns that hold a pattern (% and _ as in LIKE, any case)."""
+    rows = texts
+    for column, value in (equal or {}).items():
+        rows = rows.filter(F.col(column) == F.lit(value))
+    for column, pattern in (patterns or {}).items():
+        rows = rows.filter(F.col(column).ilike(pattern))
+    return rows.join(chunks.select(F.col(chunk_key).alias(key)).distinct(), key, "left_semi").orderBy(key).limit(most)
+
+
+def manifest_rows(manifests: DataFrame, texts: DataFrame, number: str, old: DataFrame, source: str) -> DataFrame:
+    """(text, source, manifest) for texts found by a catalog number, but for pairs of text and source that are there; of several manifests of a text the smallest."""
+    found = manifests.filter(F.length(number) > 0).join(texts.select(F.col("id").alias("text"), number), number).groupBy("text").agg(F.min("manifest").alias("manifest"))
+    return found.withColumn("source", F.lit(source)).join(old.select("text", "source"), ["text", "source"], "left_anti").select("text", "source", "manifest")
+
+
 def two_signals(df: DataFrame, text: Column, positive: str, negative: str) -> DataFrame:
     """verdict: keep with a positive word, delete with only a negative one, else keep; null text is kept."""
     plus, minus = F.coalesce(text.rlike(positive), F.lit(False)), F.coalesce(text.rlike(negative), F.lit(False))

@@ -6,6 +6,7 @@ source and confidence.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -196,7 +197,7 @@ def commentaries(texts: DataFrame, key: str, title: str, suffixes: Sequence[str]
 
 def concepts(texts: DataFrame, key: str, title: str, keywords: dict[str, Sequence[str]], confidence: float = 0.7) -> DataFrame:
     """(text, concept, confidence) where a keyword of the concept occurs in the title."""
-    out = F.filter(F.array(*[F.when(F.col(title).rlike("|".join(__import__("re").escape(w) for w in words)), F.lit(c)) for c, words in keywords.items()]), lambda c: c.isNotNull())
+    out = F.filter(F.array(*[F.when(F.col(title).rlike("|".join(re.escape(w) for w in words)), F.lit(c)) for c, words in keywords.items()]), lambda c: c.isNotNull())
     return texts.select(F.col(key).alias("text"), F.explode(out).alias("concept")).distinct().withColumn("confidence", F.lit(confidence))
 
 
@@ -219,7 +220,3 @@ def nearby_known(new: DataFrame, old: DataFrame, km: float = 2.0) -> DataFrame:
 
 def degree(relations: DataFrame) -> DataFrame:
     return symmetric(relations).groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.count_distinct("other").alias("neighbours"))
-
-
-def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -64,6 +64,12 @@ def round_robin(df: DataFrame, group: str, order: Sequence[Column | str], n: int
     return df.withColumn("_turn", turn).filter(F.col("_turn") <= n).orderBy("_turn", group).limit(n).drop("_turn")
 
 
+def sampled_round_robin(df: DataFrame, group: str, key: str, seed: str, sample: int = 24, n: int = 8) -> DataFrame:
+    """``n`` rows taken in turn from the groups of a seeded sample; within a group in the order drawn."""
+    drawn = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary"))
+    return round_robin(df.withColumn("_drawn", drawn).orderBy("_drawn", key).limit(sample), group, ["_drawn", key], n).drop("_drawn")
+
+
 def pick_per_group(df: DataFrame, group: str, key: str, excluded: Sequence, seed: int = 0) -> DataFrame:
     """One row of each group, by a seeded hash; an excluded row only where the group has no other."""
     out = F.col(key).isin(list(excluded)) if excluded else F.lit(False)

@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names
+from ..functions import fixed, names
 from ..functions import text as T
 from .ranking import capped_groups, collapse, first_per_key, page
 
@@ -82,9 +82,10 @@ def catalog_search(texts: DataFrame, key: str, query: str, fields: dict[str, flo
     Every term of the query must be in a field, give or take the edits it forgives, for the field to
     count; frequencies and lengths are each field's own over all texts.  A phrase boost is added for a
     field that holds the whole query.  An empty query keeps all rows that pass the filters.
-    ``expansion`` is the full title a short query stands for; a title that holds it gets 30 more.
+    ``expansion`` is the full title a short query stands for (by default that of the fixed table); a title that holds it gets 30 more.
     Filters of None are no filters.
     """
+    expansion = fixed.TITLE_ABBREVIATIONS.get(query.strip()) if expansion is None else expansion
     passes = F.lit(True)
     for column, value in filters.items():
         if value is not None:
@@ -218,6 +219,24 @@ def contains_any(name: Column, spellings: Sequence[str]) -> Column:
     return out
 
 
+#: The order of kinds among equally relevant entities; others come last.
+KINDS = ["person", "school", "dynasty"]
+
+
+def search_entities(entities: DataFrame, relations: DataFrame, spellings: Sequence[str], kind: str | None = None, related: bool = False, number: int = 1, size: int = 20) -> DataFrame:
+    """A page of visible entities whose name holds a spelling, beside the number of all: by relevance, then kind, then id.
+
+    With ``kind`` only of that kind, with ``related`` only those at an end of a relation.
+    """
+    from .graph import hidden, with_relations
+
+    rows = entities.filter(contains_any(F.col("name"), spellings) & ~hidden())
+    rows = rows if kind is None else rows.filter(F.col("kind") == kind)
+    rows = with_relations(rows, relations) if related else rows
+    first = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(0)), F.lit(len(KINDS) + 1))
+    return totalled(rows.withColumn("relevance", relevance(F.col("name"), spellings)), ["relevance", first, "id"], number, size)
+
+
 def dictionary_search(entries: DataFrame, key: str, headword: str, query: str, spellings: Sequence[str] | None = None, enough: int = 5, most: int = 200) -> DataFrame:
     """Exact and prefix hits (phase 1); where those are fewer than ``enough``, other hits too (phase 2).
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from .ranking import first_per_key, page, running_total
+from .storage import stored
 
 
 def merged_relations(first: DataFrame, second: DataFrame, rename: dict[str, str]) -> DataFrame:
@@ -136,6 +137,23 @@ def listed_order(value: Column, order: Sequence[str], unknown: int = 98, last: s
     return F.when(value == last, 999).otherwise(key) if last else key
 
 
+def federated_search(parts: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
+    """The hits of the engines that answer, each with its origin and the number of all, and the errors of those that do not.
+
+    Each answer is written as it comes, so an engine that fails while it is read fails alone.
+    """
+    found, failed = {}, {}
+    for origin, ask in parts.items():
+        try:
+            found[origin] = stored(ask(), "federated")
+        except Exception as error:
+            failed[origin] = str(error)[:500]
+    if not found:
+        return None, failed
+    hits = federated(found)
+    return hits.join(F.broadcast(hits.agg(F.count(F.lit(1)).alias("total")))), failed  # one row
+
+
 def federated(parts: dict[str, DataFrame]) -> DataFrame:
     """The union of several engines' hits with their origin; columns one of them lacks are null."""
     out = None

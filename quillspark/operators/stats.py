@@ -154,6 +154,18 @@ def activity(events: DataFrame, now: str, days: int, time: str, user: str, kind:
     return main.join(F.broadcast(fresh))  # one row each
 
 
+def feed_summary(updates: DataFrame, feeds: DataFrame, time: str, source: str, key: str, now: str, days: int = 30, n: int = 5) -> DataFrame:
+    """One row: the newest ``n`` keys of each of two lists, how many each has of the last ``days`` days, and how many sources updated then."""
+    out = None
+    for name, rows in (("updates", updates), ("feeds", feeds)):
+        newest = rows.orderBy(F.desc(time), F.desc(key)).limit(n).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col(time).cast("timestamp"))).alias("t"), (-F.col(key)).alias("k")))), lambda x: (-x["k"]).cast("string")), ",").alias(f"newest_{name}"))
+        window = recent(rows, time, now, days)
+        counts = window.agg(F.count(F.lit(1)).alias(f"n_{name}"), *([F.count_distinct(source).alias("n_sources")] if name == "updates" else []))
+        both = newest.join(F.broadcast(counts))  # one row each
+        out = both if out is None else out.join(F.broadcast(both))
+    return out
+
+
 def over_quota(df: DataFrame, owner: str, time: str, limit: int) -> DataFrame:
     """(owner, day, n, allowed) by local day."""
     used = df.groupBy(owner, local_day(F.col(time)).alias("day")).agg(F.count(F.lit(1)).alias("n"))

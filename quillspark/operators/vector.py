@@ -32,6 +32,16 @@ def best_chunk_per_text(chunks: DataFrame, vector: str, query: Sequence[float],
     return first_per_key(near, [text], [F.desc("score"), key]).orderBy(F.desc("score"), key).limit(size)
 
 
+def in_scope(chunks: DataFrame, text: str, scope: DataFrame | None) -> DataFrame:
+    """The chunks of the texts in a scope (its first column); no scope, or an empty one, is no limit."""
+    if scope is None:
+        return chunks
+    ids = scope.select(F.col(scope.columns[0]).alias(text)).dropna().distinct()
+    empty = F.broadcast(ids.agg((F.count(F.lit(1)) == 0).alias("_all")))  # one row
+    marked = chunks.join(ids.withColumn("_in", F.lit(True)), text, "left").join(empty)
+    return marked.filter(F.col("_all") | F.col("_in").isNotNull()).drop("_all", "_in")
+
+
 def mean_vector(rows: DataFrame, vector: str) -> list[float] | None:
     """The mean of the rows' vectors; its length is the vectors' own."""
     means = rows.select(F.posexplode(vector)).groupBy("pos").agg(F.avg(F.col("col").cast("double")).alias("m")).orderBy("pos").collect()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions import text as T
-from ..operators import etl, graph, rag, search, service
+from ..operators import etl, graph, rag, ranking, search, service, stats, vector
 from ..sources import tei
 from .base import Registry
 from .derived import Input
@@ -173,15 +173,69 @@ def entity_page(t, spark):
 
 @R.add("language_coverage", "WITH l AS (SELECT s_suppkey, lang FROM supplier, (SELECT DISTINCT lang FROM documents)), d AS (SELECT doc_id % 150 AS k, lang, count(*) AS n, count(*) FILTER (n_chars > 1000) AS f FROM documents GROUP BY 1, 2) SELECT coalesce(s_suppkey, k) AS source, coalesce(l.lang, d.lang) AS lang, coalesce(n, 0)::BIGINT AS n_items, coalesce(f, 0)::BIGINT AS n_full, s_suppkey IS NULL AS orphan FROM l FULL JOIN d ON k = s_suppkey AND d.lang = l.lang")
 def language_coverage(t, spark):
-    from ..operators import stats
-
     items = t("documents").withColumn("source", F.col("doc_id") % 150)
     return stats.coverage_by(t("supplier").select(F.col("s_suppkey").alias("source")), items, "source", "lang", F.col("n_chars") > 1000)
 
 
 @R.add("most_read", "SELECT p_partkey, p_name, count(*) AS n FROM events JOIN part ON p_partkey = user_id % 400 WHERE event_type = 'view' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY GROUP BY 1, 2 ORDER BY n DESC, p_partkey LIMIT 10")
 def most_read(t, spark):
-    from ..operators import stats
-
     log = t("events").withColumn("p_partkey", F.col("user_id") % 400)
     return stats.most_read(log, t("part").select("p_partkey", "p_name"), "p_partkey", "ts", F.col("event_type") == "view", 30, 10)
+
+
+@R.add("same_title_classes", "SELECT a.p_partkey AS key, min(b.p_partkey) AS class_key, count(*) AS n_texts, count(*) FILTER (a.p_partkey <> b.p_partkey AND (nullif(a.w, '') IS NULL OR nullif(b.w, '') IS NULL OR a.w <> b.w)) AS n_links FROM (SELECT *, CASE WHEN p_size % 3 > 0 THEN p_brand ELSE '' END AS w FROM part) a JOIN (SELECT *, CASE WHEN p_size % 3 > 0 THEN p_brand ELSE '' END AS w FROM part) b ON a.p_name = b.p_name GROUP BY 1")
+def same_title_classes(t, spark):
+    rows = t("part").withColumn("w", F.when(F.col("p_size") % 3 > 0, F.col("p_brand")).otherwise(""))
+    return etl.same_title_classes(rows, "p_partkey", "p_name", "w")
+
+
+@R.add("resolved_texts", "SELECT p_partkey FROM part WHERE p_type = 'SMALL' AND p_name ILIKE '%O_ B%' AND p_partkey IN (SELECT l_partkey FROM lineitem) ORDER BY p_partkey LIMIT 2000")
+def resolved_texts(t, spark):
+    return etl.resolve_texts(t("part"), t("lineitem"), "p_partkey", "l_partkey", {"p_type": "SMALL"}, {"p_name": "%O_ B%"}).select("p_partkey")
+
+
+@R.add("manifest_rows", "WITH m AS (SELECT CASE WHEN l_linenumber % 4 = 0 THEN '' ELSE 'n' || (l_partkey % 300) END AS number, 'url/' || l_orderkey AS manifest FROM lineitem), x AS (SELECT s_suppkey AS text, 'n' || s_suppkey AS number FROM supplier) SELECT text, 'iiif' AS source, min(manifest) AS manifest FROM m JOIN x USING (number) WHERE number <> '' AND text % 5 <> 0 GROUP BY text")
+def manifest_rows(t, spark):
+    manifests = t("lineitem").select(F.when(F.col("l_linenumber") % 4 == 0, "").otherwise(F.concat(F.lit("n"), (F.col("l_partkey") % 300).cast("string"))).alias("number"), F.concat(F.lit("url/"), F.col("l_orderkey").cast("string")).alias("manifest"))
+    texts = t("supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("n"), F.col("s_suppkey").cast("string")).alias("number"))
+    old = t("supplier").filter("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("text"), F.lit("iiif").alias("source"))
+    return etl.manifest_rows(manifests, texts, "number", old, "iiif")
+
+
+SHOWN = Input("SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN 'person' WHEN 1 THEN 'school' WHEN 2 THEN 'dynasty' WHEN 3 THEN 'place' ELSE 'text' END AS kind, p_name AS name, CASE WHEN p_size % 7 = 0 THEN '{{\"is_hidden\": true}}' ELSE '{{}}' END AS properties FROM {part}", "part")
+
+
+@R.add("entity_search", f"WITH h AS (SELECT id, kind, CASE WHEN lower(name) IN ('hot', 'hot rod') THEN 0 WHEN starts_with(lower(name), 'hot') OR starts_with(lower(name), 'hot rod') THEN 1 ELSE 2 END AS relevance FROM {SHOWN} WHERE (contains(lower(name), 'hot') OR contains(lower(name), 'hot rod')) AND properties NOT LIKE '%true%' AND id IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 7 UNION SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7)) SELECT id, kind, relevance, (SELECT count(*) FROM h) AS total FROM h ORDER BY relevance, CASE kind WHEN 'person' THEN 0 WHEN 'school' THEN 1 WHEN 'dynasty' THEN 2 ELSE 3 END, id LIMIT 20 OFFSET 20")
+def entity_search(t, spark):
+    ends = t("lineitem").filter("l_linenumber = 7").select(F.col("l_partkey").alias("subject"), F.col("l_suppkey").alias("object"))
+    found = search.search_entities(SHOWN(t, spark), ends, ["hot", "hot rod"], related=True, number=2)
+    return found.select("id", "kind", "relevance", "total")
+
+
+@R.add("sampled_questions", "WITH s AS (SELECT conv_id * 1000 + turn AS id, role, md5('week 3|' || (conv_id * 1000 + turn)) AS d FROM conversations WHERE text IS NOT NULL), n AS (SELECT * FROM s ORDER BY d, id LIMIT 24) SELECT id, role FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY d, id) AS k FROM n) ORDER BY k, role LIMIT 8")
+def sampled_questions(t, spark):
+    rows = t("conversations").filter("text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "role")
+    return ranking.sampled_round_robin(rows, "role", "id", "week 3")
+
+
+@R.add("scoped_chunks", "SELECT vec_id, 'scope' AS how FROM embeddings WHERE vec_id // 5 IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT vec_id, 'empty' FROM embeddings")
+def scoped_chunks(t, spark):
+    chunks = t("embeddings").select("vec_id", F.expr("vec_id div 5").alias("text"))
+    scope = t("supplier").filter("s_acctbal < 0").select("s_suppkey")
+    part = lambda s, how: vector.in_scope(chunks, "text", s).select("vec_id", F.lit(how).alias("how"))
+    return part(scope, "scope").unionByName(part(scope.limit(0), "empty"))
+
+
+@R.add("federated_search", "WITH h AS (SELECT n_nationkey::BIGINT AS id, n_name AS name, 'local' AS origin FROM nation UNION ALL SELECT s_suppkey, s_name, 'remote' FROM supplier) SELECT *, (SELECT count(*) FROM h) AS total FROM h")
+def federated_search(t, spark):
+    """Of three engines one fails while it is read."""
+    local = lambda: t("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    remote = lambda: t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    broken = lambda: t("region").select(F.raise_error(F.lit("no answer")).cast("long").alias("id"), F.col("r_name").alias("name"))
+    return service.federated_search({"local": local, "broken": broken, "remote": remote})[0]
+
+
+@R.add("feed_summary", "WITH e AS (SELECT event_id AS id, ts, user_id FROM events WHERE event_type = 'view'), f AS (SELECT event_id AS id, ts FROM events WHERE event_type <> 'view') SELECT (SELECT string_agg(id, ',' ORDER BY ts DESC, id DESC) FROM (SELECT * FROM e ORDER BY ts DESC, id DESC LIMIT 5)) AS newest_updates, (SELECT count(*) FROM e WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY) AS n_updates, (SELECT count(DISTINCT user_id) FROM e WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY) AS n_sources, (SELECT string_agg(id, ',' ORDER BY ts DESC, id DESC) FROM (SELECT * FROM f ORDER BY ts DESC, id DESC LIMIT 5)) AS newest_feeds, (SELECT count(*) FROM f WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 30 DAY) AS n_feeds")
+def feed_summary(t, spark):
+    events = t("events").select(F.col("event_id").alias("id"), "ts", "user_id", "event_type")
+    return stats.feed_summary(events.filter("event_type = 'view'"), events.filter("event_type <> 'view'"), "ts", "user_id", "id", "2024-01-31 00:00:00")
