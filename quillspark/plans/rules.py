@@ -218,7 +218,7 @@ def sampled_questions(t, spark):
     return ranking.sampled_round_robin(rows, "role", "id", "week 3")
 
 
-@R.add("scoped_chunks", "SELECT vec_id, 'scope' AS how FROM embeddings WHERE vec_id // 5 IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT vec_id, 'empty' FROM embeddings")
+@R.add("scoped_chunks", "SELECT vec_id, 'scope' AS how FROM embeddings WHERE vec_id // 5 IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) OR NOT EXISTS (SELECT 1 FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT vec_id, 'empty' FROM embeddings")
 def scoped_chunks(t, spark):
     chunks = t("embeddings").select("vec_id", F.expr("vec_id div 5").alias("text"))
     scope = t("supplier").filter("s_acctbal < 0").select("s_suppkey")
