@@ -28,16 +28,20 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.filter(F.expr(finite))
 
 
-def pivots_of(rows: DataFrame, count: int, apart: float = 0.8) -> np.ndarray:
-    """``count`` vectors at most, from a bounded sample: the 4 * count distinct vectors of least hash.
+def pivots_of(rows: DataFrame, count: int) -> np.ndarray:
+    """``count`` vectors at most, from a bounded sample: the 4 * count distinct vectors of least hash."""
+    hashed = rows.select("vector", F.xxhash64("vector").alias("h")).groupBy("h").agg(F.first("vector").alias("vector"))
+    return chosen(np.array([r.vector for r in hashed.orderBy("h").limit(4 * count).collect()], np.float64), count)
+
+
+def chosen(sample: np.ndarray, count: int, apart: float = 0.8) -> np.ndarray:
+    """``count`` vectors of a sample at most.
 
     Of vectors with a cosine above ``apart`` only the first is taken, so that a crowd of near
     copies does not fill the orders with one pivot many times over.  Where too few are that far apart
     (vectors in narrow cones) the count is filled up from the rest, always with the one least
     like any taken.
     """
-    hashed = rows.select("vector", F.xxhash64("vector").alias("h")).groupBy("h").agg(F.first("vector").alias("vector"))
-    sample = np.array([r.vector for r in hashed.orderBy("h").limit(4 * count).collect()], np.float64)
     unit = sample / np.sqrt((sample * sample).sum(axis=1, keepdims=True))
     taken: list[int] = []
     for i in range(len(sample)):
@@ -105,38 +109,40 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256,
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query by inner product, its own row left out.
 
     Ties go to the smaller vec_id.  Vectors that are null, empty, zero or hold null or
-    non-finite components take no part, nor do vectors of another length than the most usual
-    one, nor null ids.  Rows repeated with one id count once, by their largest score.  Fewer
+    non-finite components take no part, nor do null ids; a query is compared with the vectors of its own
+    length.  Rows repeated with one id count once, by their largest score.  Fewer
     candidates than ``k`` give fewer rows; an empty table none.  The index is fitted on
-    a sample of 4 * ``pivots`` vectors; every vector is indexed.  Of each block the ``rerank``
+    a sample of 4 * ``pivots`` vectors, that of unusual lengths on as many of each block; every vector is indexed.  Of each block the ``rerank``
     share and ``least`` vectors at least are reranked.
     """
     spark = table.sparkSession
     rows = usable(table, id_col, vector_col).filter("vec_id IS NOT NULL")
     asked = usable(queries, id_col, vector_col).filter("vec_id IS NOT NULL")
-    sizes = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    rows, asked = rows.withColumn("dim", F.size("vector")), asked.withColumn("dim", F.size("vector"))
+    sizes = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
-    dim = sizes[0]["dim"]
-    rows, asked = rows.filter(F.size("vector") == dim), asked.filter(F.size("vector") == dim)
-    shared = spark.sparkContext.broadcast(pivots_of(rows, pivots))  # pivots x dim: a fixed size
-    blocks = max(1, -(-sizes[0]["count"] // block))
+    usual = sizes[0]["dim"]
+    shared = spark.sparkContext.broadcast(pivots_of(rows.filter(F.col("dim") == usual), pivots))  # pivots x dim: a fixed size
+    blocks = max(1, -(-rows.count() // block))
     query_blocks = max(1, -(-asked.count() // query_block))
     seat = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     query_seat = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int")
-    left = rows.select("vec_id", "vector", seat.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    right = asked.select("vec_id", "vector", query_seat.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    left = rows.select("dim", "vec_id", "vector", seat.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
+    right = asked.select("dim", "vec_id", "vector", query_seat.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
 
     def nearest(index: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(index) and len(wanted):
             ids = index["vec_id"].to_numpy()
             vectors, asks = np.stack(index["vector"].to_list()), np.stack(wanted["vector"].to_list())
-            depth = min(prefix, len(shared.value))
-            files = InvertedFiles(nearest_pivots(vectors, shared.value, depth), len(shared.value))
+            own_kind = int(index["dim"].iloc[0]) == usual
+            points = shared.value if own_kind else chosen(vectors[np.argsort(ids, kind="stable")[: 4 * pivots]], pivots)
+            depth = min(prefix, len(points))
+            files = InvertedFiles(nearest_pivots(vectors, points, depth), len(points))
             keep = min(len(ids), max(least, 4 * k, int(rerank * len(ids))) + 1)
-            for own, ask, order in zip(wanted["vec_id"].to_numpy(), asks, nearest_pivots(asks, shared.value, depth), strict=True):
+            for own, ask, order in zip(wanted["vec_id"].to_numpy(), asks, nearest_pivots(asks, points, depth), strict=True):
                 close = files.closeness(order)
                 some = np.argpartition(-close, keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
                 some = some[ids[some] != own]
@@ -145,7 +151,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256,
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     right = right.toDF(*right.columns)  # fresh column ids: both sides may come from the same rows
-    near = right.groupBy("b", "q").cogroup(left.groupBy("b", "q")).applyInPandas(lambda wanted, index: nearest(index, wanted), "query_id long, vec_id long, score double")
+    near = right.groupBy("dim", "b", "q").cogroup(left.groupBy("dim", "b", "q")).applyInPandas(lambda wanted, index: nearest(index, wanted), "query_id long, vec_id long, score double")
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))  # k rows of each block
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

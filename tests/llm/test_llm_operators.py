@@ -477,6 +477,21 @@ def test_nearest_ties_and_odd_rows(spark):
         assert [g.vec_id for g in group] == want and all(g.score == score[g.vec_id] for g in group)
 
 
+def test_nearest_of_every_length(spark):
+    """Vectors of a less usual length are searched among themselves."""
+    rng = np.random.default_rng(21)
+    rows = [(i, rng.standard_normal(8 if i % 3 else 5).tolist()) for i in range(300)] + [(900, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    vectors = dict(rows)
+    got = _by_query(ann.search(df, df.filter("vec_id % 30 IN (0, 1)"), k=5, block=100).collect())
+    found = {q: [r.vec_id for r in sorted(group, key=lambda r: r.rank)] for q, group in got}
+    asked = [k for k in vectors if k % 30 in (0, 1) and k < 300]
+    for q in asked:
+        own = [(-float(np.dot(v, vectors[q])), k) for k, v in rows if k != q and len(v) == len(vectors[q])]
+        assert found[q] == [k for _, k in sorted(own)[:5]], q
+    assert set(found) == set(asked)
+
+
 def test_nearest_recall_of_blocks():
     """Recall of the footrule order against brute force, on one block of unrelated vectors, the hardest case."""
     rng = np.random.default_rng(2)
