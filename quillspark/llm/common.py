@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextvars import ContextVar
@@ -17,19 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    A session without it is refused, except in local mode, where one machine's folder is shared by all.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+from ..operators.storage import shared_dir
 
 
 _OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())

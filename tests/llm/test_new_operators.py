@@ -150,6 +150,22 @@ def test_collocations_of_shared_hashes_and_hot_pivots(spark, monkeypatch):
     assert got == {(p, a) for p, a in f.items() if a >= 10}
 
 
+def test_collocations_of_a_very_long_text(spark):
+    """A text of several megabytes, longer than a batch, beside short ones and a word that fills it."""
+    rng = random.Random(12)
+    long = " ".join(rng.choices(["alpha", "beta", "gamma", "the", "the", "the"], k=400_000)) + " x" * 200_000
+    rows = [(1, long, "en", None), (2, "alpha beta the", "en", None), (3, None, "en", None)]
+    got = {(r.phrase, r.a, r.l, r.r, r.n) for r in collocations.collocations(rows_of(spark, rows), overlap=1000).collect()}
+    f = collections.Counter()
+    for text in (long, "alpha beta the"):
+        words = text.split()
+        for m in (1, 2, 3):
+            f.update(zip(*[words[i:] for i in range(m)], strict=False))
+    n = sum(c for w, c in f.items() if len(w) == 1)
+    assert {(p, a, n) for p, a, _, _, n in got} == {(" ".join(w), c, n) for w, c in f.items() if len(w) > 1 and c >= 10}
+    assert ("x x", f["x", "x"], f["x",], f["x",], n) in got
+
+
 def targets_model(sizes, weights, most):
     """Exact shares: excess is dealt again, round by round."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
