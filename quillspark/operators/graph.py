@@ -208,14 +208,31 @@ def sites(colophons: DataFrame, key: str, text: str, known: Sequence[str]) -> Da
 
 
 def nearby_known(new: DataFrame, old: DataFrame, km: float = 2.0) -> DataFrame:
-    """New places that are not there: no old one of the same name within ``km`` or without coordinates, nor with the same external id."""
-    from ..functions.geo import haversine_km
+    """New places that are not there: no old one of the same name within ``km`` or without coordinates, nor with the same external id.
+
+    Each distinct name and point is compared once, with the old points of the same name in its own and the neighbouring cells of a grid of
+    ``km`` in space, so places of a frequent name do not all meet.  A straight line is no longer than the way over the sphere, so cells lose nothing.
+    """
+    from ..functions.geo import EARTH_KM, haversine_km
     from ..functions.names import plain_name
 
-    o = old.select(plain_name(F.col("name")).alias("_n"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
-    n = new.withColumn("_n", plain_name(F.col("name")))
-    near = n.join(o, "_n").filter(F.col("_lat").isNull() | F.col("_lng").isNull() | (haversine_km(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")) < km)).select("id")
-    return n.join(near, "id", "left_anti").join(old.filter("external_id IS NOT NULL").select("external_id").distinct(), "external_id", "left_anti").drop("_n")
+    point = ["_n", "_lat", "_lng"]
+    points = lambda df: df.select(plain_name(F.col("name")).alias("_n"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    n, o = new.withColumns({"_n": plain_name(F.col("name")), "_lat": F.col("lat"), "_lng": F.col("lng")}), points(old)
+    lat, lng = F.radians("_lat"), F.radians("_lng")
+    side = max(km, 1e-3) * (1 + 1e-6)
+    axes = {"_x": F.cos(lat) * F.cos(lng), "_y": F.cos(lat) * F.sin(lng), "_z": F.sin(lat)}
+    celled = lambda df: df.distinct().withColumns({c: F.floor(EARTH_KM * x / side) for c, x in axes.items()}).dropna()
+    real = F.abs("_lat") < float("inf"), F.abs("_lng") < float("inf")
+    asked = celled(points(new).filter(real[0] & real[1]))
+    known = celled(o.filter(real[0] & real[1]))
+    for c in axes:
+        known = known.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
+    known = known.select("_n", *axes, F.col("_lat").alias("_lat2"), F.col("_lng").alias("_lng2"))
+    near = asked.join(known, ["_n", *axes]).filter(haversine_km(F.col("_lat"), F.col("_lng"), F.col("_lat2"), F.col("_lng2")) < km).select(*point).distinct()
+    nowhere = o.filter(F.col("_lat").isNull() | F.col("_lng").isNull()).select("_n").distinct()
+    there = n.join(nowhere, "_n", "left_semi").select("id").union(n.join(near, point, "left_semi").select("id"))
+    return new.join(there, "id", "left_anti").join(old.filter("external_id IS NOT NULL").select("external_id").distinct(), "external_id", "left_anti")
 
 
 def degree(relations: DataFrame) -> DataFrame:

@@ -14,3 +14,21 @@ def test_a_frequent_title_is_paired_in_many_tasks(spark):
     assert sorted((r.a, r.b) for r in got) == expected
     tasks = [r.task for r in got]
     assert len(set(tasks)) > 1 and max(map(tasks.count, set(tasks))) < 0.6 * len(tasks)
+
+
+def test_places_of_a_frequent_name_do_not_all_meet(spark):
+    """Distances at the poles, over the date line and around 2 km are those of every pair; repeated points meet once."""
+    from quillspark.functions.geo import haversine_km
+    from quillspark.operators import graph
+
+    spots = [(0.0, 0.0), (0.0179, 0.0), (0.018, 0.0), (0.0127, 0.0127), (0.0128, 0.0128), (89.99, 0.0), (89.991, 170.0), (45.0, 180.0), (45.0, -179.99), (45.0, -179.97), (-0.0, 360.0), (float("nan"), 1.0), (5.0, float("inf"))]
+    kinds = "id long, name string, lat double, lng double, external_id string"
+    new = spark.createDataFrame([(i, "寺 一", *p, None) for i, p in enumerate(spots)] + [(100 + i, "寺一", 10.0, 10.0, None) for i in range(300)] + [(500, "寺一", None, 1.0, None), (501, None, 10.0, 10.0, None), (502, "寺二", 1.0, 1.0, None), (503, "寺三", 10.0, 10.0, "q"), (504, "寺三", 50.0, 50.0, None)], kinds)
+    old = spark.createDataFrame([(i, "寺一", *p, "q") for i, p in enumerate(spots) if i not in (1, 6, 8)] + [(100 + i, "寺一", 10.001, 10.0, None) for i in range(300)] + [(1, "寺二", None, 1.0, None), (2, None, 10.0, 10.0, None)], kinds)
+    plain = F.regexp_replace("name", " ", "")
+    pairs = new.select("id", plain.alias("n"), "lat", "lng").join(old.select(plain.alias("n"), F.col("lat").alias("a"), F.col("lng").alias("b")), "n")
+    near = {r.id for r in pairs.filter(F.col("a").isNull() | F.col("b").isNull() | (haversine_km(F.col("lat"), F.col("lng"), F.col("a"), F.col("b")) < 2.0)).collect()}
+    met = graph.nearby_known(new, old)
+    assert {r.id for r in met.collect()} == {r.id for r in new.collect()} - near - {503}
+    told = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "_x" in told and "_z" in told  # joined by cells, not by the name alone
