@@ -77,7 +77,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=1, max_len=2048)
+    # smaller batches than packing by itself: the workers of the stages before are still there
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=1, max_len=2048, batch_bytes=1_500_000)
 
 
 STAGES = [

@@ -39,7 +39,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int = 2
         raise ValueError("max_len must be a power of two")
 
     def run(batches):
+        give_back()
         encoder = cached_library_encoder(tokenizer_path, True)
+        give_back()  # what reading the vocabulary took
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 34
         made = np.zeros(max_len.bit_length(), np.int64)
@@ -57,7 +59,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, max_len: int = 2
             starts = before - (np.cumsum(tokens) - tokens)[row]
             columns = [batch.column("doc_id").take(pa.array(row)), pa.array(starts), pa.array(length), pa.array(tokens[row]), pa.array(sequence), pa.array(np.zeros(len(row), np.int64)), pa.array(bucket.astype(np.int32)), binary_rows(ids, length)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "bucket", "ids"])
-        give_back()
+            del ids, columns
+            give_back()  # a worker of the pipeline shares its executor with those of the stages before
 
     return documents(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 

@@ -32,3 +32,32 @@ def test_places_of_a_frequent_name_do_not_all_meet(spark):
     assert {r.id for r in met.collect()} == {r.id for r in new.collect()} - near - {503}
     told = met._jdf.queryExecution().optimizedPlan().toString()
     assert "_x" in told and "_z" in told  # joined by cells, not by the name alone
+
+
+def test_the_pipeline_packs_in_small_batches(monkeypatch):
+    """Its executors still hold the workers of the stages before."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute
+
+    import corpus_pipeline
+    from quillspark.llm import packing
+
+    class Encoder:
+        sizes: list[int] = []
+
+        def encode(self, texts):
+            lengths = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            self.sizes.append(int(lengths.sum()))
+            return np.zeros(int(lengths.sum()), np.uint32), lengths
+
+    class Frame:
+        def mapInArrow(self, function, schema):
+            return function
+
+    monkeypatch.setattr(packing, "documents", lambda *_: Frame())
+    monkeypatch.setattr(packing, "cached_library_encoder", lambda *_: Encoder())
+    docs = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(["x" * 10_000] * 1000)], names=["doc_id", "text"])
+    made = list(corpus_pipeline.pack(None, None, "")(iter([docs])))
+    assert sum(Encoder.sizes) == 10_000_000 and max(Encoder.sizes) <= 2_000_000
+    assert sum(pa.compute.sum(b.column("length")).as_py() for b in made) == 10_001_000
