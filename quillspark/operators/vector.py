@@ -63,16 +63,21 @@ def similar_passages(chunks: DataFrame, vector: str, text: str, chunk: str, of_t
     return best.orderBy(F.desc("score"), text).limit(n)
 
 
-def nearest_of_blocks(source: DataFrame, target: DataFrame, pair: str, key: str, vector: str, k: int, least: float, block: int = 1024, digits: int = 9) -> DataFrame:
+def nearest_of_blocks(source: DataFrame, target: DataFrame, pair: str, key: str, vector: str, k: int, least: float, block: int = 1024, digits: int = 9, held: int = 4_000_000) -> DataFrame:
     """(pair, a, b, score): for each source row the ``k`` nearest target rows of its pair with a cosine of ``least`` or more.
 
-    Both sides of a pair are dealt to blocks of about ``block`` rows, each two blocks meet in a task of their own, where a matrix product
-    leaves ``k`` rows for each source row; what is left is merged.  No task holds a whole pair.  Scores are rounded to ``digits``, ties
-    go to the smaller key.  Vectors that are null, not finite or zero are near nothing, and those of another length not compared.
+    Both sides of a pair are dealt to blocks of about ``held`` vector components (32 MB in double precision) and at least ``block`` rows, the source
+    to four at least if it has them; each two blocks meet in a task of their own, where matrix products of ``block`` source rows leave ``k``
+    rows for each; what is left is merged.  No task holds a whole pair, and a side is sent once for each block of the other, so as long
+    as a pair's target fits a block what is sent grows with the rows.  Scores are rounded to ``digits``, ties go to the smaller key.
+    Vectors that are null, not finite or zero are near nothing, and those of another length not compared.
     """
     keys = [pair, "_d"]
-    sides = {s: df.select(pair, F.col(key).alias(s), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("_d")).filter("_d > 0") for s, df in (("a", source), ("b", target))}
-    sizes = {s: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n")) for s, df in sides.items()}
+    real = lambda df: F.col(vector) if dict(df.dtypes)[vector] in ("array<float>", "array<double>") else F.col(vector).cast("array<double>")
+    sides = {s: df.select(pair, F.col(key).alias(s), real(df).alias("v"), F.size(vector).alias("_d")).filter("_d > 0") for s, df in (("a", source), ("b", target))}
+    rows, most = F.count(F.lit(1)), F.greatest(F.lit(block), F.floor(F.lit(held) / F.col("_d")))
+    count = {"a": F.greatest(F.ceil(rows / most), F.least(F.lit(4), F.ceil(rows / block))), "b": F.ceil(rows / most)}
+    sizes = {s: df.groupBy(*keys).agg(count[s].cast("int").alias("_n")) for s, df in sides.items()}
     dealt = {}
     for s, other in (("a", "b"), ("b", "a")):
         own = sides[s].join(sizes[s], keys).withColumn(f"_{s}", F.pmod(F.xxhash64(s), F.col("_n"))).drop("_n").join(sizes[other], keys)
@@ -89,18 +94,29 @@ def nearest_of_blocks(source: DataFrame, target: DataFrame, pair: str, key: str,
 
     schema = f"{pair} {dict(source.dtypes)[pair]}, a {dict(source.dtypes)[key]}, b {dict(target.dtypes)[key]}, score double"
 
+    def near_rows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column, score) of the first ``k`` columns of each row, from tiles of the product."""
+        found = []
+        for at in range(0, len(y), 4096):
+            score = np.round(x @ y[at : at + 4096].T, digits)
+            good = score >= least
+            if score.shape[1] > k:
+                good &= score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+            row, column = np.nonzero(good)
+            found.append((row, column + at, score[row, column]))
+        row, column, value = (np.concatenate(f) for f in zip(*found, strict=True))
+        order = np.lexsort((column, -value, row))
+        row, column, value = row[order], column[order], value[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[first], column[first], value[first]
+
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         (a, x), (b, y) = matrix(left, "a"), matrix(right, "b")
-        if len(a) and len(b):
-            score = np.round(x @ y.T, digits)
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            row = np.repeat(np.arange(len(a)), best.shape[1])
-            column, value = best.reshape(-1), np.take_along_axis(score, best, axis=1).reshape(-1)
-            near = value >= least
-            row, column, value = row[near], column[near], value[near]
-        else:
-            row = column = np.zeros(0, np.int64)
-            value = np.zeros(0)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(a) if len(b) else 0, block):
+            row, column, value = near_rows(x[at : at + block], y)
+            found.append((row + at, column, value))
+        row, column, value = (np.concatenate(f) for f in zip(*found, strict=True))
         return pa.table({pair: a.column(pair).take(pa.array(row)), "a": a.column("a").take(pa.array(row)), "b": b.column("b").take(pa.array(column)), "score": value})
 
     blocks = [*keys, "_a", "_b"]

@@ -61,3 +61,31 @@ def test_the_pipeline_packs_in_small_batches(monkeypatch):
     made = list(corpus_pipeline.pack(None, None, "")(iter([docs])))
     assert sum(Encoder.sizes) == 10_000_000 and max(Encoder.sizes) <= 2_000_000
     assert sum(pa.compute.sum(b.column("length")).as_py() for b in made) == 10_001_000
+
+
+def test_alignment_sends_a_target_once_for_a_few_blocks(spark):
+    """Rows sent do not grow with the square of a pair, ties over tiles go to the smaller key, and blocks of a long pair are merged."""
+    from quillspark.operators import vector
+
+    plain = [(1, i, [1.0, float(i % 7), float(i % 3)]) for i in range(900)]
+    rows, others = (spark.createDataFrame(plain, "pair int, k long, v array<float>") for _ in range(2))
+    got = {}
+    for held in (4_000_000, 300):
+        got[held] = sorted(map(tuple, vector.nearest_of_blocks(rows, others, "pair", "k", "v", 4, 0.1, block=50, held=held).collect()))
+    alike = [[j for j in range(900) if j % 21 == i % 21][:4] for i in range(900)]
+    assert got[300] == got[4_000_000] == [(1, i, j, 1.0) for i in range(900) for j in alike[i]]
+    near = vector.nearest_of_blocks(rows, others, "pair", "k", "v", 4, 0.1, block=50)
+    near.collect()
+    plan = near._jdf.queryExecution().executedPlan()
+    cogroup = next(p for p in _nodes(plan) if "CoGroup" in p.nodeName())
+    sent = [p.metrics().apply("shuffleRecordsWritten").value() for side in (0, 1) for p in _nodes(cogroup.children().apply(side)) if p.nodeName() == "Exchange"]
+    assert 0 < sum(sent) <= 900 + 4 * 900 + 8 * 900  # the sides, and what their joins with the sizes may send
+
+
+def _nodes(plan):
+    """The plan's nodes, through what adaptive execution wraps."""
+    yield plan
+    name = plan.nodeName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else [plan.children().apply(i) for i in range(plan.children().size())]
+    for p in inner:
+        yield from _nodes(p)
