@@ -19,6 +19,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +65,29 @@ def buckets_of(terms: Iterable[str], n: int) -> list[int]:
     return sorted({zlib.crc32(t.encode()) % n for t in terms})
 
 
+def _places(batches: Iterable[pa.RecordBatch], most: int = 500_000) -> Iterable[pa.RecordBatch]:
+    """Each row's distinct terms with their positions, from 0; about ``most`` terms at a time.  A null term has no posting."""
+    for whole in batches:
+        ends = np.cumsum(whole.column("length").to_numpy().astype(np.int64))
+        start = 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            batch, start = whole.slice(start, stop - start), stop
+            sizes = batch.column("length").to_numpy().astype(np.int64)
+            coded = batch.column("terms").flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+            order = np.lexsort((code, row))
+            order = order[code[order] >= 0]
+            row, code = row[order], code[order]
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))[: len(row)])
+            own = pa.array(row[first])
+            positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(at[order].astype(np.int32)))
+            columns = [*(batch.column(c).take(own) for c in ("key", "field", "length")), coded.dictionary.take(pa.array(code[first])), positions]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "field", "length", "term", "positions"])
+
+
 def write_index(docs: DataFrame, key: str, fields: dict[str, Column], path: str, buckets: int = 16, span: int = 1024, fuzzy: bool = True, group_bytes: int = 8 << 20) -> None:
     """Write the index of ``docs`` under ``path``.  ``fields`` are columns of term arrays; ``key`` is a whole number, one row each.
 
@@ -73,12 +99,14 @@ def write_index(docs: DataFrame, key: str, fields: dict[str, Column], path: str,
     lists = lists.select("key", "f.field", "f.terms", F.size("f.terms").alias("length")).filter("length > 0")
     lists.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).withColumns({"buckets": F.lit(buckets), "span": F.lit(span)}).coalesce(1).write.parquet(f"{path}/totals")
     means = F.broadcast(spark.read.parquet(f"{path}/totals").select("field", "mean"))  # one row for each field
-    places = lists.select("key", "field", "length", F.posexplode("terms").alias("at", "term")).groupBy("key", "field", "length", "term").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    rows = places.withColumn("tf", F.size("positions")).join(means, "field")
+    # a row's terms are grouped where the row is, so each posting is sent once, without what follows from its columns
+    places = lists.mapInArrow(_places, "key long, field string, length int, term string, positions array<int>").withColumn("bucket", _bucket(buckets, "term"))
+    by = ["bucket", "term", "field", "key"]  # in the order of blocks too
+    rows = places.repartitionByRange(*by).sortWithinPartitions(*by).join(means, "field").withColumn("tf", F.size("positions"))
     rows = rows.withColumn("impact", F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))))
-    rows = rows.select(_bucket(buckets, "term").alias("bucket"), "field", "term", F.floor(F.col("key") / span).alias("block"), "key", "tf", "length", "positions", "impact")
+    rows = rows.select("bucket", "field", "term", F.floor(F.col("key") / span).alias("block"), "key", "tf", "length", "positions", "impact")
+    rows.write.option("parquet.block.size", group_bytes).partitionBy("bucket").parquet(f"{path}/postings")
     order = ["bucket", "term", "field", "block"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order, "key").write.option("parquet.block.size", group_bytes).partitionBy("bucket").parquet(f"{path}/postings")
     written = opened(spark, path, "postings")
     tops = written.groupBy(*order).agg(F.max("impact").alias("top"), F.count(F.lit(1)).alias("n"))
     tops.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/blocks")

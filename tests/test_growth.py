@@ -89,3 +89,17 @@ def _nodes(plan):
     inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else [plan.children().apply(i) for i in range(plan.children().size())]
     for p in inner:
         yield from _nodes(p)
+
+
+def test_postings_are_grouped_within_their_row():
+    """No row of a term is sent alone: whatever the size of a batch, a row's term comes once, with all its places."""
+    import pyarrow as pa
+
+    from quillspark.operators import index
+
+    lists = [["b", "a", "b", None], ["é"], ["a"] * 5, ["b", "b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 8, 9]), pa.array(["t", "t", "u", "t"]), pa.array(lists, pa.list_(pa.string())), pa.array(list(map(len, lists)), pa.int32())], names=["key", "field", "terms", "length"])
+    expected = [(7, "t", 4, "a", [1]), (7, "t", 4, "b", [0, 2]), (8, "t", 1, "é", [0]), (8, "u", 5, "a", [0, 1, 2, 3, 4]), (9, "t", 2, "b", [0, 1])]
+    for most in (1, 3, 100):
+        got = [tuple(r.values()) for b in index._places(iter([batch, batch.slice(0, 0)]), most) for r in b.to_pylist()]
+        assert sorted(got) == expected
