@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import first_per_key, running_total, turns
+from .ranking import first_per_key, turns
+from .storage import stored
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], keep_old_if_null: Sequence[str] = (), order: Sequence[Column | str] | None = None) -> DataFrame:
@@ -45,9 +46,21 @@ def latest(log: DataFrame, key: Sequence[str], time: str, tie: str) -> DataFrame
     return log.groupBy(*key).agg(row).select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def with_dense_ids(df: DataFrame, order: str, name: str, start: int = 1) -> DataFrame:
-    """Consecutive ids by a unique key, counted by key range so that no task sees all rows."""
-    return running_total(df, [order], F.lit(1), name).withColumn(name, F.col(name) - 1 + start)
+def with_dense_ids(df: DataFrame, order: str, name: str, start: int = 1, part_bytes: int = 64 << 20) -> DataFrame:
+    """Consecutive ids by a unique key, counted by key range so that no task sees all rows.
+
+    Rows are sent and sorted once, in parts of about ``part_bytes`` as they lie in memory (compressed, wide rows tell little of it),
+    and numbered as they are written; what is broadcast is a row for each part.
+    """
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = df.select(F.sum(sum(wide, F.lit(16 * len(df.columns)))).alias("bytes")).first().bytes or 0  # one row
+    parts = min(int(size // part_bytes) + df.sparkSession.sparkContext.defaultParallelism, 100_000)
+    numbered = df.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("_m", F.monotonically_increasing_id())
+    numbered = stored(numbered, "parts").withColumn("_p", F.shiftright("_m", 33))
+    counts = numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    base = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_base"))
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.join(F.broadcast(base), "_p").withColumn(name, F.col("_base") + place + start).drop("_p", "_m", "_base")
 
 
 def numbered_ids(df: DataFrame, base: Column, order: Sequence[str], name: str = "external_id") -> DataFrame:

@@ -103,3 +103,11 @@ def test_postings_are_grouped_within_their_row():
     for most in (1, 3, 100):
         got = [tuple(r.values()) for b in index._places(iter([batch, batch.slice(0, 0)]), most) for r in b.to_pylist()]
         assert sorted(got) == expected
+
+
+def test_wide_rows_are_numbered_in_parts_of_their_real_size(spark):
+    """Rows that compress to nothing are many parts all the same, and are sorted once, not again for a window."""
+    rows = spark.range(3000).select((F.col("id") * 7 % 3000).alias("k"), F.repeat(F.lit("x"), 1000).alias("wide"))
+    out = etl.with_dense_ids(rows, "k", "n", part_bytes=100_000)
+    assert sorted((r.k, r.n) for r in out.select("k", "n").collect()) == [(k, k + 1) for k in range(3000)]
+    assert len(out.inputFiles()) > 20
