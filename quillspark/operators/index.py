@@ -6,8 +6,9 @@
   of term and block, so that a query's filters skip files and row groups.  A block is a range of ``span`` keys.
 - ``blocks``: for each field, term and block the largest impact (what a posting adds to a score, but for the
   weight of the term) and the number of postings.
-- ``deletions``: what is left of each term's first characters without up to two of them; terms within
-  two edits share one with the query's word, so fuzzy words are found without a pass over all terms.
+- ``deletions``: what is left of terms' starts (their first characters) without up to two of these; terms within two edits
+  share one with the query's word.  Each start counts once, however many terms have it.
+- ``terms``: the terms in folders by a hash of their start, so fuzzy words are found without a pass over all of them.
 - ``totals``: one row for each field.
 
 A search adds up the maxima of each block first, scores the most promising blocks, and then reads only those
@@ -31,9 +32,9 @@ from .search import B, K1, edits_allowed
 TABLES = {
     "postings": "field string, term string, block long, key long, tf int, length int, positions array<int>, impact double, bucket int",
     "blocks": "term string, field string, block long, top double, n long, bucket int",
-    "deletions": "term string, left string, bucket int",
-    "words": "term string, n long, bucket int",
-    "pairs": "first string, term string, n long, bucket int",
+    "deletions": "start string, left string, bucket int",
+    "terms": "term string, bucket int",
+    "counts": "first string, term string, n long, words boolean, bucket int",
 }
 
 #: Above so many values a filter is a join.
@@ -56,8 +57,29 @@ def opened(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(f"{path}/{table}")
 
 
-def _bucket(n: int, term: str) -> Column:
-    return F.pmod(F.crc32(F.col(term).cast("binary")), F.lit(n)).cast("int")
+def _bucket(n: int, term: str | Column) -> Column:
+    return F.pmod(F.crc32((F.col(term) if isinstance(term, str) else term).cast("binary")), F.lit(n)).cast("int")
+
+
+def start_of(term: str | Column) -> Column:
+    return F.substring(term, 1, PREFIX)
+
+
+def dealt(rows: DataFrame, buckets: int, *turn: str) -> DataFrame:
+    """The rows with those of a folder ("bucket") dealt by a hash of ``turn`` to as many tasks as it takes; the extra column is ``_turn``.
+
+    Rows that are equal in bucket and turn's columns meet, so they need no other shuffle, and no sample is taken of them first.
+    """
+    turns = -(-2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets)
+    return rows.withColumn("_turn", F.pmod(F.xxhash64(*turn), F.lit(turns))).repartition("bucket", "_turn")
+
+
+def write_deletions(terms: DataFrame, path: str, buckets: int) -> None:
+    """The deletions of the starts of the terms, each start once."""
+    n = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = terms.select(start_of("term").alias("start")).repartition(n, "start").distinct()  # few bytes, but much work: not drawn together
+    left = starts.select("start", F.explode(deletions(F.col("start"))).alias("left")).withColumn("bucket", _bucket(buckets, "left"))
+    dealt(left, buckets, "left").drop("_turn").sortWithinPartitions("bucket", "left").write.partitionBy("bucket").parquet(f"{path}/deletions")
 
 
 def buckets_of(terms: Iterable[str], n: int) -> list[int]:
@@ -111,18 +133,27 @@ def write_index(docs: DataFrame, key: str, fields: dict[str, Column], path: str,
     tops = written.groupBy(*order).agg(F.max("impact").alias("top"), F.count(F.lit(1)).alias("n"))
     tops.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/blocks")
     if fuzzy:
-        terms = opened(spark, path, "blocks").select("term").distinct()
-        left = terms.select("term", F.explode(deletions(F.col("term"))).alias("left")).withColumn("bucket", _bucket(buckets, "left"))
-        left.repartitionByRange("bucket", "left").sortWithinPartitions("bucket", "left").write.partitionBy("bucket").parquet(f"{path}/deletions")
+        terms = opened(spark, path, "blocks").select("term").distinct().withColumn("bucket", _bucket(buckets, start_of("term")))
+        dealt(terms, buckets, "term").drop("_turn").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+        write_deletions(opened(spark, path, "terms"), path, buckets)
 
 
-def fuzzy_terms(spark: SparkSession, path: str, words: Sequence[str], buckets: int, forgives: Callable[[str], int] = edits_allowed) -> DataFrame:
-    """(slot, term): the index's terms within the edits that each word forgives (two at most), the word itself among them if it is a term."""
+def fuzzy_terms(spark: SparkSession, path: str, words: Sequence[str], buckets: int, terms: DataFrame, forgives: Callable[[str], int] = edits_allowed) -> DataFrame:
+    """(slot, word) with the columns of those ``terms`` (one row a term, in folders by its start) within the edits that each word forgives
+    (two at most), the word itself among them if it is a term."""
     asked = spark.createDataFrame([(i, w, forgives(w)) for i, w in enumerate(words)], "slot int, word string, edits int")
     left = asked.select("slot", "word", "edits", F.explode(deletions(F.col("word"))).alias("left"))
     few = [r[0] for r in left.select("left").distinct().collect()]  # as many as the words of a query have
     known = opened(spark, path, "deletions").filter(F.col("bucket").isin(buckets_of(few, buckets)) & F.col("left").isin(few))
-    return known.join(F.broadcast(left), "left").select("slot", "word", "edits", "term").distinct().filter(F.levenshtein("term", "word") <= F.col("edits")).select("slot", "term")
+    starts = known.join(F.broadcast(left), "left").select("slot", "word", "edits", "start").distinct()
+    starts = starts.filter((F.length("start") == PREFIX) | (F.levenshtein("start", "word") <= F.col("edits")))  # a shorter start is the term
+    some = starts.limit(LISTED + 1).collect()
+    if len(some) <= LISTED:
+        listed = sorted({r.start for r in some})
+        starts = F.broadcast(spark.createDataFrame([tuple(r) for r in some], starts.schema))
+        terms = terms.filter(F.col("bucket").isin(buckets_of(listed, buckets)) & start_of("term").isin(listed))
+    met = terms.withColumn("start", start_of("term")).join(starts, "start").filter(F.levenshtein("term", "word") <= F.col("edits"))
+    return met.drop("start", "edits", "bucket")
 
 
 def _of_terms(rows: DataFrame, wanted: DataFrame, listed: dict[str, list[int]] | None, buckets: int) -> DataFrame:
@@ -150,7 +181,7 @@ def search_index(
     if not words or not totals:
         return none
     buckets, span = next((r.buckets, r.span) for r in totals.values())
-    wanted = fuzzy_terms(spark, path, words, buckets) if fuzzy else spark.createDataFrame(list(enumerate(words)), "slot int, term string")
+    wanted = fuzzy_terms(spark, path, words, buckets, opened(spark, path, "terms")).select("slot", "term") if fuzzy else spark.createDataFrame(list(enumerate(words)), "slot int, term string")
     some = wanted.limit(LISTED + 1).collect()
     listed: dict[str, list[int]] | None = {} if len(some) <= LISTED else None
     for r in some if listed is not None else ():

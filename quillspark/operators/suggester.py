@@ -4,30 +4,72 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .index import _bucket, buckets_of, deletions, fuzzy_terms, opened
+from .index import PREFIX, _bucket, buckets_of, dealt, fuzzy_terms, opened, start_of, write_deletions
+
+
+def _tallies(batches: Iterable[pa.RecordBatch], most: int = 1 << 22, rows: int = 1 << 16) -> Iterable[pa.RecordBatch]:
+    """(first, term, n): how often each word (first: null) and each pair of words in a row occurs in every run of lists with about ``most`` words."""
+
+    def told(lists: list[pa.Array]) -> Iterable[pa.RecordBatch]:
+        whole = pa.concat_arrays(lists)
+        coded = whole.flatten().dictionary_encode()
+        terms = coded.dictionary
+        code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        n = np.bincount(code[code >= 0], minlength=len(terms))
+        both = (code[:-1] >= 0) & (code[1:] >= 0)
+        ends = np.cumsum(pc.list_value_length(whole).to_numpy(zero_copy_only=False).astype(np.int64))
+        both[ends[(ends > 0) & (ends < len(code))] - 1] = False  # a list's last word and the next one's first
+        pair, m = np.unique((code[:-1] * len(terms) + code[1:])[both], return_counts=True)
+        words = pa.RecordBatch.from_arrays([pa.nulls(len(terms), pa.string()), terms, pa.array(n, pa.int64())], names=["first", "term", "n"])
+        pairs = [terms.take(pa.array(pair // max(len(terms), 1))), terms.take(pa.array(pair % max(len(terms), 1))), pa.array(m, pa.int64())]
+        for out in (words, pa.RecordBatch.from_arrays(pairs, names=["first", "term", "n"])):
+            yield from (out.slice(i, rows) for i in range(0, len(out), rows))
+
+    held: list[pa.Array] = []
+    size = 0
+    for batch in batches:
+        column = batch.column(0)
+        ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(ends):
+            base = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, base + most - size, "right")))
+            held.append(column.slice(start, stop - start))
+            size, start = size + int(ends[stop - 1] - base), stop
+            if size >= most or start < len(ends):
+                yield from told(held)
+                held, size = [], 0
+    if held:
+        yield from told(held)
 
 
 def write_phrase_model(docs: DataFrame, terms: Column, path: str, buckets: int = 16) -> None:
     """Counts of words and of pairs of words in a row, and the words' deletions, in folders by a hash.
 
-    Null and empty arrays count for nothing.  All counts are combined before they are shuffled.
+    Null and empty arrays count for nothing, nor does a null word, which parts its neighbours.  The texts are read once: words and pairs
+    are counted where their texts are, and the counts are shuffled once, dealt to the folders they are written to.
     """
     spark = docs.sparkSession
-    lists = docs.select(terms.alias("w")).filter(F.size("w") > 0)
-    words = lists.select(F.explode("w").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", _bucket(buckets, "term"))
-    words.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/words")
-    words = opened(spark, path, "words")
+    counted = docs.select(terms.alias("w")).filter(F.size("w") > 0).mapInArrow(_tallies, "first string, term string, n long")
+    by = ["words", "bucket", "first", "term"]
+    counted = counted.withColumns({"words": F.col("first").isNull(), "bucket": _bucket(buckets, start_of(F.coalesce("first", "term")))})
+    summed = dealt(counted, buckets, "term").groupBy("_turn", *by).agg(F.sum("n").alias("n")).drop("_turn")
+    summed.sortWithinPartitions(*by).write.partitionBy("words", "bucket").parquet(f"{path}/counts")
+    words = _counts(spark, path, True)
     words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/totals")
-    couples = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("first"), F.element_at("w", i + 1).alias("term")))
-    pairs = lists.filter(F.size("w") > 1).select(F.explode(couples).alias("p")).groupBy("p.first", "p.term").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", _bucket(buckets, "first"))
-    pairs.repartitionByRange("bucket", "first", "term").sortWithinPartitions("bucket", "first", "term").write.partitionBy("bucket").parquet(f"{path}/pairs")
-    left = words.select("term", F.explode(deletions(F.col("term"))).alias("left")).withColumn("bucket", _bucket(buckets, "left"))
-    left.repartitionByRange("bucket", "left").sortWithinPartitions("bucket", "left").write.partitionBy("bucket").parquet(f"{path}/deletions")
+    write_deletions(words, path, buckets)
+
+
+def _counts(spark: SparkSession, path: str, words: bool) -> DataFrame:
+    return opened(spark, path, "counts").filter(F.col("words") if words else ~F.col("words")).drop("words")
 
 
 def spelling_edits(word: str) -> int:
@@ -47,13 +89,12 @@ def phrase_suggestions(spark: SparkSession, path: str, query: Sequence[str], siz
     if not query or not totals.total:
         return spark.createDataFrame([], "suggestion string, score double")
     words = list(dict.fromkeys(query))
-    folders = lambda values: F.col("bucket").isin(buckets_of(values, totals.buckets))
-    found = fuzzy_terms(spark, path, words, totals.buckets, spelling_edits)
-    asked = spark.createDataFrame(list(enumerate(words)), "slot int, word string")
-    near = found.join(F.broadcast(asked), "slot").filter((F.col("term") != F.col("word")) & (F.substring("term", 1, 1) == F.substring("word", 1, 1))).withColumn("distance", F.levenshtein("term", "word"))
-    counts = opened(spark, path, "words").select("term", "n")
-    own = opened(spark, path, "words").filter(folders(words) & F.col("term").isin(words)).select(F.col("term").alias("word"), F.col("n").alias("own"))
-    near = near.join(counts, "term").join(F.broadcast(own), "word", "left").filter(F.col("n") > F.coalesce("own", F.lit(0)))  # own: the query's words
+    folders = lambda values: F.col("bucket").isin(buckets_of({v[:PREFIX] for v in values}, totals.buckets))
+    counts = _counts(spark, path, True).drop("first")
+    found = fuzzy_terms(spark, path, words, totals.buckets, counts, spelling_edits)
+    near = found.filter((F.col("term") != F.col("word")) & (F.substring("term", 1, 1) == F.substring("word", 1, 1))).withColumn("distance", F.levenshtein("term", "word"))
+    own = counts.filter(folders(words) & F.col("term").isin(words)).select(F.col("term").alias("word"), F.col("n").alias("own"))
+    near = near.join(F.broadcast(own), "word", "left").filter(F.col("n") > F.coalesce("own", F.lit(0)))  # own: the query's words
     nth = F.row_number().over(Window.partitionBy("slot").orderBy("distance", F.desc("n"), "term"))
     options: dict[str, list[tuple[str, float]]] = {w: [] for w in words}
     for r in near.withColumn("nth", nth).filter(F.col("nth") <= candidates).collect():  # candidates for each word of the query
@@ -69,8 +110,8 @@ def phrase_suggestions(spark: SparkSession, path: str, query: Sequence[str], siz
     tried = spark.createDataFrame(rows, "id int, term string, first string, channel double, suggestion string")
     used, before = sorted({r[1] for r in rows}), sorted({r[2] for r in rows if r[2] is not None})
     # what the variants are made of: read by folder and word, then small
-    single = opened(spark, path, "words").filter(folders(used) & F.col("term").isin(used)).select("term", "n")
-    pairs = opened(spark, path, "pairs").filter(folders(before) & F.col("first").isin(before) & F.col("term").isin(used)).select("first", "term", F.col("n").alias("both"))
+    single = counts.filter(folders(used) & F.col("term").isin(used)).select("term", "n")
+    pairs = _counts(spark, path, False).filter(folders(before) & F.col("first").isin(before) & F.col("term").isin(used)).select("first", "term", F.col("n").alias("both"))
     prior = single.select(F.col("term").alias("first"), F.col("n").alias("n_first"))
     met = tried.join(single, "term", "left").join(pairs, ["first", "term"], "left").join(prior, "first", "left")
     alone = F.coalesce(F.col("n").cast("double"), F.lit(unseen)) / F.lit(float(totals.total))

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,34 @@ def test_phrase_suggestions(spark, tmp_path):
     assert best("lotsu haert", errors=2) == ["lotus heart"] and "lotus heart" not in best("lotsu haert", size=9)
 
 
+def test_phrase_model_reads_texts_once(spark, tmp_path):
+    """Each list is made once; counts hold across runs of lists; words that begin alike share their deletions."""
+    rng = random.Random(3)
+    lists = [[rng.choice(["common" + c for c in "abcdefgh"] + ["commona" + "x" * i for i in range(9)] + ["of", "é"]) for _ in range(rng.randint(1, 9))] for _ in range(300)] + [["of", None, "é"], [None], [], None]
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(w):
+        made.add(1)
+        return w
+
+    df = spark.createDataFrame([(w,) for w in lists], "w array<string>")
+    suggester.write_phrase_model(df, F.udf(seen, "array<string>")("w"), f"{tmp_path}/m", buckets=4)
+    assert made.value <= 2 * len(lists)  # the filter and the list itself
+    words = collections.Counter(x for w in lists for x in w or [] if x)
+    pairs = collections.Counter(p for w in lists for p in zip(w or [], (w or [])[1:]) if all(p))
+    rows = spark.read.parquet(f"{tmp_path}/m/counts").collect()
+    assert collections.Counter({r.term: r.n for r in rows if r.first is None}) == words and collections.Counter({(r.first, r.term): r.n for r in rows if r.first is not None}) == pairs
+    assert len(rows) == len(words) + len(pairs) and spark.read.parquet(f"{tmp_path}/m/totals").first().total == sum(words.values())
+    left = spark.read.parquet(f"{tmp_path}/m/deletions").groupBy("start", "left").count()
+    assert left.filter("count > 1").count() == 0 and {r.start for r in left.collect()} == {w[:7] for w in words}
+    batch = pa.RecordBatch.from_pydict({"w": pa.array([w or [] for w in lists], pa.list_(pa.string()))})
+    runs = list(suggester._tallies(iter([batch.slice(0, 100), batch.slice(100)]), most=20, rows=7))
+    got = collections.Counter()
+    for r in (r for b in runs for r in b.to_pylist()):
+        got[r["first"], r["term"]] += r["n"]
+    assert got == collections.Counter({(None, w): n for w, n in words.items()} | dict(pairs)) and max(len(b) for b in runs) <= 7
+
+
 def test_completions_read_a_range(spark, tmp_path):
     values = [f"{a} {b} {i}" for a in ("Lotus", "heart", "great") for b in ("Sutra", "of path", "the-Way") for i in range(60)] + ["...", "", "élan vital"]
     df = spark.createDataFrame([(v, "x") for v in values] + [(None, None)], "a string, b string").repartition(4)
