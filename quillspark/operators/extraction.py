@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: So many rows go to one task of the last grouping, on average.
+ROWS = 500_000
+
 
 def _given(x: Column | str) -> Column:
     return F.nullif(F.trim(F.col(x) if isinstance(x, str) else x), F.lit(""))
@@ -76,6 +84,35 @@ def enriched_texts(known: DataFrame, texts: DataFrame, identifiers: DataFrame, s
     return out.select("text", *names, "properties", "external_ids", change.alias("change"))
 
 
+def _earliest(keys: Sequence[str], order: str, most: int = 1 << 18) -> Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]:
+    """Of each run of about ``most`` rows those that are first by ``order`` (null before all) of their keys; all of them, if several are."""
+
+    def told(held: list[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        code = np.zeros(len(whole), np.int64)
+        for c in keys:
+            coded = whole.column(c).combine_chunks().dictionary_encode("encode")
+            code = code * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+        rank = pc.rank(whole.column(order), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False).astype(np.int64)
+        by = np.lexsort((rank, code))
+        new = np.append(True, code[by][1:] != code[by][:-1])
+        least = rank[by][np.flatnonzero(new)][np.cumsum(new) - 1]
+        keep = np.sort(by[rank[by] == least])
+        yield from held if len(keep) == len(whole) else whole.take(pa.array(keep)).to_batches(max_chunksize=1 << 16)
+
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held += [batch] if len(batch) else []
+            if sum(map(len, held)) >= most:
+                yield from told(held)
+                held = []
+        if held:
+            yield from told(held)
+
+    return kept
+
+
 def synced_relations(table: DataFrame, key: str, left: str, right: str, kind: str, confidence: str, entity_of: DataFrame, predicates: dict[str, tuple[str, float, str]]) -> DataFrame:
     """(subject, predicate, object, confidence, source) from a relation table between texts.
 
@@ -83,11 +120,20 @@ def synced_relations(table: DataFrame, key: str, left: str, right: str, kind: st
     that ``predicates`` (kind: predicate, confidence and source) does not rename.  No confidence, or 0, becomes the
     predicate's own.  Of equal triples the first by ``key`` stays, whatever its confidence.
     """
-    named = lambda i: F.create_map(*[F.lit(x) for k, p in predicates.items() for x in (k, p[i])])[F.col(kind)]
-    sure = F.coalesce(F.nullif(F.col(confidence).cast("double"), F.lit(0.0)), named(1))
-    rows = table.filter(F.col(kind).isin(list(predicates))).select(F.col(key).alias("_k"), F.col(left).alias("_l"), F.col(right).alias("_r"), named(0).alias("predicate"), sure.alias("confidence"), named(2).alias("source"))
-    first = F.min(F.struct("_k", "confidence", "source")).alias("_f")
-    rows = rows.groupBy("_l", "_r", "predicate").agg(first)  # before the joins, which then meet fewer rows
+    names, sources = (sorted({p[i] for p in predicates.values()}) for i in (0, 2))  # in the order of the strings
+    if not predicates:
+        return table.sparkSession.createDataFrame([], "subject string, predicate string, object string, confidence double, source string")
+    of = lambda value: F.create_map(*[F.lit(x) for k, p in predicates.items() for x in (k, value(p))])[F.col(kind)]
+    sure = F.coalesce(F.nullif(F.col(confidence).cast("double"), F.lit(0.0)), of(lambda p: float(p[1])))
+    known = table.filter(F.col(kind).isin(list(predicates)))
+    rows = known.select(F.col(key).alias("_k"), F.col(left).alias("_l"), F.col(right).alias("_r"), of(lambda p: names.index(p[0])).alias("_p"), sure.alias("confidence"), of(lambda p: sources.index(p[2])).alias("_s"))
+    # An aggregate would sort all rows of a task of the scan, as its buffer is a struct; runs of bounded length meet instead, so a repeated
+    # triple is sent once for each run, and what one task groups is set by the number of rows.
+    first = lambda df, *by: df.mapInArrow(_earliest(by, "_k"), df.schema)
     ends = lambda at, name: entity_of.select(F.col("text").alias(at), F.col("entity").alias(name))
-    joined = rows.join(ends("_l", "subject"), "_l").join(ends("_r", "object"), "_r").groupBy("subject", "predicate", "object").agg(F.min("_f").alias("_f"))
-    return joined.select("subject", "predicate", "object", "_f.confidence", "_f.source")
+    joined = first(rows, "_l", "_r", "_p").join(ends("_l", "subject"), "_l").join(ends("_r", "object"), "_r").drop("_l", "_r")
+    parts = max(1, -(-table.count() // ROWS))
+    met = first(joined, "subject", "object", "_p").repartition(parts, "subject", "object", "_p")
+    out = met.groupBy("subject", "object", "_p").agg(F.min(F.struct("_k", "confidence", "_s")).alias("_f"))
+    word = lambda values, at: F.element_at(F.array(*map(F.lit, values)), F.col(at) + 1)
+    return out.select("subject", word(names, "_p").alias("predicate"), "object", "_f.confidence", word(sources, "_f._s").alias("source"))

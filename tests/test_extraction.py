@@ -1,5 +1,9 @@
 """Entities and relations taken out of catalog rows."""
 
+import random
+
+import pyarrow as pa
+
 from quillspark.operators import extraction
 
 
@@ -28,6 +32,31 @@ def test_extraction_at_the_edges(spark):
     assert empty.count() == 0
 
 
+def test_relations_are_met_in_bounded_runs(spark):
+    """Repeated triples, ties of the key, keys that are null and texts of one entity; nothing is sorted where the table is read."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5]), rng.randint(0, 5), rng.randint(0, 5), rng.choice("abcx"), rng.choice([None, 0.0, 0.2, 0.7])) for _ in range(3000)] + [(1, None, 1, "a", 0.1)]
+    table = spark.createDataFrame(rows, "id int, a int, b int, k string, c double").repartition(3)
+    of = spark.createDataFrame([(i, f"e{i % 4}") for i in range(5)], "text int, entity string")
+    kinds = {"a": ("one", 0.9, "z"), "b": ("one", 0.8, "y"), "c": ("two", 0.5, "x")}
+    expected = {}
+    for i, a, b, k, c in rows:
+        if k in kinds and a in range(5) and b in range(5):
+            one = (i is not None, i or 0, c or kinds[k][1], kinds[k][2])
+            at = (f"e{a % 4}", kinds[k][0], f"e{b % 4}")
+            expected[at] = min(expected.get(at, one), one)
+    synced = extraction.synced_relations(table, "id", "a", "b", "k", "c", of, kinds)
+    assert sorted(tuple(r) for r in synced.collect()) == sorted((*at, *f[2:]) for at, f in expected.items())
+    plan = synced._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInArrow" in plan and "partial_min" not in plan.split("MapInArrow", 1)[1]  # below: toward the table
+    batches = pa.Table.from_pylist([{"a": i % 3, "k": (i * 7) % 20 or None, "n": i} for i in range(100)]).to_batches(max_chunksize=10)
+    runs = [b.to_pylist() for b in extraction._earliest(["a"], "k", most=50)(iter(batches))]
+    got = [r for b in runs for r in b]
+    best = lambda part: [r for r in part if (r["k"] or 0) == min(x["k"] or 0 for x in part if x["a"] == r["a"])]
+    whole = [r for b in batches for r in b.to_pylist()]
+    assert got == best(whole[:50]) + best(whole[50:])
+
+
 def test_known_texts_are_enriched(spark):
     """Missing names are filled, ids overwritten, the first uid of a text counts, and nothing changes where nothing is new."""
     columns = "text int, name_zh string, name_sa string, name_bo string, name_pi string, name_en string, properties map<string,string>, external_ids map<string,string>"
