@@ -80,17 +80,21 @@ def dropped(df: DataFrame) -> None:
 def join_hot(large: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner", buckets: int = 4096, share: int = 8, least: int = 256) -> DataFrame:
     """``large`` joined with ``small``, whose keys are few but may each have very many rows in ``large``.
 
-    Keys are counted by hash bucket (``buckets`` counts at most, so their table is broadcast).  A
-    bucket with more than ``share`` times its part of the rows is dealt to as many tasks as that
-    takes, by a hash of the columns ``spread``, and its rows of ``small`` are sent to each of them.
+    Keys are counted by hash bucket, in a job of its own: so the driver plans each count once, however
+    often the result is read.  A bucket with more than ``share`` times its part of the rows is
+    dealt to as many tasks as that takes, by a hash of the columns ``spread``, and its rows of ``small``
+    are sent to each of them.  There are fewer than ``buckets / share`` such buckets; without one the join is a plain one.
     """
     bucket = lambda df: F.pmod(F.xxhash64(*[df[k] for k in keys]), F.lit(buckets)).cast("int")
     counts = large.select(bucket(large).alias("_b")).groupBy("_b").count()
     fair = F.greatest(F.sum("count").over(Window.partitionBy()) * (share / buckets), F.lit(float(least)))
-    hot = counts.select("_b", F.ceil(F.col("count") / fair).cast("int").alias("_turns")).filter("_turns > 1")
+    hot = counts.select("_b", F.ceil(F.col("count") / fair).cast("int").alias("_turns")).filter("_turns > 1").collect()
+    if not hot:
+        return large.join(small, keys, how)
+    dealt = F.broadcast(large.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(f'({r._b}, {r._turns})' for r in hot)} AS t(_b, _turns)"))
     turns = F.coalesce("_turns", F.lit(1))
-    a = large.withColumn("_b", bucket(large)).join(F.broadcast(hot), "_b", "left").withColumn("_turn", F.pmod(F.xxhash64(*spread), turns).cast("int")).drop("_b", "_turns")
-    b = small.withColumn("_b", bucket(small)).join(F.broadcast(hot), "_b", "left").withColumn("_turn", F.explode(F.sequence(F.lit(0), turns - 1))).drop("_b", "_turns")
+    a = large.withColumn("_b", bucket(large)).join(dealt, "_b", "left").withColumn("_turn", F.pmod(F.xxhash64(*spread), turns).cast("int")).drop("_b", "_turns")
+    b = small.withColumn("_b", bucket(small)).join(dealt, "_b", "left").withColumn("_turn", F.explode(F.sequence(F.lit(0), turns - 1))).drop("_b", "_turns")
     return a.join(b, [*keys, "_turn"], how).drop("_turn")
 
 

@@ -9,6 +9,7 @@ elastic-net penalties, then one temperature is fitted on learning rows kept from
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chars_grouped, documents, forget
+from .common import chars_grouped, documents, forget, give_back
 
 UNDETERMINED = "und"
 SIZES = (1, 2, 3)
@@ -144,7 +145,7 @@ def _features(sample: DataFrame, bits: int) -> DataFrame:
                     count += np.bincount(h, minlength=1 << bits)
                 used = np.flatnonzero(count)
                 slots.append(used.astype("<i4").tobytes())
-                counts.append(count[used].astype("<i8").tobytes())
+                counts.append(count[used].astype("<u4").tobytes())  # a text has fewer than 2 ** 31 characters
                 grams.append(int(count.sum()))
             yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(units, pa.float64()), pa.array(slots, pa.binary()), pa.array(counts, pa.binary()), pa.array(grams, pa.int64())], names=["lang", "unit", "slots", "counts", "grams"])
 
@@ -170,7 +171,21 @@ def document_frequency(docs: DataFrame, bits: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "slot int, df long").groupBy("slot").agg(F.sum("df").alias("df"))
 
 
-def ftrl(rows: list, turns: list[int], size: int, k: int, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
+class Rows(Sequence):
+    """Rows (label, slots, values) for :func:`ftrl`, of which only slots and counts are held; values are made anew at each turn."""
+
+    def __init__(self, held: list[tuple], idf: np.ndarray):
+        self.held, self.idf = held, idf
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def __getitem__(self, i: int) -> tuple[int, np.ndarray, np.ndarray]:
+        label, slots, counts, grams = self.held[i]
+        return label, slots, counts / grams * self.idf[slots]
+
+
+def ftrl(rows: Sequence, turns: list[int], size: int, k: int, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
     """Weights ((size + 1) x k, the last of them the bias) after the rows (label, slots, values) in the order of ``turns``.
 
     Follow-the-regularised-leader with a rate for each coordinate and elastic-net penalties.
@@ -230,21 +245,23 @@ def train(labelled: DataFrame, rows: int = 1500, bits: int = 16, epochs: int = 4
         else:
             df[row.slot] = row.df
     idf = np.log((1 + n) / (1 + df)) + 1
-    sample = [(r.lang, r.unit, np.frombuffer(r.slots, "<i4"), np.frombuffer(r.counts, "<i8"), r.grams) for r in _features(_sample(learn, rows), bits).toLocalIterator()]
+    sample = [(r.lang, r.unit, np.frombuffer(r.slots, "<i4"), np.frombuffer(r.counts, "<u4"), r.grams) for r in _features(_sample(learn, rows), bits).toLocalIterator()]
     sample = sorted((s for s in sample if s[4]), key=lambda s: (s[1], s[0]))
     languages = sorted({s[0] for s in sample})
     k = len(languages)
     if not k:
         return LanguageModel([], np.zeros((size, 0), np.float32), np.zeros(0), 1.0, bits)
     label = {lang: i for i, lang in enumerate(languages)}
-    rows_ = [(label[lang], slots, counts / grams * idf[slots]) for lang, _, slots, counts, grams in sample]
-    check, fit = (rows_[::5], [r for i, r in enumerate(rows_) if i % 5]) if len(rows_) >= 50 else (rows_, rows_)
+    held = [(label[lang], slots, counts, grams) for lang, _, slots, counts, grams in sample]
+    check, fit = (Rows(part, idf) for part in ((held[::5], [r for i, r in enumerate(held) if i % 5]) if len(held) >= 50 else (held, held)))
 
     rng = np.random.default_rng(seed)
     w = ftrl(fit, [i for _ in range(epochs) for i in rng.permutation(len(fit))], size, k, alpha, beta, l1, l2)
     table, bias = (w[:size] * idf[:, None]).astype(np.float32), 0.1 * w[size]
     scores = np.array([bias + (x / idf[slots]) @ table[slots] for _, slots, x in check])
-    truth = np.array([y for y, _, _ in check])
+    truth = np.array([row[0] for row in check.held])
+    del sample, held, check, fit
+    give_back()  # this is the driver's process, which goes on
 
     return LanguageModel(languages, table, bias, temperature(scores, truth), bits)
 

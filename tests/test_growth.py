@@ -111,3 +111,47 @@ def test_wide_rows_are_numbered_in_parts_of_their_real_size(spark):
     out = etl.with_dense_ids(rows, "k", "n", part_bytes=100_000)
     assert sorted((r.k, r.n) for r in out.select("k", "n").collect()) == [(k, k + 1) for k in range(3000)]
     assert len(out.inputFiles()) > 20
+
+
+def test_hot_keys_are_counted_once_and_not_planned_again(spark):
+    """A plan that holds its counts four times over takes the driver's memory."""
+    from quillspark.llm import common
+
+    large = spark.range(2000).selectExpr("id", "if(id < 1500, 0, id) AS k")
+    small = large.select("k").distinct()
+    out = common.join_hot(large, small, ["k"], ["id"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" not in plan and "Window" not in plan and "LocalRelation" in plan  # dealt by what was counted
+    assert sorted(r.id for r in out.collect()) == list(range(2000))
+    few = common.join_hot(large.filter("id >= 1500"), small, ["k"], ["id"])
+    assert "LocalRelation" not in few._jdf.queryExecution().optimizedPlan().toString() and few.count() == 500
+
+
+def test_training_holds_counts_and_gives_memory_back(spark, monkeypatch):
+    """The driver's Python process lives on through the stages after it."""
+    import tracemalloc
+
+    import numpy as np
+
+    from quillspark.llm import langid
+
+    rng = np.random.default_rng(3)
+    texts = [("ab"[i % 2], "".join(map(chr, rng.integers(0x4E00, 0x9000, 4000)))) for i in range(100)]
+    table = spark.createDataFrame(texts, "lang string, text string").cache()
+    table.count()
+    held, back, real = [], [], langid.ftrl
+
+    def ftrl(rows, *options):
+        held.append((tracemalloc.get_traced_memory()[0] - before, sum(len(row[1]) for row in rows)))
+        return real(rows, *options)
+
+    monkeypatch.setattr(langid, "ftrl", ftrl)
+    monkeypatch.setattr(langid, "give_back", lambda: back.append(True), raising=False)
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    model = langid.train(table, epochs=1)
+    tracemalloc.stop()
+    table.unpersist()
+    assert model.languages == ["a", "b"] and back
+    ((size, slots),) = held
+    assert size < 16 * slots  # 8 bytes for each slot of four rows in five, and what Python itself takes
