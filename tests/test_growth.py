@@ -16,6 +16,34 @@ def test_a_frequent_title_is_paired_in_many_tasks(spark):
     assert len(set(tasks)) > 1 and max(map(tasks.count, set(tasks))) < 0.6 * len(tasks)
 
 
+def test_pairs_of_a_title_take_little_disk(spark, tmp_path):
+    """What is sent does not follow the blocks that meet (some 42 rows a text), and pairs come in runs that a file holds in little."""
+    texts = spark.range(4000).select((F.col("id") * 7919 % 100_003).alias("k"), F.lit("the same").alias("t"), (F.col("id") % 25).cast("string").alias("w"))
+    pairs = etl.same_title_pairs(texts, "k", "t", "w", block=200)
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    written = sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet"))
+    back = spark.read.parquet(f"{tmp_path}/pairs")
+    assert back.count() == back.distinct().count() == (4000 * 4000 - 25 * 160 * 160) // 2 and back.filter("a >= b").count() == 0
+    assert pairs._jdf.queryExecution().toRdd().count() == back.count()
+    sent = sum(p.metrics().apply("shuffleRecordsWritten").value() for p in _nodes(pairs._jdf.queryExecution().executedPlan()) if p.nodeName() == "Exchange")
+    assert 0 < sent < 8000
+    assert written < 0.8 * back.count()
+
+
+def test_pairs_keep_repeated_keys_missing_translators_and_any_kind_of_key(spark):
+    """In crowded and rare titles alike; blocks of more translators than runs, and of one."""
+    missing = lambda w: not w
+    who = {"a": lambda i: ("A", "B", "", None)[i % 4], "b": str, "c": lambda _: None, "d": lambda _: "A", "e": lambda i: "A" if i else None}
+    rows = [(i % 90, t, w(i)) for t, w in who.items() for i in range(100)] + [(i, "f", "AB"[i % 2]) for i in range(5)]
+    expected = sorted((a, b) for a, t, v in rows for b, u, w in rows if t == u and a < b and (missing(v) or missing(w) or v != w))
+    for kind, name in (("long", int), ("string", lambda k: f"{k:03}")):
+        texts = spark.createDataFrame([(name(k), t, w) for k, t, w in rows], f"k {kind}, t string, w string")
+        for block in (16, 1000):
+            got = etl.same_title_pairs(texts, "k", "t", "w", block=block)
+            assert sorted((int(r.a), int(r.b)) for r in got.collect()) == expected and dict(got.dtypes)["a"] == texts.dtypes[0][1]
+    assert etl.same_title_pairs(texts.limit(0), "k", "t", "w").collect() == []
+
+
 def test_places_of_a_frequent_name_do_not_all_meet(spark):
     """Distances at the poles, over the date line and around 2 km are those of every pair; repeated points meet once."""
     from quillspark.functions.geo import haversine_km
